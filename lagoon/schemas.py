@@ -99,7 +99,7 @@ INPUTS = {
         "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp, o_orderpriority string"
     ),
     "lineitem": _s(
-        "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_shipdate timestamp"
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_shipdate timestamp"
     ),
     "events": _s(
         "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"

@@ -99,6 +99,11 @@ VIEWS: dict[str, str] = {
               UNION ALL
               SELECT c_custkey, (7 * c_custkey + 1) % {N} FROM customer WHERE c_custkey % 17 = 0)
         WHERE k <> t GROUP BY 1, 2""",
+    "reports": f"""
+        SELECT 'rp' || substring(sha256('u' || (conv_id % {N}) || '|' || (conv_id * 1000 + turn)), 1, 12) AS id,
+               'u' || (conv_id % {N}) AS reporter_id, 'u' || ((3 * conv_id + turn) % {N}) AS target_id,
+               substring(text, 1, 500) AS reason
+        FROM conversations""",
     "closure": """
         SELECT blocker_id AS viewer_id, blocked_id AS target_id FROM blocks
         UNION SELECT blocked_id, blocker_id FROM blocks""",
@@ -155,6 +160,8 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in ordered)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -92,6 +92,16 @@ class Domain:
             (F.col("ts") + F.expr("INTERVAL 10 DAYS")).alias("expires_at"),
         )
 
+    @property
+    def raw_reports(self) -> DataFrame:
+        c, t, n = F.col("conv_id"), F.col("turn"), self.n_customers
+        return self.raw("conversations").select(
+            (c * 1000 + t).alias("seq"),
+            uid(c % n).alias("reporter_id"),
+            uid((3 * c + t) % n).alias("target_id"),
+            F.col("text").alias("reason"),
+        )
+
     # activity -------------------------------------------------------------
 
     @property
@@ -277,7 +287,7 @@ class Domain:
             F.when(k % 3 == 0, F.array(F.lit("pro"))).alias("entitlement_ids"),
             F.when(k % 25 != 0, F.concat(F.lit("tx"), (e - e % 30).cast("string"))).alias("transaction_id"),
             F.lit(None).cast("string").alias("original_transaction_id"),
-            F.when(k % 15 != 0, (F.lit(1704067200000) + k * F.lit(86400000)).cast("string")).alias("expiration_at_ms"),
+            F.when(k % 15 != 0, (F.lit(1704067200000) + k.cast("bigint") * 86400000).cast("string")).alias("expiration_at_ms"),
             F.lit(None).cast("string").alias("purchased_at_ms"),
         )
 

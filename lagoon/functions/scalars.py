@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tile colours, in palette order.
@@ -122,3 +122,9 @@ def minted_id(prefix: str, *natural_key: Column, length: int = 12) -> Column:
 def verified_flag(raw: Column) -> Column:
     """True for JSON true or the text "true" only."""
     return F.coalesce(raw == "true", F.lit(False))
+
+
+def api_names(df: DataFrame) -> DataFrame:
+    """Columns renamed from snake_case to the camelCase of the documents."""
+    camel = lambda c: c.split("_")[0] + "".join(w.capitalize() for w in c.split("_")[1:])
+    return df.select(*[F.col(c).alias(camel(c)) for c in df.columns])

@@ -1 +1,130 @@
-"""(to come)"""
+"""Integrity audits over the domain with damage put in by rule."""
+
+from pyspark.sql import functions as F
+
+from lagoon import schemas
+from lagoon.operators import audit as op
+from lagoon.registry import query
+from lagoon.registry.accounts import number, tables
+from lagoon.registry.purchases import EFFECTS
+from lagoon.sources.files import conform
+
+BAD_ROOMS = """
+  bad_rooms AS (SELECT id, CASE WHEN n % 11 = 1 THEN 'cave' ELSE kind END AS kind, CASE WHEN n % 7 = 0 THEN 5 ELSE depth END AS depth,
+                       schedule, CASE WHEN n % 5 = 0 THEN 2000 ELSE start_min END AS start_min,
+                       CASE WHEN n % 6 = 0 THEN NULL ELSE start_at END AS start_at
+                FROM (SELECT *, CAST(substring(id, 2) AS BIGINT) AS n FROM rooms))"""
+
+
+def damaged(d):
+    """Every kind of damage the rules look for, in a share of the rows."""
+    t = tables(d)
+    n = number("id")
+    t["rooms"] = (
+        t["rooms"]
+        .withColumn("kind", F.when(n % 11 == 1, "cave").otherwise(F.col("kind")))
+        .withColumn("depth", F.when(n % 7 == 0, 5).otherwise(F.col("depth")))
+        .withColumn("start_min", F.when(n % 5 == 0, 2000).otherwise(F.col("start_min")))
+        .withColumn("start_at", F.when(n % 6 != 0, F.col("start_at")))
+    )
+    t["user_species"] = t["user_species"].withColumn("count", F.col("count") - 1)
+    t["room_dives"] = t["room_dives"].withColumn("mins", F.col("mins") - 2)
+    t["friendships"] = t["friendships"].withColumn(
+        "friend_id", F.when(number("user_id") % 13 == 0, F.col("user_id")).otherwise(F.col("friend_id"))
+    )
+    return t
+
+
+@query(
+    "audit_checks",
+    f"""WITH {EFFECTS}, {BAD_ROOMS}
+  SELECT 'user_species' AS "table", 'count not negative' AS rule, count(*) AS bad_rows FROM user_species WHERE count < 1
+  UNION ALL SELECT 'rooms', 'kind', count(*) FROM bad_rooms WHERE kind NOT IN ('room', 'expedition')
+  UNION ALL SELECT 'rooms', 'depth range', count(*) FROM bad_rooms WHERE depth NOT BETWEEN 10 AND 120
+  UNION ALL SELECT 'rooms', 'schedule', count(*) FROM bad_rooms WHERE schedule NOT IN ('daily', 'once')
+  UNION ALL SELECT 'rooms', 'start range', count(*) FROM bad_rooms WHERE start_min NOT BETWEEN 0 AND 1439
+  UNION ALL SELECT 'rooms', 'depth iff expedition', count(*) FROM bad_rooms WHERE (kind = 'expedition') <> (depth IS NOT NULL)
+  UNION ALL SELECT 'rooms', 'start_min iff daily', count(*) FROM bad_rooms WHERE (schedule = 'daily') <> (start_min IS NOT NULL)
+  UNION ALL SELECT 'rooms', 'start_at iff once', count(*) FROM bad_rooms WHERE (schedule = 'once') <> (start_at IS NOT NULL)
+  UNION ALL SELECT 'room_dives', 'minutes positive', count(*) FROM room_dives WHERE mins <= 2
+  UNION ALL SELECT 'room_dives', 'depth range', count(*) FROM room_dives WHERE depth NOT BETWEEN 10 AND 120
+  UNION ALL SELECT 'friendships', 'not oneself', count(*) FROM friendships WHERE CAST(substring(user_id, 2) AS BIGINT) % 13 = 0
+  UNION ALL SELECT 'blocks', 'not oneself', count(*) FROM blocks WHERE blocker_id = blocked_id
+  UNION ALL SELECT 'pearl_grants', 'pearls positive', count(*) FROM grants WHERE pearls <= 0""",
+)
+def audit_checks(d):
+    return op.audit_checks(damaged(d))
+
+
+@query(
+    "audit_unique",
+    """WITH twins AS (SELECT id, name, email, apple_sub FROM accounts UNION ALL
+                      SELECT id || 'b', upper(name), upper(email), apple_sub FROM accounts WHERE CAST(substring(id, 2) AS BIGINT) % 10 = 0),
+  members AS (SELECT room_id, user_id FROM room_members UNION ALL
+              SELECT room_id, user_id FROM room_members WHERE CAST(substring(user_id, 2) AS BIGINT) % 17 = 0)
+  SELECT 'users' AS "table", 'name' AS rule, lower(name) AS key, count(*) AS n FROM twins GROUP BY lower(name) HAVING count(*) > 1
+  UNION ALL SELECT 'users', 'email', lower(email), count(*) FROM twins WHERE email IS NOT NULL GROUP BY lower(email) HAVING count(*) > 1
+  UNION ALL SELECT 'users', 'apple_sub', apple_sub, count(*) FROM twins WHERE apple_sub IS NOT NULL GROUP BY apple_sub HAVING count(*) > 1
+  UNION ALL SELECT 'room_members', 'key', room_id || '|' || user_id, count(*) FROM members GROUP BY room_id, user_id HAVING count(*) > 1""",
+)
+def audit_unique(d):
+    users = d.accounts.select("id", "name", "email", "apple_sub")
+    twins = users.filter(number("id") % 10 == 0).select(
+        F.concat("id", F.lit("b")).alias("id"), F.upper("name").alias("name"), F.upper("email").alias("email"), "apple_sub"
+    )
+    members = d.room_members
+    return op.audit_unique(
+        {
+            "users": users.unionByName(twins),
+            "room_members": members.unionByName(members.filter(number("user_id") % 17 == 0)),
+            "user_creatures": d.user_creatures,
+            "rooms": d.rooms,
+            "trades": d.trades,
+            "friendships": d.friendships,
+            "blocks": d.blocks,
+        }
+    )
+
+
+FK_CHILDREN = [
+    ("user_species", "user_id", "user_species"), ("user_creatures", "user_id", "user_creatures"), ("user_stats", "user_id", "stats"),
+    ("rooms", "host_id", "rooms"), ("room_dives", "user_id", "room_dives"), ("room_members", "user_id", "room_members"),
+    ("trades", "from_id", "trades"), ("trades", "to_id", "trades"),
+    ("reports", "reporter_id", "reports"), ("reports", "target_id", "reports"),
+    ("friendships", "user_id", "friendships"), ("friendships", "friend_id", "friendships"),
+    ("blocks", "blocker_id", "blocks"), ("blocks", "blocked_id", "blocks"),
+    ("auth_sessions", "user_id", "auth_sessions"), ("email_verifications", "user_id", "email_verifications"),
+    ("pearl_grants", "user_id", "grants"),
+]
+ORPHANS = " UNION ALL ".join(
+    f"SELECT '{t}' AS child, '{c}' AS \"column\", count(*) AS orphans FROM {v} WHERE {c} NOT IN (SELECT id FROM kept)"
+    for t, c, v in FK_CHILDREN
+)
+
+
+@query(
+    "audit_foreign_keys",
+    f"""WITH {EFFECTS}, kept AS (SELECT id FROM accounts WHERE CAST(substring(id, 2) AS BIGINT) % 20 <> 3),
+  open AS (SELECT id FROM rooms WHERE CAST(substring(id, 2) AS BIGINT) % 9 <> 4)
+  {ORPHANS}
+  UNION ALL SELECT 'room_dives', 'room_id', count(*) FROM room_dives WHERE room_id NOT IN (SELECT id FROM open)
+  UNION ALL SELECT 'room_members', 'room_id', count(*) FROM room_members WHERE room_id NOT IN (SELECT id FROM open)""".replace(
+        "FROM rooms WHERE host_id NOT IN", "FROM rooms WHERE CAST(substring(id, 2) AS BIGINT) % 9 <> 4 AND host_id NOT IN"
+    ),
+)
+def audit_foreign_keys(d):
+    t = tables(d)
+    t["users"] = t["users"].filter(number("id") % 20 != 3)
+    t["rooms"] = t["rooms"].filter(number("id") % 9 != 4)
+    return op.audit_foreign_keys(t)
+
+
+@query(
+    "conform",
+    """SELECT id, from_id, to_id, give_id, get_id, 'pending' AS status, CAST(created_at AS TIMESTAMP) AS created_at,
+              CAST(NULL AS TIMESTAMP) AS resolved_at, CAST(NULL AS VARCHAR) AS give_creature_id FROM trades""",
+)
+def conform_old_trades(d):
+    """Trades as an old table held them: text times, no status, no named creature."""
+    old = d.trades.select("get_id", "give_id", "to_id", "from_id", "id", F.col("created_at").cast("string").alias("created_at"))
+    return conform(old, schemas.TRADES, schemas.DEFAULTS["trades"])

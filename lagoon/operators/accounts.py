@@ -262,10 +262,13 @@ def assign_names(requests: DataFrame, users: DataFrame, lexicon=DEFAULT_LEXICON)
         .withColumn("_key", F.lower("name"))
         .join(taken, "_key", "left_anti")
     )
-    # Close the gaps: a request has nine wishes at most.
-    ranks = wanted.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("_i", "name", "_key"))).alias("_w"))
-    wishes = ranks.select("seq", F.posexplode("_w").alias("_rank", "_x")).select("seq", "_rank", "_x.name", "_x._key")
-    named = assign_preferences(wishes, "seq", "_rank", "_key").select("seq", "name")
+    # A request has nine wishes at most.
+    wishes = (
+        wanted.groupBy("seq")
+        .agg(F.sort_array(F.collect_list(F.struct("_i", "name", "_key"))).alias("_w"))
+        .select("seq", F.col("_w.name").alias("names"), F.col("_w._key").alias("keys"))
+    )
+    named = assign_preferences(wishes, "seq", "names", "keys")
 
     unnamed = requests.select("seq").join(named, "seq", "left_anti")
     tries = F.transform(

@@ -17,47 +17,51 @@ from lagoon.session import cut_lineage
 
 def grant_in_order(claims: DataFrame, seq: str, a: str, b: str) -> DataFrame:
     """`seq` of the granted claims(seq, a, b); a null key is never contested."""
-    open_claims = cut_lineage(claims.select(seq, a, b))
-    granted = []
+    claims = cut_lineage(claims.select(seq, a, b))
+    granted = None
     while True:
-        first_a = open_claims.filter(F.col(a).isNotNull()).groupBy(a).agg(F.min(seq).alias(seq)).select(seq)
-        first_b = open_claims.filter(F.col(b).isNotNull()).groupBy(b).agg(F.min(seq).alias(seq)).select(seq)
-        wins = first_a.unionByName(first_b).groupBy(seq).agg(F.count("*").alias("_w"))
-        needed = F.col(a).isNotNull().cast("int") + F.col(b).isNotNull().cast("int")
-        won = cut_lineage(
-            open_claims.join(wins, seq, "left").filter(F.coalesce("_w", F.lit(0)) == needed).drop("_w")
-        )
+        # What is still open follows from the grants so far; only grants are kept per round.
+        open_claims = claims
+        if granted is not None:
+            for key in (seq, a, b):
+                taken = granted.select(key).filter(F.col(key).isNotNull())
+                open_claims = open_claims.join(taken, key, "left_anti")
+        won = cut_lineage(_first_on_both(open_claims, seq, a, b))
         if won.isEmpty():
-            break
-        granted.append(won)
-        rest = open_claims.join(won.select(seq), seq, "left_anti")
-        for key in (a, b):
-            rest = rest.join(won.select(key), key, "left_anti")
-        open_claims = cut_lineage(rest)
-    out = claims.select(seq).limit(0)
-    for part in granted:
-        out = out.unionByName(part.select(seq))
-    return out
+            return claims.limit(0).select(seq) if granted is None else granted.select(seq)
+        granted = won if granted is None else granted.unionByName(won)
 
 
-def assign_preferences(wishes: DataFrame, seq: str, rank: str, key: str) -> DataFrame:
-    """wishes(seq, rank, key, …): one row per request, its best key that no earlier request holds.
+def _first_on_both(claims: DataFrame, seq: str, a: str, b: str) -> DataFrame:
+    first = [
+        claims.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(seq).alias(seq)).select(seq) for key in (a, b)
+    ]
+    wins = first[0].unionByName(first[1]).groupBy(seq).agg(F.count("*").alias("_w"))
+    needed = F.col(a).isNotNull().cast("int") + F.col(b).isNotNull().cast("int")
+    return claims.join(wins, seq, "left").filter(F.coalesce("_w", F.lit(0)) == needed).drop("_w")
 
+
+def assign_preferences(wishes: DataFrame, seq: str, names: str, keys: str) -> DataFrame:
+    """wishes(seq, names, keys): the best name of each request that no earlier request holds.
+
+    `names` is a request's short ordered list and `keys` what must be unique.
     Earlier requests have priority everywhere, so letting each request hold its
-    best open wish, and moving on whoever is displaced by an earlier one, ends
-    in exactly the serial result. A request moves at most as often as it has
-    wishes; ranks count from 0 and have no gaps.
+    best open wish, and moving on whoever is beaten by an earlier one, ends in
+    exactly the serial result. A request moves at most as often as it has
+    wishes. Every step is materialised, because the next one reads it twice.
     """
-    wishes = cut_lineage(wishes)
-    at = cut_lineage(wishes.groupBy(seq).agg(F.count("*").alias("_wishes")).withColumn("_at", F.lit(0)))
+    state = cut_lineage(wishes.select(seq, names, keys, F.lit(0).alias("_at"), F.lit(False).alias("_moved")))
     while True:
-        held = wishes.join(at.filter("_at < _wishes"), seq).filter(F.col(rank) == F.col("_at"))
-        keepers = held.groupBy(key).agg(F.min(seq).alias(seq)).select(seq)
-        beaten = cut_lineage(held.join(keepers, seq, "left_anti").select(seq, F.lit(1).alias("_step")))
-        if beaten.isEmpty():
-            return held.drop("_at", "_wishes")
-        at = cut_lineage(
-            at.join(beaten, seq, "left").select(
-                seq, "_wishes", (F.col("_at") + F.coalesce("_step", F.lit(0))).alias("_at")
-            )
-        )
+        state = cut_lineage(_move_on(state, seq, names, keys))
+        if state.filter("_moved").isEmpty():
+            return state.filter(F.col("_at") < F.size(names)).select(seq, F.get(names, F.col("_at")).alias("name"))
+
+
+def _move_on(state: DataFrame, seq: str, names: str, keys: str) -> DataFrame:
+    """One step: per key the earliest holder stays, everybody else takes the next wish."""
+    holding = state.filter(F.col("_at") < F.size(keys)).select(seq, F.get(keys, F.col("_at")).alias("_key"))
+    keepers = holding.groupBy("_key").agg(F.min(seq).alias(seq)).select(seq, F.lit(True).alias("_keeps"))
+    beaten = (F.col("_at") < F.size(keys)) & F.col("_keeps").isNull()
+    return state.join(keepers, seq, "left").select(
+        seq, names, keys, (F.col("_at") + beaten.cast("int")).alias("_at"), beaten.alias("_moved")
+    )

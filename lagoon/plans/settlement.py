@@ -75,36 +75,29 @@ def settle_trades(
     held, rest = _movable(creatures, queue)
     held, rest = cut_lineage(held), cut_lineage(rest)
 
-    done: list[DataFrame] = [refused]
-    left = queue.count()
-    rounds = 0
-    while left and rounds < max_rounds:
-        rounds += 1
-        ready = _first_everywhere(queue)
-        judged = cut_lineage(_judge(ready, held, rest))
-        done.append(judged.select("trade_id", "seq", "outcome", "giving", "getting"))
-        held = cut_lineage(_move(held, judged))
-        # A trade is accepted once; later acceptances of it find nothing pending.
+    judged, left = None, queue
+    for _ in range(max_rounds):
+        part = cut_lineage(_judge(_first_everywhere(left), held, rest))
+        if part.isEmpty():
+            break
+        judged = part if judged is None else judged.unionByName(part)
+        held = cut_lineage(_move(held, part))
+        left = cut_lineage(_open(left, part))
+    while not left.isEmpty():
+        # Whatever the rounds left, in arrival order, one bounded batch after another.
+        batch = cut_lineage(left.orderBy("seq").limit(batch_rows))
+        played = _play_in_order(batch, held, rest).join(batch.select("seq", "from_id", "to_id"), "seq")
+        part = cut_lineage(played)
+        judged = part if judged is None else judged.unionByName(part)
+        held = cut_lineage(_move(held, part))
+        left = cut_lineage(_open(left, part))
+    if judged is None:
+        outcomes = refused
+    else:
         settled = judged.filter(F.col("outcome") == ACCEPTED).select("trade_id")
-        remaining = queue.join(judged.select("seq"), "seq", "left_anti")
-        late = remaining.join(settled, "trade_id", "left_semi")
-        done.append(_too_late(late))
-        queue = cut_lineage(remaining.join(settled, "trade_id", "left_anti"))
-        left = queue.count()
-    while left:
-        batch = cut_lineage(queue.orderBy("seq").limit(batch_rows))
-        judged = cut_lineage(_play_in_order(batch, held, rest))
-        done.append(judged)
-        held = cut_lineage(_move(held, judged.join(batch.select("seq", "from_id", "to_id"), "seq")))
-        settled = judged.filter(F.col("outcome") == ACCEPTED).select("trade_id")
-        remaining = queue.join(batch.select("seq"), "seq", "left_anti")
-        done.append(_too_late(remaining.join(settled, "trade_id", "left_semi")))
-        queue = cut_lineage(remaining.join(settled, "trade_id", "left_anti"))
-        left = queue.count()
-
-    outcomes = done[0]
-    for part in done[1:]:
-        outcomes = outcomes.unionByName(part)
+        late = queue.join(judged.select("seq"), "seq", "left_anti").join(settled, "trade_id", "left_semi")
+        verdicts = judged.select("trade_id", "seq", "outcome", "giving", "getting")
+        outcomes = refused.unionByName(verdicts).unionByName(_too_late(late))
     outcomes = _closed_before(outcomes)
     moved = held.filter("user_id <> home").select("id", F.col("user_id").alias("_to"))
     final = (
@@ -246,6 +239,12 @@ def _judge(ready: DataFrame, held: DataFrame, rest: DataFrame) -> DataFrame:
     )
 
 
+def _open(queue: DataFrame, judged: DataFrame) -> DataFrame:
+    """Acceptances still to play: a settled trade closes its later ones too."""
+    settled = judged.filter(F.col("outcome") == ACCEPTED).select("trade_id")
+    return queue.join(judged.select("seq"), "seq", "left_anti").join(settled, "trade_id", "left_anti")
+
+
 def _move(held: DataFrame, judged: DataFrame) -> DataFrame:
     """Owners after the accepted swaps; a creature that moved twice keeps its last owner."""
     steps = F.array(

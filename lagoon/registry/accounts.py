@@ -170,7 +170,7 @@ def identity_log(d):
 @query(
     "resolve_identities",
     f"""WITH RECURSIVE {CLAIMS},
-  looked AS (SELECT row_number() OVER (ORDER BY seq) AS i, c.seq, c.sub, lower(trim(c.email)) AS mail,
+  looked AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) AS i, c.seq, c.sub, lower(trim(c.email)) AS mail,
                     s.id AS by_sub, m.id AS by_mail,
                     CASE WHEN s.id IS NOT NULL THEN 'known' WHEN m.id IS NULL THEN 'created'
                          WHEN c.email_verified AND m.apple_sub IS NULL THEN 'linked' ELSE 'conflict' END AS path
@@ -203,7 +203,7 @@ SIGNUPS = """
       CASE p_partkey % 9 WHEN 0 THEN '  ' WHEN 1 THEN 'no-at.example.org'
            WHEN 2 THEN 'Customer#' || lpad(CAST(2 * p_partkey AS VARCHAR), 9, '0') || '@EXAMPLE.org'
            ELSE ' Mail' || (p_partkey % 400) || '@Example.org ' END AS email FROM part),
-  checked AS (SELECT row_number() OVER (ORDER BY a.seq) AS i, a.seq, trim(a.name) AS name, lower(trim(a.email)) AS email,
+  checked AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a.seq) AS i, a.seq, trim(a.name) AS name, lower(trim(a.email)) AS email,
       CASE WHEN trim(a.email) = '' THEN 'email missing' WHEN a.email NOT LIKE '%@%' THEN 'email bad shape'
            WHEN length(trim(a.name)) < 2 THEN 'name too short' WHEN length(trim(a.name)) > 20 THEN 'name too long'
            WHEN a.name LIKE '%!' THEN 'name bad characters'
@@ -312,7 +312,7 @@ def apply_diver_renames(d):
                CASE WHEN base = '' THEN CAST([] AS VARCHAR[]) ELSE list_filter(list_prepend(base, list_transform(
                  [2, 3, 4, 5, 6, 7, 8, 9], lambda n: trim(substring(base, 1, 16)) || ' ' || n)), lambda c: NOT contains(c, '/')) END,
                ['Diver ' || (seq + 1000)]) AS wishes FROM based),
-  free AS (SELECT i, seq, list_filter(wishes, lambda c: NOT list_contains(taken, lower(c))) AS wishes
+  free AS MATERIALIZED (SELECT i, seq, list_filter(wishes, lambda c: NOT list_contains(taken, lower(c))) AS wishes
            FROM listed, (SELECT list(lower(name)) AS taken FROM people)),
   walk AS (
     SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS held, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS name

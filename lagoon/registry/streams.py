@@ -1 +1,125 @@
-"""(to come)"""
+"""Streams run to their end over the given tables; the checks are those of the batch twins."""
+
+from pyspark.sql import functions as F
+
+from lagoon import schemas
+from lagoon.operators import purchases
+from lagoon.registry import query
+from lagoon.registry.purchases import EFFECTS
+from lagoon.session import scratch_path
+from lagoon.sources.domain import Domain
+from lagoon.streaming import streams as st
+
+
+class StreamDomain(Domain):
+    """The fixture domain with its event log read as a stream."""
+
+    def raw(self, name):
+        if name == "events":
+            return st.parquet_stream(self.spark, self.folder, schemas.INPUTS[name], "events.parquet")
+        return super().raw(name)
+
+
+class LineStream(Domain):
+    """The same for the line items."""
+
+    def raw(self, name):
+        if name == "lineitem":
+            return st.parquet_stream(self.spark, self.folder, schemas.INPUTS[name], "lineitem.parquet")
+        return super().raw(name)
+
+
+def events(d):
+    return StreamDomain(d.spark, d.folder)
+
+
+def places(d, label):
+    return scratch_path(d.spark, label), scratch_path(d.spark, f"{label}-offsets")
+
+
+@query("stream_ledger", f"WITH {EFFECTS} SELECT * FROM grants")
+def stream_ledger(d):
+    out, offsets = places(d, "ledger")
+    st.keep_ledger(purchases.classify_purchases(events(d).purchase_events), out, offsets)
+    return st.read_ledger(d.spark, out)
+
+
+@query("stream_pro_state", f"WITH {EFFECTS} SELECT * FROM state")
+def stream_pro_state(d):
+    out, offsets = places(d, "pro")
+    st.keep_pro_state(purchases.classify_purchases(events(d).purchase_events), out, offsets)
+    return st.read_pro_state(d.spark, out)
+
+
+def _updates(d, stream, label, ddl, keys):
+    out, offsets = places(d, label)
+    st.keep_updates(stream, out, offsets, ddl)
+    return st.latest_rows(d.spark, out, ddl, keys)
+
+
+@query(
+    "stream_weekly_totals",
+    """SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week_start, CAST(sum(mins) AS BIGINT) AS week_mins
+       FROM dives GROUP BY 1, 2""",
+)
+def stream_weekly_totals(d):
+    return _updates(d, st.weekly_totals(events(d).dives, "40 days"), "weekly", st.WEEKLY, ["user_id", "week_start"])
+
+
+@query(
+    "stream_budget_violations",
+    """SELECT device_key AS limit_key, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, count(*) AS calls
+       FROM auth_log GROUP BY 1, 2 HAVING count(*) > 1""",
+)
+def stream_budget_violations(d):
+    log = events(d).auth_log.select("ts", F.col("device_key").alias("limit_key"))
+    counts = _updates(d, st.call_counts(log, watermark="40 days"), "calls", st.CALLS, ["limit_key", "window_start"])
+    return counts.filter("calls > 1")
+
+
+@query("stream_last_seen", "SELECT user_id, max(ts) AS last_seen FROM dives GROUP BY 1")
+def stream_last_seen(d):
+    return _updates(d, st.last_seen(events(d).dives), "seen", st.SEEN, ["user_id"])
+
+
+@query(
+    "stream_room_progress",
+    """SELECT room_id, count(*) AS dives, CAST(sum(mins) AS BIGINT) AS total_mins, CAST(sum(depth) AS BIGINT) AS shared_depth
+       FROM room_dives GROUP BY 1""",
+)
+def stream_room_progress(d):
+    live = LineStream(d.spark, d.folder)
+    return _updates(d, st.running_progress(live.room_dives_by_room), "progress", st.PROGRESS, ["room_id"])
+
+
+@query(
+    "stream_gated_dives",
+    """SELECT room_id, user_id, mins, depth, ts FROM room_dives r
+       WHERE EXISTS (SELECT 1 FROM room_members m WHERE m.room_id = r.room_id AND m.user_id = r.user_id)""",
+)
+def stream_gated_dives(d):
+    out, offsets = places(d, "gated")
+    live = LineStream(d.spark, d.folder).room_dives.drop("ln")
+    ddl = "room_id string, user_id string, mins int, depth int, ts timestamp"
+    st.start_folder(d.spark, out, ddl)
+    st.run_batches(st.gate_by_membership(live, d.room_members), lambda df, n: st.write_batch(df, out, n), offsets)
+    return st.read_batches(d.spark, out, st.with_batch_id(ddl)).drop("batch_id")
+
+
+@query(
+    "stream_activity_spells",
+    """SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 5 MINUTE AS ended, count(*) AS dives FROM (
+         SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, seq) AS spell FROM (
+           SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, seq) + INTERVAL 5 MINUTE
+                          THEN 0 ELSE 1 END AS fresh FROM dives))
+       GROUP BY user_id, spell""",
+)
+def stream_activity_spells(d):
+    out, offsets = places(d, "spells")
+    ddl = "user_id string, started timestamp, ended timestamp, dives bigint"
+    st.start_folder(d.spark, out, ddl)
+    # Complete mode also shows the spells still open; its last batch is the whole answer.
+    st.run_batches(st.spells(events(d).dives), lambda df, n: st.write_batch(df, out, n), offsets, "complete")
+    rows = st.read_batches(d.spark, out, st.with_batch_id(ddl))
+    last = rows.agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(last, "batch_id", "left_semi").drop("batch_id")

@@ -129,9 +129,19 @@ def last_active(dives: DataFrame) -> DataFrame:
 
 
 def activity_spells(dives: DataFrame, gap: str = "5 minutes") -> DataFrame:
-    """Stretches of activity separated by more than the presence threshold."""
+    """Stretches of activity separated by more than the presence threshold.
+
+    Spells are first built hour by hour, then those that touch are merged, so a
+    user with very many dives is spread over many tasks; the second step sees at
+    most one row per user and gap length.
+    """
+    hourly = dives.groupBy("user_id", F.date_trunc("hour", "ts").alias("_hour"), F.session_window("ts", gap).alias("w")).agg(
+        F.count("*").alias("n")
+    )
+    lasting = F.concat((F.unix_micros("ended") - F.unix_micros("started")).cast("string"), F.lit(" microseconds"))
     return (
-        dives.groupBy("user_id", F.session_window("ts", gap).alias("w"))
-        .agg(F.count("*").alias("dives"))
+        hourly.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
+        .groupBy("user_id", F.session_window("started", lasting).alias("w"))
+        .agg(F.sum("n").alias("dives"))
         .select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "dives")
     )

@@ -94,9 +94,11 @@ def audit_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
     for child, column, parent in FOREIGN_KEYS:
         if child in tables and parent in tables:
             keys = tables[parent].select(F.col("id").alias(column))
-            orphans = tables[child].select(column).filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
+            # Counting per key first leaves one row per key to look up, however hot it is.
+            counted = tables[child].filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+            orphans = counted.join(keys, column, "left_anti")
             parts.append(
-                orphans.agg(F.count("*").alias("orphans")).select(
+                orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("orphans")).select(
                     F.lit(child).alias("child"), F.lit(column).alias("column"), "orphans"
                 )
             )

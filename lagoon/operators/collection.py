@@ -71,35 +71,37 @@ def friend_cards(friendships, users, blocks, stats, creatures, as_of) -> DataFra
     """
     held = species_lists(creatures).withColumnRenamed("user_id", "target_id")
     totals = stats.select(F.col("user_id").alias("target_id"), "total_mins", "dives")
-    about = (
-        users.select(F.col("id").alias("target_id"), "name", "initial", "avatar_bg", "last_seen")
-        .join(totals, "target_id", "left")
-        .join(held, "target_id", "left")
+    about = users.select(F.col("id").alias("target_id"), "name", "initial", "avatar_bg", "last_seen")
+    placed = running_position(
+        friends_of(friendships, users, blocks).join(about, "target_id"),
+        ["viewer_id"],
+        [F.desc("last_seen"), F.asc("target_id")],
+        F.to_date("last_seen"),
+        descending=True,
     )
     none = F.array().cast("array<string>")
-    cards = friends_of(friendships, users, blocks).join(about, "target_id").select(
-        "viewer_id",
-        F.col("target_id").alias("id"),
-        "name",
-        "initial",
-        "avatar_bg",
-        F.coalesce("species", none).alias("species"),
-        F.coalesce("spares", none).alias("spares"),
-        F.coalesce("total_mins", F.lit(0)).cast("bigint").alias("total_mins"),
-        F.coalesce("dives", F.lit(0)).cast("bigint").alias("dives"),
-        "last_seen",
-    )
-    seen = F.col("last_seen")
-    shaped = cards.select(
-        "*",
-        whole_hours(F.col("total_mins")).alias("total_hours"),
-        hours_minutes(F.col("total_mins")).alias("today"),
-        presence(seen, as_of).alias("status"),
-        presence_text_colour(seen, as_of).alias("status_fg"),
-        presence_dot_colour(seen, as_of).alias("status_colour"),
-    )
-    return running_position(
-        shaped, ["viewer_id"], [F.desc("last_seen"), F.asc("id")], F.to_date("last_seen"), descending=True
+    mins, seen = F.coalesce("total_mins", F.lit(0)).cast("bigint"), F.col("last_seen")
+    return (
+        placed.join(totals, "target_id", "left")
+        .join(held, "target_id", "left")
+        .select(
+            "viewer_id",
+            "pos",
+            F.col("target_id").alias("id"),
+            "name",
+            "initial",
+            "avatar_bg",
+            F.coalesce("species", none).alias("species"),
+            F.coalesce("spares", none).alias("spares"),
+            mins.alias("total_mins"),
+            F.coalesce("dives", F.lit(0)).cast("bigint").alias("dives"),
+            "last_seen",
+            whole_hours(mins).alias("total_hours"),
+            hours_minutes(mins).alias("today"),
+            presence(seen, as_of).alias("status"),
+            presence_text_colour(seen, as_of).alias("status_fg"),
+            presence_dot_colour(seen, as_of).alias("status_colour"),
+        )
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagoon.plans.skew import running_position
+from lagoon.plans.skew import running_sums
 
 GLOBAL_LIMIT, STRICT_LIMIT, WINDOW = 300, 30, "15 minutes"
 # What is never throttled, and what shares the strict budget.
@@ -16,15 +16,6 @@ STRICT = [
 ]
 
 
-def _within(df: DataFrame, key: str, window: str, name: str) -> DataFrame:
-    """Position of each call in its (key, window), counted second by second."""
-    framed = df.withColumn("_window", F.window("ts", window).start)
-    ranked = running_position(
-        framed, [key, "_window"], [F.asc("ts"), F.asc("request_id")], F.date_trunc("second", "ts"), name=name
-    )
-    return ranked.drop("_window")
-
-
 def throttle_decisions(
     log: DataFrame,
     window: str = WINDOW,
@@ -37,23 +28,27 @@ def throttle_decisions(
     """log(request_id, ts, limit_key, path) with `decision`: admitted, throttled, or throttled strictly.
 
     Throttled calls still count. All strict paths share one budget, and calls
-    refused globally never reach it. Windows are aligned to the epoch.
+    refused globally never reach it: those admitted globally are the first ones
+    of their window, so one pass counts both budgets. Windows are aligned to the
+    epoch and counted second by second.
     """
     is_exempt = exempt if isinstance(exempt, Column) else F.col("path").isin(exempt)
     is_strict = strict if isinstance(strict, Column) else F.col("path").isin(strict)
-    columns = log.columns
-    counted = _within(log.filter(~is_exempt), key, window, "_nth")
-    through = counted.filter(F.col("_nth") <= limit)
-    strictly = _within(through.filter(is_strict).drop("_nth"), key, window, "_snth")
-    decide = lambda df, d: df.select(*columns, d.alias("decision"))
-    return (
-        decide(log.filter(is_exempt), F.lit("admitted"))
-        .unionByName(decide(counted.filter(F.col("_nth") > limit), F.lit("throttled")))
-        .unionByName(decide(through.filter(~is_strict), F.lit("admitted")))
-        .unionByName(
-            decide(strictly, F.when(F.col("_snth") <= strict_limit, "admitted").otherwise("throttled strictly"))
-        )
+    counts = ~is_exempt
+    counted = running_sums(
+        log.withColumn("_window", F.window("ts", window).start),
+        [key, "_window"],
+        [F.asc("ts"), F.asc("request_id")],
+        F.date_trunc("second", "ts"),
+        {"_nth": counts.cast("int"), "_strict_nth": (counts & is_strict).cast("int")},
+    )
+    decision = (
+        F.when(is_exempt, "admitted")
+        .when(F.col("_nth") > limit, "throttled")
+        .when(is_strict & (F.col("_strict_nth") > strict_limit), "throttled strictly")
+        .otherwise("admitted")
     )
+    return counted.select(*log.columns, decision.alias("decision"))
 
 
 def limit_key(device_id: Column, ip: Column) -> Column:

@@ -10,6 +10,7 @@ from lagoon.functions.scalars import minted_id, parse_number, round_half_up
 from lagoon.functions.text import trim_all
 from lagoon.operators.social import visible
 from lagoon.plans.skew import hash_page, previous_value, running_position, running_total
+from lagoon.session import cut_lineage
 from lagoon.sources.files import append_new
 
 MINUTES_PER_CORAL = 60
@@ -243,8 +244,10 @@ def replay_room_events(events: DataFrame, members: DataFrame, rooms: DataFrame)
         .withColumn("_is_in", F.col("action") == "join")
         .withColumn("_step", F.col("_is_in").cast("int") - F.col("_was_in").cast("int"))
     )
+    # Each stage is read twice below; materialising it keeps the work linear in the log.
+    stepped = cut_lineage(stepped.select("seq", "room_id", "user_id", "action", "_was_in", "_step"))
     heads = members.groupBy("room_id").agg(F.count("*").alias("_heads"))
-    counted = (
+    counted = cut_lineage(
         running_total(stepped, ["room_id"], "seq", "_step", "_moved")
         .join(heads, "room_id", "left")
         .withColumn("members_after", F.coalesce("_heads", F.lit(0)) + F.col("_moved"))

@@ -104,15 +104,12 @@ def friends_of(friendships: DataFrame, users: DataFrame, blocks: DataFrame) -> D
 
 def block_list(blocks: DataFrame, users: DataFrame) -> DataFrame:
     """Whom each diver has blocked, newest first (ties by id)."""
-    named = blocks.join(users.select("id", "name", "initial", "avatar_bg"), F.col("blocked_id") == F.col("id"))
     placed = running_position(
-        named,
-        ["blocker_id"],
-        [F.desc("created_at"), F.asc("blocked_id")],
-        F.to_date("created_at"),
-        descending=True,
+        blocks, ["blocker_id"], [F.desc("created_at"), F.asc("blocked_id")], F.to_date("created_at"), descending=True
     )
-    return placed.select("blocker_id", "pos", "id", "name", "initial", "avatar_bg")
+    return placed.join(
+        users.select("id", "name", "initial", "avatar_bg"), F.col("blocked_id") == F.col("id")
+    ).select("blocker_id", "pos", "id", "name", "initial", "avatar_bg")
 
 
 def add_friendships(friendships: DataFrame, accepted: DataFrame, as_of) -> DataFrame:

@@ -31,10 +31,10 @@ def trade_lists(
         F.col("id").alias(f"{p}_id"), F.col("name").alias(f"{p}_name"),
         F.col("initial").alias(f"{p}_initial"), F.col("avatar_bg").alias(f"{p}_bg"),
     )
-    named = sides.join(about("from"), "from_id").join(about("to").drop("to_initial", "to_bg"), "to_id")
     placed = running_position(
-        named, ["user_id", "side"], [F.desc("created_at"), F.asc("id")], F.to_date("created_at"), descending=True
+        sides, ["user_id", "side"], [F.desc("created_at"), F.asc("id")], F.to_date("created_at"), descending=True
     )
+    placed = placed.join(about("from"), "from_id").join(about("to").drop("to_initial", "to_bg"), "to_id")
     return placed.select(
         "user_id", "side", "pos", "id", "from_id", "to_id", "from_name", "from_initial", "from_bg",
         "to_name", "give_id", "get_id", "status", "created_at",

@@ -8,7 +8,7 @@ slices, and carry totals from slice to slice through a small aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,54 +31,57 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def _carry_in(per_slice: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Sum of `value` over the earlier slices of each key."""
-    w = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    return per_slice.withColumn("_carry", F.coalesce(F.sum(value).over(w), F.lit(0))).drop(value)
-
-
-def running_position(
+def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     slice_by: Column,
+    sums: Mapping[str, Column],
     descending: bool = False,
-    name: str = "pos",
 ) -> DataFrame:
-    """1-based position of each row within its key.
+    """Inclusive running sums per key, as new bigint columns.
 
     `slice_by` must follow the order: it never decreases along it (never
-    increases when `descending`).
+    increases when `descending`). The totals of earlier slices come from a
+    partial aggregate, one row per (key, slice).
     """
-    sliced = df.withColumn("_slice", slice_by)
-    sized = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("_slice") if descending else F.asc("_slice"))
-    carried = sized.withColumn(
-        "_carry",
-        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).drop("_n")
-    within = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    names = list(sums)
+    sliced = df.withColumns({**{f"_v_{n}": c for n, c in sums.items()}, "_slice": slice_by})
+    totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    along = Window.partitionBy(*keys).orderBy(F.desc("_slice") if descending else F.asc("_slice"))
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        *keys, "_slice", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in names]
+    )
+    within = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        sliced.withColumn("_rn", F.row_number().over(within))
+        sliced.select("*", *[F.sum(f"_v_{n}").over(within).alias(f"_r_{n}") for n in names])
         .join(carried, [*keys, "_slice"])
-        .withColumn(name, (F.col("_carry") + F.col("_rn")).cast("bigint"))
-        .drop("_carry", "_rn", "_slice")
+        .select(*df.columns, *[(F.col(f"_c_{n}") + F.col(f"_r_{n}")).cast("bigint").alias(n) for n in names])
     )
 
 
+def running_position(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    slice_by: Column,
+    descending: bool = False,
+    name: str = "pos",
+) -> DataFrame:
+    """1-based position of each row within its key (see `running_sums`).
+
+    The input is read twice, so keep it narrow: rank first, look attributes up
+    afterwards.
+    """
+    return running_sums(df, keys, order, slice_by, {name: F.lit(1)}, descending)
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], seq: str, value: str, name: str, size: int = SEQ_SLICE
 ) -> DataFrame:
     """Inclusive running sum of `value` per key along a unique integer `seq`."""
-    sliced = df.withColumn("_slice", seq_slice(seq, size))
-    sums = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_v"))
-    within = Window.partitionBy(*keys, "_slice").orderBy(seq)
-    return (
-        sliced.withColumn("_rs", F.sum(value).over(within))
-        .join(_carry_in(sums, keys, "_v"), [*keys, "_slice"])
-        .withColumn(name, F.col("_carry") + F.col("_rs"))
-        .drop("_carry", "_rs", "_slice")
-    )
+    return running_sums(df, keys, [F.asc(seq)], seq_slice(seq, size), {name: F.col(value)})
 
 
 def previous_value(

@@ -16,6 +16,7 @@ from lagoon.session import cut_lineage
 
 SPARE_POSITIONS = 1_000
 BROADCAST_ROWS = 100_000
+BROADCAST_CELLS = 1_000_000
 
 
 def visible_top(
@@ -50,10 +51,17 @@ def visible_top(
             .groupBy("viewer_id")
             .agg(F.sort_array(F.collect_set("_pos")).alias("_hidden"))
         )
-        longest = hits.agg(F.max(F.size("_hidden"))).first()[0] or 0
-        if longest + k <= size or top.count() < size:
+        sizes = hits.agg(
+            F.coalesce(F.max(F.size("_hidden")), F.lit(0)).alias("longest"),
+            F.coalesce(F.sum(F.size("_hidden")), F.lit(0)).alias("cells"),
+            F.count("*").alias("rows"),
+        ).first()
+        if sizes.longest + k <= size or top.count() < size:
             break
         size *= 8
+    if sizes.rows <= BROADCAST_ROWS and sizes.cells <= BROADCAST_CELLS:
+        # Few viewers hide anybody who matters: spare the shuffle of all viewers.
+        hits = F.broadcast(hits)
     seen = F.coalesce(F.col("_hidden"), F.array().cast("array<int>"))
     open_places = F.slice(F.array_except(F.sequence(F.lit(1), F.size(seen) + k), seen), 1, k)
     return (

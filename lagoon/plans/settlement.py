@@ -94,11 +94,12 @@ def settle_trades(
     if judged is None:
         outcomes = refused
     else:
+        judged = cut_lineage(judged)
         settled = judged.filter(F.col("outcome") == ACCEPTED).select("trade_id")
         late = queue.join(judged.select("seq"), "seq", "left_anti").join(settled, "trade_id", "left_semi")
         verdicts = judged.select("trade_id", "seq", "outcome", "giving", "getting")
         outcomes = refused.unionByName(verdicts).unionByName(_too_late(late))
-    outcomes = _closed_before(outcomes)
+    outcomes = cut_lineage(_closed_before(outcomes))
     moved = held.filter("user_id <> home").select("id", F.col("user_id").alias("_to"))
     final = (
         creatures.join(moved, "id", "left")

@@ -91,7 +91,7 @@ def last_active(d):
     "activity_spells",
     """SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 5 MINUTE AS ended, count(*) AS dives FROM (
          SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, seq) AS spell FROM (
-           SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, seq) + INTERVAL 5 MINUTE
+           SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, seq) + INTERVAL 5 MINUTE
                           THEN 0 ELSE 1 END AS fresh FROM dives))
        GROUP BY user_id, spell""",
 )

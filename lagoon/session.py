@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, name: str = "lagoon", **conf) -> SparkSession:
@@ -55,7 +55,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Materialise a frame in the shared folder, so that a lost executor cannot lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise a frame as a table in the shared folder and read it back.
+
+    A lost executor cannot lose it, and the reader starts from a plain scan: a
+    round loop over such tables keeps plans of constant size, and their file
+    sizes let the optimizer choose joins.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

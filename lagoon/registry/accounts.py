@@ -264,7 +264,7 @@ RENAMES = """
   asks AS (SELECT c_custkey AS seq, 'u' || (c_custkey - c_custkey % 2) AS user_id,
       CASE c_custkey % 5 WHEN 0 THEN 'CUSTOMER ' || lpad(CAST(c_custkey - c_custkey % 2 AS VARCHAR), 9, '0')
            WHEN 1 THEN 'customer ' || lpad(CAST(c_custkey + 1 AS VARCHAR), 9, '0')
-           WHEN 2 THEN 'bad/name' ELSE ' Reef ' || (c_custkey % 60) END AS name FROM customer),
+           WHEN 2 THEN 'bad/name' ELSE ' Kelp ' || (c_custkey % 60) END AS name FROM customer),
   checked AS (SELECT a.seq, a.user_id, trim(a.name) AS name, CASE WHEN a.name = 'bad/name' THEN 'bad characters'
                      WHEN p.id IS NOT NULL AND p.id <> a.user_id THEN 'name taken' END AS early
               FROM asks a LEFT JOIN people p ON lower(p.name) = lower(trim(a.name))),
@@ -280,7 +280,7 @@ def diver_renames(d):
         k.alias("seq"),
         uid(k - k % 2).alias("user_id"),
         F.when(k % 5 == 0, F.concat(F.lit("CUSTOMER "), pad(k - k % 2))).when(k % 5 == 1, F.concat(F.lit("customer "), pad(k + 1)))
-        .when(k % 5 == 2, "bad/name").otherwise(F.concat(F.lit(" Reef "), (k % 60).cast("string"))).alias("name"),
+        .when(k % 5 == 2, "bad/name").otherwise(F.concat(F.lit(" Kelp "), (k % 60).cast("string"))).alias("name"),
     )
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagoon.llm import simhash
+from lagoon.llm import packing, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,9 +22,17 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.filter_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op7_packing": op7_packing, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_url_filter": urls.sql()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagoon.llm import packing, simhash, urls
+from lagoon.llm import iblt, packing, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,12 +26,16 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_iblt(spark: SparkSession, folder: str) -> DataFrame:
+    return iblt.fingerprint_versions(table(spark, folder, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filter_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op7_packing": op7_packing, "op10_url_filter": op10_url_filter}
+    return {"op1_simhash": op1_simhash, "op7_packing": op7_packing, "op9_iblt": op9_iblt, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagoon.llm import iblt, packing, secret_scan, simhash, urls
+from lagoon.llm import iblt, packing, secret_scan, simhash, suffixes, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, folder, "documents")))
 
 
+def op5_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -39,7 +43,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op4_secrets": op4_secrets, "op7_packing": op7_packing, "op9_iblt": op9_iblt, "op10_url_filter": op10_url_filter}
+    return {"op1_simhash": op1_simhash, "op4_secrets": op4_secrets, "op5_suffixes": op5_suffixes, "op7_packing": op7_packing, "op9_iblt": op9_iblt, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:

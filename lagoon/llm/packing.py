@@ -17,6 +17,9 @@ is ever gathered in one task.
 
 from __future__ import annotations
 
+import re
+import sys
+import types
 import zlib
 from collections.abc import Mapping
 
@@ -32,32 +35,71 @@ QUANTUM = 128
 END = 1
 #: Sources with their own queue, by tokens; the rest share one.
 QUEUES = 255
-#: Words of the cache in a task.
-CACHE = 300_000
+#: Parts in a worker's cache.
+CACHE = 600_000
+
+
+#: A stop or comma that is a piece of its own: after a letter or digit, before white space.
+_MARK = re.compile(r"(?<=[^\W_])([.,])(?= )")
+#: A stop or comma before a blank that follows something else.
+_RUN = re.compile(r"[.,](?<![^\W_][.,]) ")
+_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def encoder(path: str):
-    """A function from text to token ids as bytes of unsigned 16-bit numbers; end token not included.
+    """A function from texts to token ids as bytes of unsigned 16-bit numbers; end token not included.
 
-    The tokenizer drops white space and never merges across it, so the ids of a
-    text are those of its parts between blanks; parts that occur again come from
-    a cache of bounded size.
+    The tokenizer lower-cases, drops white space and never merges across it, nor
+    between a word and a mark, so the ids of a text are those of its parts; parts
+    that occur again come from a cache of bounded size, which the worker process
+    keeps from task to task. New words go to the tokenizer many at a time as one
+    text: each ends with a token that only ends words, so the ids fall apart again.
     """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    cache: dict[str, bytes] = {"": b""}
+    kept = sys.modules.setdefault("lagoon_llm_encoders", types.ModuleType("lagoon_llm_encoders")).__dict__
+    if path not in kept:
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        ends = np.zeros(1 << 16, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        kept[path] = (tokenizer, ends, {})
+    tokenizer, ends, cache = kept[path]
+
+    def alone(some: list[str]) -> None:
+        for part, got in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            cache[part] = np.array(got.ids, np.uint16).tobytes()
+
+    def together(some: list[str]) -> None:
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint16)
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) != len(some):  # a letter that is two once lower-cased
+            return alone(some)
+        raw, begin = ids.tobytes(), 0
+        for part, stop in zip(some, (2 * stops).tolist(), strict=True):
+            cache[part] = raw[begin:stop]
+            begin = stop
+
+    def parts_of(text: str) -> list[str]:
+        if "<|" in text:  # special tokens are told apart by case
+            return text.split(" ")
+        text = text.translate(_LOWER) if "\u03a3" in text or "\u0130" in text else text.lower()  # letters whose small form depends
+        text = text.replace("\n", " ") + " "
+        if _RUN.search(text):
+            return _MARK.sub(r" \1", text).split(" ")
+        return text.replace(". ", " . ").replace(", ", " , ").split(" ")
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(cache) > CACHE:
             cache.clear()
-            cache[""] = b""
-        parts = [t.split(" ") for t in texts]
-        missing = list({w for p in parts for w in p}.difference(cache))
-        for i in range(0, len(missing), 1000):
-            some = missing[i : i + 1000]
-            for part, got in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                cache[part] = np.array(got.ids, np.uint16).tobytes()
+        parts = [parts_of(t) for t in texts]
+        missing = set().union(*parts).difference(cache)
+        words = [w for w in missing if w.isalpha()]
+        others = list(missing.difference(words))
+        for i in range(0, len(words), 500):
+            together(words[i : i + 500])
+        for i in range(0, len(others), 500):
+            alone(others[i : i + 500])
         return [b"".join(map(cache.__getitem__, p)) for p in parts]
 
     return encode

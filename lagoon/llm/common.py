@@ -101,3 +101,15 @@ def connected(edges: DataFrame) -> DataFrame:
 def text_of(column: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def keep_rows(df: DataFrame, keep: Callable[[], Callable[[list[str]], list[bool]]], text_column: str = "text") -> DataFrame:
+    """The rows whose text the predicate keeps, all columns as they are. keep() is called once in each task and gives the predicate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = keep()
+        for batch in batches:
+            for part in slices(batch, text_column):
+                yield part.filter(pa.array(good([t or "" for t in part.column(text_column).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagoon.llm import iblt, packing, secret_scan, simhash, suffixes, urls
+from lagoon.llm import iblt, packing, secret_scan, simhash, suffixes, toxicity, unigram, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.grade(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, folder, "documents")))
 
@@ -30,6 +35,10 @@ def op5_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, folder, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return unigram.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,7 +52,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op4_secrets": op4_secrets, "op5_suffixes": op5_suffixes, "op7_packing": op7_packing, "op9_iblt": op9_iblt, "op10_url_filter": op10_url_filter}
+    return {"op1_simhash": op1_simhash, "op3_toxicity": op3_toxicity, "op4_secrets": op4_secrets, "op5_suffixes": op5_suffixes, "op6_token_counts": op6_token_counts, "op7_packing": op7_packing, "op9_iblt": op9_iblt, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:

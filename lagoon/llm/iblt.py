@@ -33,41 +33,53 @@ RUN = 32
 RANGE_BYTES = 4 << 20
 RANGES = 10_000
 _SENTENCE = re.compile(rb"(?<=[.!?])[\x20\x09-\x0d]+|\n")
-_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_ODD = np.array([[0x9E3779B97F4A7C15], [0xC2B2AE3D27D4EB4F], [0x165667B19E3779F9]], np.uint64)
 
 
 def paragraphs(text: bytes) -> list[bytes]:
     out = []
     for sentence in _SENTENCE.split(text):
+        if len(sentence) < 2 * RUN:  # too short for a second run
+            if sentence := sentence.strip():
+                out.append(sentence)
+            continue
         w = sentence.split()
+        if len(w) <= RUN:
+            if w:
+                out.append(sentence.strip())
+            continue
         out += [b" ".join(w[i : i + RUN]) for i in range(0, len(w), RUN)]
     return out
 
 
 def digests(text: bytes) -> np.ndarray:
     """64-bit digests of the paragraphs; the n-th copy of one (from 0) is hashed with seed n."""
+    found = paragraphs(text)
+    digest = xxhash.xxh64_intdigest
+    if len(set(found)) == len(found):
+        return np.fromiter(map(digest, found), np.uint64, len(found))
     seen: dict[bytes, int] = {}
-    out = []
-    for p in paragraphs(text):
+    out = np.zeros(len(found), np.uint64)
+    for i, p in enumerate(found):
         n = seen.get(p, 0)
         seen[p] = n + 1
-        out.append(xxhash.xxh64_intdigest(p, n))
-    return np.array(out, np.uint64)
+        out[i] = digest(p, n)
+    return out
 
 
-def _mix(x: np.ndarray, odd: np.uint64) -> np.ndarray:
+def _mix(x: np.ndarray, odd: np.ndarray | np.uint64) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * odd
-    x = (x ^ (x >> np.uint64(29))) * _ODD[0]
     return x ^ (x >> np.uint64(32))
 
 
 def _checks(keys: np.ndarray) -> np.ndarray:
-    return (_mix(keys, np.uint64(0xD6E8FEB86659FD93)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return _mix(keys, np.uint64(0xD6E8FEB86659FD93)).astype(np.uint32)
 
 
 def _cells(keys: np.ndarray, third: int) -> np.ndarray:
-    """Cell in each third, as rows; the size is part of the hash, so a retry places all anew."""
-    return np.stack([(_mix(keys + np.uint64(third), odd) % np.uint64(third)).astype(np.int64) + i * third for i, odd in enumerate(_ODD)])
+    """Cell in each third, one third after the other; the size is part of the hash, so a retry places all anew."""
+    places = _mix(keys * np.uint64(2 * third + 1), _ODD) % np.uint64(third)
+    return (places.astype(np.int64) + np.array([[0], [third], [2 * third]])).ravel()
 
 
 class Sketch:
@@ -77,12 +89,11 @@ class Sketch:
         self.keys = np.zeros(3 * third, np.uint64)
         self.checks = np.zeros(3 * third, np.uint32)
 
-    def add(self, keys: np.ndarray, signs: np.ndarray | int = 1) -> Sketch:
-        checks = _checks(keys)
-        for at in _cells(keys, self.third):
-            np.add.at(self.count, at, signs)
-            np.bitwise_xor.at(self.keys, at, keys)
-            np.bitwise_xor.at(self.checks, at, checks)
+    def add(self, keys: np.ndarray, signs: np.ndarray | None = None) -> Sketch:
+        at = _cells(keys, self.third)
+        self.count += np.bincount(at, None if signs is None else np.concatenate([signs] * 3), 3 * self.third).astype(np.int32)
+        np.bitwise_xor.at(self.keys, at, np.concatenate([keys] * 3))
+        np.bitwise_xor.at(self.checks, at, np.concatenate([_checks(keys)] * 3))
         return self
 
     def __sub__(self, other: Sketch) -> Sketch:
@@ -100,8 +111,12 @@ class Sketch:
             alone = alone[_checks(self.keys[alone]) == self.checks[alone]]
             if not len(alone):
                 break
-            keys, first = np.unique(self.keys[alone], return_index=True)
-            signs = self.count[alone][first]
+            keys, signs = self.keys[alone], self.count[alone]
+            if len(keys) > 1:
+                order = np.argsort(keys)
+                keys, signs = keys[order], signs[order]
+                fresh = np.concatenate([[True], keys[1:] != keys[:-1]])
+                keys, signs = keys[fresh], signs[fresh]
             found.append((keys, signs))
             if sum(len(k) for k, _ in found) > 9 * self.third:  # false singles go round in circles
                 return None

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagoon.llm import iblt, packing, secret_scan, simhash, suffixes, toxicity, unigram, urls
+from lagoon.llm import decontam, iblt, licences, packing, secret_scan, simhash, suffixes, toxicity, unigram, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan_licences(table(spark, folder, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.grade(docs, toxicity.train(docs, table(spark, folder, "labels")))
@@ -43,6 +47,10 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_iblt(spark: SparkSession, folder: str) -> DataFrame:
     return iblt.fingerprint_versions(table(spark, folder, "documents"))
 
@@ -52,7 +60,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op3_toxicity": op3_toxicity, "op4_secrets": op4_secrets, "op5_suffixes": op5_suffixes, "op6_token_counts": op6_token_counts, "op7_packing": op7_packing, "op9_iblt": op9_iblt, "op10_url_filter": op10_url_filter}
+    return {"op1_simhash": op1_simhash, "op2_licences": op2_licences, "op3_toxicity": op3_toxicity, "op4_secrets": op4_secrets, "op5_suffixes": op5_suffixes, "op6_token_counts": op6_token_counts, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination, "op9_iblt": op9_iblt, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:

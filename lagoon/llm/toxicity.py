@@ -70,7 +70,7 @@ def _logistic(x):
     return 0.5 * (1 + np.tanh(0.5 * np.asarray(x, float)))
 
 
-def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, penalty: float = 1e-3, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, penalty: float = 1e-4, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of most likely grades less penalty * weights ** 2, by Adam steps.
 
     Thresholds are the first one plus positive steps, so their order holds throughout.
@@ -87,7 +87,7 @@ def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, penalty:
         gaps = np.exp(free[1:])
         theta = free[0] + np.concatenate([[0], np.cumsum(gaps)])
         bounds = np.concatenate([[-np.inf], theta, [np.inf]])
-        score = x @ w
+        score = x @ w.astype(x.dtype)
         # P(grade = k) = F(upper - score) - F(lower - score)
         up, low = bounds[grade + 1] - score, bounds[grade] - score
         f_up, f_low = _logistic(up), _logistic(low)
@@ -95,7 +95,7 @@ def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, penalty:
         d_up, d_low = f_up * (1 - f_up) / p, f_low * (1 - f_low) / p
         g_theta = np.array([(d_low[grade == k + 1].sum() - d_up[grade == k].sum()) / n for k in range(grades - 1)])
         later = np.cumsum(g_theta[::-1])[::-1]
-        g = np.concatenate([x.T @ (d_up - d_low) / n + penalty * w, later[:1], later[1:] * gaps])
+        g = np.concatenate([x.T @ (d_up - d_low).astype(x.dtype) / n + penalty * w, later[:1], later[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         params = params - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     free = params[d:]

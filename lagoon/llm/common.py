@@ -113,3 +113,11 @@ def keep_rows(df: DataFrame, keep: Callable[[], Callable[[list[str]], list[bool]
                 yield part.filter(pa.array(good([t or "" for t in part.column(text_column).to_pylist()]), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -21,10 +21,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from lagoon.llm.common import as_batch, slices, text_of, to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from lagoon.llm.common import as_batch, slices, text_of
+
 #: Cells in each third of the published sketch; factor of a retry; words of a run within one sentence.
 CELLS = 8
 LARGER = 4

@@ -20,7 +20,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import text_of
+from lagoon.llm.common import fresh
 
 WINDOW = 20
 #: Pattern, the group that must be long enough, its least length, and a test any match passes.
@@ -168,9 +168,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_column: str = "text") -
         longer = F.array_append(F.slice(a, F.lit(1), F.size(a) - 1), F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end")))
         return F.when(F.coalesce(last["end"] >= x["start"], F.lit(False)), longer).otherwise(F.array_append(a, F.struct(x["start"].alias("start"), x["end"].alias("end"))))
 
-    name = "__spans"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "__spans")
     found = docs.withColumn(name, F.aggregate(spans(text), none, join))
     merged = F.col(name)
     before = F.concat(F.array(F.lit(0)), F.transform(merged, lambda x: x["end"]))

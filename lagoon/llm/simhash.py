@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.llm.common import arrow_map, bytes_of, connected, slices, stage
@@ -170,6 +170,13 @@ def mask(part: list[int]) -> int:
     return signed(sum(1 << b for b in part))
 
 
+def _variants(number: int, part: list[int], most: int) -> Column:
+    """(part, keys): the fingerprint's own bits of the part, with up to `most` of them turned."""
+    own = F.col("fp").bitwiseAND(F.lit(mask(part)))
+    turned = F.transform(F.array(*[F.lit(x) for x in flips(part, most)]), lambda x: own.bitwiseXOR(x))
+    return F.struct(F.lit(number).alias("part"), turned.alias("keys"))
+
+
 # --- links ------------------------------------------------------------------------------------------
 
 
@@ -199,12 +206,7 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     if plain:
         probes = index
     else:
-        variants = F.array(
-            *[
-                F.struct(F.lit(i).alias("part"), F.transform(F.array(*[F.lit(x) for x in flips(p, t)]), lambda x, p=p: fp.bitwiseAND(F.lit(mask(p))).bitwiseXOR(x)).alias("keys"))
-                for i, (p, t) in enumerate(plan)
-            ]
-        )
+        variants = F.array(*[_variants(i, p, t) for i, (p, t) in enumerate(plan)])
         probes = nodes.select(fp, F.explode(variants).alias("k")).select("fp", "k.part", F.explode("k.keys").alias("key"))
         probes = stage(probes.join(counts, ["part", "key"]))
     left, right = probes.where(F.col("n") <= BUCKET), index.where(F.col("n") <= BUCKET)

@@ -88,7 +88,8 @@ def clamp_minutes(text: Column) -> Column:
 
 
 def round_half_up(value: Column) -> Column:
-    return F.floor(value + F.lit(0.5)).cast("int")
+    """Halves go up; null for what no int holds."""
+    return F.when(F.abs(value) < F.lit(2.0**31 - 1), F.floor(value + F.lit(0.5))).cast("int")
 
 
 def cap_text(text: Column, units: int = 500) -> Column:
@@ -113,9 +114,14 @@ def link_expiry(start: Column) -> Column:
     return expires_after(start, hours=24)
 
 
-def minted_id(prefix: str, *natural_key: Column, length: int = 12) -> Column:
-    """An id derived from the row's natural key, so a retried job mints the same one."""
-    key = F.concat_ws("|", *[c.cast("string") for c in natural_key])
+def minted_id(prefix: str, *natural_key: Column, length: int = 32) -> Column:
+    """An id derived from the row's natural key, so a retried job mints the same one.
+
+    128 bits of the hash of the key's parts, each with its length before it and a
+    dash for null, so that different keys are never the same text.
+    """
+    parts = [c.cast("string") for c in natural_key]
+    key = F.concat(*[F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in parts])
     return F.concat(F.lit(prefix), F.substring(F.sha2(key, 256), 1, length))
 
 

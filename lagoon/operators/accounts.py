@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagoon.functions.moderation import DEFAULT_LEXICON
@@ -81,12 +81,14 @@ def live_links(links: DataFrame, as_of: Column) -> DataFrame:
 def redeem_links(redemptions: DataFrame, links: DataFrame, users: DataFrame) -> DataFrame:
     """redemptions(seq, ts, token): confirmed, expired or changed.
 
-    The first redemption in time uses a link up, also when the address has
+    A link is good from its issue to its expiry or the account's next issue,
+    which voids it. The first redemption in time uses a link up, also when the address has
     changed since; every other one finds it expired.
     """
     presented = redemptions.withColumn("token_hash", token_hash(F.nullif(F.col("token"), F.lit(""))))
-    hits = presented.join(links.select("token_hash", "user_id", F.col("email").alias("_mailed"), "expires_at"), "token_hash")
-    hits = hits.filter(F.col("ts") < F.col("expires_at"))
+    voided = F.lead("created_at").over(Window.partitionBy("user_id").orderBy("created_at", "token_hash"))
+    issued = links.select("token_hash", "user_id", F.col("email").alias("_mailed"), "created_at", F.least("expires_at", voided).alias("_until"))
+    hits = presented.join(issued, "token_hash").filter((F.col("ts") >= F.col("created_at")) & (F.col("ts") < F.col("_until")))
     first = first_per_key(hits, ["token_hash"], [F.asc("seq")])
     now = users.select(F.col("id").alias("user_id"), F.col("email").alias("_email"))
     same = F.coalesce(F.lower("_email") == F.lower("_mailed"), F.lit(False))
@@ -112,7 +114,8 @@ def resolve_identities(claims: DataFrame, users: DataFrame) -> DataFrame:
 
     A verified address links to its account when that has no subject yet. An
     address that cannot be linked must be free. A subject settled earlier in the
-    batch is known afterwards.
+    batch is known afterwards. Every known, linked or created claim names its
+    account; a created one's id is minted from the subject.
     """
     subs = users.filter("apple_sub is not null").select(F.col("apple_sub").alias("sub"), F.col("id").alias("_by_sub"))
     mails = users.filter("email is not null").select(
@@ -131,9 +134,10 @@ def resolve_identities(claims: DataFrame, users: DataFrame) -> DataFrame:
         .otherwise("conflict")
     )
     looked = looked.withColumn("_path", path)
-    able = looked.filter(F.col("_path").isin("created", "linked")).select("seq", "sub", "_mail")
-    won = grant_in_order(able, "seq", "sub", "_mail").withColumn("_won", F.lit(True))
-    settled = able.join(won, "seq").select("sub", F.col("seq").alias("_settled"))
+    account = F.when(F.col("_path") == "created", minted_id("u", F.lit("subject"), F.col("sub"))).otherwise(F.col("_by_mail"))
+    able = looked.filter(F.col("_path").isin("created", "linked")).select("seq", "sub", "_mail", account.alias("_account"))
+    won = grant_in_order(able.select("seq", "sub", "_mail"), "seq", "sub", "_mail").withColumn("_won", F.lit(True))
+    settled = able.join(won, "seq").select("sub", F.col("seq").alias("_settled"), "_account")
     outcome = (
         F.when(F.col("_path") == "known", "known")
         .when(F.col("_won"), F.col("_path"))
@@ -147,7 +151,7 @@ def resolve_identities(claims: DataFrame, users: DataFrame) -> DataFrame:
         .select(
             "seq", "sub", "outcome",
             F.when(F.col("_path") == "known", F.col("_by_sub"))
-            .when(F.col("outcome") == "linked", F.col("_by_mail"))
+            .when(F.col("outcome") != "conflict", F.col("_account"))
             .alias("user_id"),
         )
     )
@@ -283,8 +287,10 @@ def assign_names(requests: DataFrame, users: DataFrame, lexicon=DEFAULT_LEXICON)
         .withColumn("_key", F.lower("name"))
         .join(occupied, "_key", "left_anti")
     )
-    fallback = free.groupBy("seq").agg(F.min_by("name", "_i").alias("name"))
-    return named.unionByName(fallback)
+    fallback = free.groupBy("seq").agg(F.min_by("name", "_i").alias("_free"))
+    # All numbers taken: 56 bits of a hash, which nobody is asked about.
+    last = F.concat(F.lit(FALLBACK_STEM), F.substring(F.sha2(F.col("seq").cast("string"), 256), 1, 14))
+    return named.unionByName(unnamed.join(fallback, "seq", "left").select("seq", F.coalesce("_free", last).alias("name")))
 
 
 # How every table hangs off an account (and off a hosted room).

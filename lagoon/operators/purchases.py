@@ -14,6 +14,7 @@ from lagoon.plans.skew import first_per_key
 from lagoon.sources.files import append_new
 
 ENTITLEMENT = "pro"
+LAST_MILLIS = 253_402_300_800_000.0  # the year 10000
 # Event types by what they do to a subscription.
 GRANTING = ["INITIAL_PURCHASE", "RENEWAL", "PRODUCT_CHANGE", "UNCANCELLATION"]
 IGNORED = ["CANCELLATION", "BILLING_ISSUE", "TRANSFER"]
@@ -95,6 +96,7 @@ def classify_purchases(events: DataFrame, catalogue: Catalogue | None = None) ->
     pearls = cat.pearls(product)
     transaction = transaction_of(F.col("transaction_id"), F.col("original_transaction_id"))
     millis = F.nullif(parse_number(F.col("expiration_at_ms").cast("string")), F.lit(0.0))
+    millis = F.when(F.abs(millis) < LAST_MILLIS, millis)  # beyond the year 9999 it is no expiry
     granting, single = kind_of.isin(GRANTING), kind_of == "NON_RENEWING_PURCHASE"
 
     kind = (

@@ -67,6 +67,7 @@ def room_dive_problem(mins: Column, depth: Column) -> Column:
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     return (
         F.when(bad(mins) | (mins <= 0), "minutes missing")
+        .when(mins >= 2.0**31 - 1, "minutes out of range")
         .when(bad(depth) | (depth < 10) | (depth > 120), "depth out of range")
         .when(F.floor(mins + 0.5) < 1, "minutes round to zero")
     )

@@ -9,6 +9,8 @@ slices, and carry totals from slice to slice through a small aggregate.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,14 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def _carried_to(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with what their (key, slice) carries. Nulls are keys and slices like any other."""
+    names = {k: f"_k{i}" for i, k in enumerate([*keys, "_slice"])}
+    renamed = carried.withColumnsRenamed(names)
+    same = reduce(and_, [rows[k].eqNullSafe(renamed[n]) for k, n in names.items()])
+    return rows.join(renamed, same).drop(*names.values())
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -54,9 +64,9 @@ def running_sums(
         *keys, "_slice", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in names]
     )
     within = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = sliced.select("*", *[F.sum(f"_v_{n}").over(within).alias(f"_r_{n}") for n in names])
     return (
-        sliced.select("*", *[F.sum(f"_v_{n}").over(within).alias(f"_r_{n}") for n in names])
-        .join(carried, [*keys, "_slice"])
+        _carried_to(inside, carried, keys)
         .select(*df.columns, *[(F.col(f"_c_{n}") + F.col(f"_r_{n}")).cast("bigint").alias(n) for n in names])
     )
 
@@ -94,10 +104,9 @@ def previous_value(
         "_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice"))
     ).drop("_last")
     within = Window.partitionBy(*keys, "_slice").orderBy(seq)
+    inside = sliced.withColumn("_first", F.row_number().over(within) == 1).withColumn("_lag", F.lag(value).over(within))
     return (
-        sliced.withColumn("_first", F.row_number().over(within) == 1)
-        .withColumn("_lag", F.lag(value).over(within))
-        .join(carried, [*keys, "_slice"])
+        _carried_to(inside, carried, keys)
         .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
         .drop("_carry", "_lag", "_first", "_slice")
     )

@@ -7,7 +7,7 @@ from lagoon.operators import accounts as op
 from lagoon.operators import activity, limits, purchases
 from lagoon.registry import query
 from lagoon.registry.purchases import EFFECTS
-from lagoon.registry.views import AS_OF_SQL, N
+from lagoon.registry.views import AS_OF_SQL, N, minted_sql
 from lagoon.sources.domain import AS_OF, instant, uid
 
 
@@ -114,8 +114,10 @@ def live_links(d):
 
 REDEEMED = """
   asked AS (SELECT event_id AS seq, ts, sha256('ver' || (event_id - 1 - event_id % 40)) AS h, event_id % 11 = 0 AS blank FROM events),
+  issued AS (SELECT *, lead(created_at) OVER (PARTITION BY user_id ORDER BY created_at, token_hash) AS voided FROM email_verifications),
   hits AS (SELECT a.seq, l.user_id, l.email, row_number() OVER (PARTITION BY a.h ORDER BY a.seq) AS rn
-           FROM asked a JOIN email_verifications l ON l.token_hash = a.h AND a.ts < l.expires_at WHERE NOT blank),
+           FROM asked a JOIN issued l ON l.token_hash = a.h AND a.ts >= l.created_at AND a.ts < l.expires_at
+             AND (l.voided IS NULL OR a.ts < l.voided) WHERE NOT blank),
   redeemed AS (SELECT a.seq, a.ts, h.user_id, CASE WHEN h.seq IS NULL THEN 'expired'
                       WHEN coalesce(lower(u.email) = lower(h.email), false) THEN 'confirmed' ELSE 'changed' END AS outcome
                FROM asked a LEFT JOIN hits h ON h.seq = a.seq AND h.rn = 1 LEFT JOIN accounts u ON u.id = h.user_id)"""
@@ -176,14 +178,18 @@ def identity_log(d):
                          WHEN c.email_verified AND m.apple_sub IS NULL THEN 'linked' ELSE 'conflict' END AS path
              FROM claims c LEFT JOIN accounts s ON s.apple_sub = c.sub LEFT JOIN accounts m ON lower(m.email) = lower(trim(c.email))),
   walk AS (
-    SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS subs, CAST([] AS VARCHAR[]) AS mails,
+    SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS subs, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS mails,
            CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS sub, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS user_id
     UNION ALL
     SELECT i, CASE WHEN outcome IN ('created', 'linked') THEN list_append(subs, sub) ELSE subs END,
+           CASE WHEN outcome = 'created' THEN list_append(ids, {minted_sql('u', "'subject'", 'sub')})
+                WHEN outcome = 'linked' THEN list_append(ids, by_mail) ELSE ids END,
            CASE WHEN outcome IN ('created', 'linked') AND mail IS NOT NULL THEN list_append(mails, mail) ELSE mails END,
            seq, sub, outcome,
-           CASE WHEN path = 'known' THEN by_sub WHEN outcome = 'linked' THEN by_mail END
-    FROM (SELECT l.i, w.subs, w.mails, l.seq, l.sub, l.mail, l.path, l.by_sub, l.by_mail,
+           CASE WHEN path = 'known' THEN by_sub WHEN outcome = 'linked' THEN by_mail
+                WHEN outcome = 'created' THEN {minted_sql('u', "'subject'", 'sub')}
+                WHEN outcome = 'known' THEN list_extract(ids, list_position(subs, sub)) END
+    FROM (SELECT l.i, w.subs, w.ids, w.mails, l.seq, l.sub, l.mail, l.path, l.by_sub, l.by_mail,
                  CASE WHEN l.path = 'known' OR list_contains(w.subs, l.sub) THEN 'known'
                       WHEN l.path = 'conflict' OR coalesce(list_contains(w.mails, l.mail), false) THEN 'conflict'
                       ELSE l.path END AS outcome
@@ -251,7 +257,7 @@ def signup_outcomes(d):
 
 @query(
     "created_users",
-    f"""WITH RECURSIVE {PEOPLE}, {SIGNUPS} SELECT 'u' || substring(sha256(email), 1, 12) AS id, name,
+    f"""WITH RECURSIVE {PEOPLE}, {SIGNUPS} SELECT {minted_sql('u', 'email')} AS id, name,
           upper(substring(name, 1, 1)) AS initial, email, {AS_OF_SQL} AS created_at FROM walk WHERE outcome = 'ok'""",
 )
 def created_users(d):
@@ -483,34 +489,39 @@ def identity_claims_triage(d):
 
 # Budgets small enough to bite on this log: four calls a day, two of them strict.
 BUDGET = """
-  framed AS (SELECT event_id AS request_id, ts, device_key AS limit_key, path, date_trunc('day', ts) AS w FROM auth_log),
+  framed AS (SELECT event_id AS request_id, ts, device_key AS limit_key, method, path, date_trunc('day', ts) AS w FROM auth_log),
   counted AS (SELECT *, row_number() OVER (PARTITION BY limit_key, w ORDER BY ts, request_id) AS nth FROM framed WHERE path <> 'error'),
   strictly AS (SELECT *, row_number() OVER (PARTITION BY limit_key, w ORDER BY ts, request_id) AS snth FROM counted
-               WHERE nth <= 4 AND path IN ('signup', 'view', 'purchase'))"""
+               WHERE nth <= 4 AND method = 'POST' AND path IN ('signup', 'view', 'purchase'))"""
 
 
 def auth_log(d):
-    return d.auth_log.select(F.col("event_id").alias("request_id"), "ts", F.col("device_key").alias("limit_key"), "path")
+    return d.auth_log.select(F.col("event_id").alias("request_id"), "ts", F.col("device_key").alias("limit_key"), "method", "path")
+
+
+STRICT = [("POST", p) for p in ("signup", "view", "purchase")]
 
 
 @query(
     "throttle_decisions",
     f"""WITH {BUDGET}
-  SELECT request_id, ts, limit_key, path, 'admitted' AS decision FROM framed WHERE path = 'error'
-  UNION ALL SELECT request_id, ts, limit_key, path, 'throttled' FROM counted WHERE nth > 4
-  UNION ALL SELECT request_id, ts, limit_key, path, 'admitted' FROM counted WHERE nth <= 4 AND path = 'click'
-  UNION ALL SELECT request_id, ts, limit_key, path, CASE WHEN snth <= 2 THEN 'admitted' ELSE 'throttled strictly' END FROM strictly""",
+  SELECT request_id, ts, limit_key, method, path, 'admitted' AS decision FROM framed WHERE path = 'error'
+  UNION ALL SELECT request_id, ts, limit_key, method, path, 'throttled' FROM counted WHERE nth > 4
+  UNION ALL SELECT request_id, ts, limit_key, method, path, 'admitted' FROM counted WHERE nth <= 4 AND (path = 'click' OR method = 'GET')
+  UNION ALL SELECT request_id, ts, limit_key, method, path, CASE WHEN snth <= 2 THEN 'admitted' ELSE 'throttled strictly' END FROM strictly""",
 )
 def throttle_decisions(d):
     return limits.throttle_decisions(
-        auth_log(d), "1 day", 4, 2, strict=["signup", "view", "purchase"], exempt=["error"]
+        auth_log(d), "1 day", 4, 2, strict=STRICT, exempt=["error"]
     )
 
 
 @query(
     "budget_violations",
-    """SELECT device_key AS limit_key, date_trunc('day', ts) AS window_start, count(*) AS calls
-       FROM auth_log GROUP BY 1, 2 HAVING count(*) > 2""",
+    """SELECT * FROM (SELECT device_key AS limit_key, date_trunc('day', ts) AS window_start,
+           count(*) FILTER (path <> 'error') AS calls,
+           count(*) FILTER (method = 'POST' AND path IN ('signup', 'view', 'purchase')) AS strict_calls
+         FROM auth_log GROUP BY 1, 2) WHERE calls > 2 OR strict_calls > 1""",
 )
 def budget_violations(d):
-    return limits.budget_violations(auth_log(d), "1 day", 2)
+    return limits.budget_violations(auth_log(d), "1 day", 2, 1, STRICT, ["error"])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lagoon.operators import activity as op
 from lagoon.registry import query
-from lagoon.registry.views import AS_OF_SQL, trim_sql
+from lagoon.registry.views import AS_OF_SQL, minted_sql, trim_sql
 from lagoon.sources.domain import AS_OF, instant
 
 WEEK = f"date_trunc('week', {AS_OF_SQL})"
@@ -41,7 +41,7 @@ def leaderboard(d):
           CASE WHEN species_id IS NOT NULL AND nickname LIKE ' Fin %' THEN {trim_sql('nickname')} END AS nickname,
           CASE WHEN nickname = 'no/slash' THEN 'bad characters' END AS nickname_rejected,
           CASE WHEN species_id IS NOT NULL
-               THEN 'c' || substring(sha256(user_id || '|' || seq), 1, 12) END AS creature_id
+               THEN {minted_sql('c', 'user_id', 'seq')} END AS creature_id
         FROM raw_dives""",
 )
 def ingest_dives(d):

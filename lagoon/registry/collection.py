@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lagoon.operators import activity
 from lagoon.operators import collection as op
 from lagoon.registry import query
-from lagoon.registry.views import AS_OF_SQL
+from lagoon.registry.views import AS_OF_SQL, minted_sql
 from lagoon.sources.domain import AS_OF, instant, uid
 
 
@@ -74,7 +74,7 @@ def friend_cards(d):
 
 @query(
     "backfill_creatures",
-    f"""SELECT 'c' || substring(sha256(user_id || '|' || species_id || '|' || i), 1, 12) AS id, user_id, species_id,
+    f"""SELECT {minted_sql('c', 'user_id', 'species_id', 'i')} AS id, user_id, species_id,
               CAST(NULL AS VARCHAR) AS nickname, {AS_OF_SQL} AS caught_at
         FROM (SELECT user_id, species_id, unnest(range(1, count + 1)) AS i FROM user_species s
               WHERE NOT EXISTS (SELECT 1 FROM user_creatures c WHERE c.user_id = s.user_id))""",

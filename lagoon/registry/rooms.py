@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lagoon.operators import rooms as op
 from lagoon.registry import query
-from lagoon.registry.views import AS_OF_SQL
+from lagoon.registry.views import AS_OF_SQL, minted_sql
 from lagoon.sources.domain import AS_OF, instant, uid
 
 # Room requests: every part row asks for a room, with most rules broken by some.
@@ -16,7 +16,7 @@ ROOM_REQUESTS = """
                 ELSE CASE WHEN p_partkey % 29 = 2 THEN 'cave' END END AS kind,
            CASE p_partkey % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'once' WHEN 2 THEN 'once'
                 ELSE CASE WHEN p_partkey % 31 = 3 THEN 'weekly' END END AS schedule,
-           CASE WHEN p_partkey % 7 = 0 THEN 'deep' ELSE CAST(p_partkey % 140 AS VARCHAR) || '.5' END AS depth,
+           CASE WHEN p_partkey % 7 = 0 THEN 'deep' WHEN p_partkey % 7 = 1 THEN '1e12' ELSE CAST(p_partkey % 140 AS VARCHAR) || '.5' END AS depth,
            CASE WHEN p_partkey % 5 = 0 THEN CAST(NULL AS VARCHAR) ELSE CAST(p_partkey % 1500 AS VARCHAR) END AS start_min,
            CASE WHEN p_partkey % 6 = 1 THEN 'soon' WHEN p_partkey % 6 = 2 THEN '2024-01-30 11:59:00'
                 WHEN p_partkey % 6 = 5 THEN '2024-01-30 11:58:59' ELSE '2024-02-05 10:00:00' END AS start_at
@@ -46,7 +46,7 @@ def room_requests(d):
         F.when(k % 19 == 0, "  ").when(k % 23 == 0, "k.y.s").otherwise(F.concat(F.lit(" "), "p_name", F.lit(" "))).alias("name"),
         F.when(k % 3 == 0, "room").when(k % 3 == 1, "expedition").when(k % 29 == 2, "cave").alias("kind"),
         F.when(k % 4 == 0, "daily").when((k % 4).isin(1, 2), "once").when(k % 31 == 3, "weekly").alias("schedule"),
-        F.when(k % 7 == 0, "deep").otherwise(F.concat(text(k % 140), F.lit(".5"))).alias("depth"),
+        F.when(k % 7 == 0, "deep").when(k % 7 == 1, "1e12").otherwise(F.concat(text(k % 140), F.lit(".5"))).alias("depth"),
         F.when(k % 5 != 0, text(k % 1500)).alias("start_min"),
         F.when(k % 6 == 1, "soon").when(k % 6 == 2, "2024-01-30 11:59:00").when(k % 6 == 5, "2024-01-30 11:58:59")
         .otherwise("2024-02-05 10:00:00").alias("start_at"),
@@ -57,8 +57,8 @@ def room_requests(d):
     "validate_rooms",
     f"""WITH {ROOM_REQUESTS}
   SELECT request_id, host_id, name, kind,
-         CASE WHEN kind = 'expedition' THEN CAST(floor(d + 0.5) AS INTEGER) END AS depth, schedule,
-         CASE WHEN schedule = 'daily' THEN CAST(floor(m + 0.5) AS INTEGER) END AS start_min,
+         CASE WHEN kind = 'expedition' THEN TRY_CAST(floor(d + 0.5) AS INTEGER) END AS depth, schedule,
+         CASE WHEN schedule = 'daily' THEN TRY_CAST(floor(m + 0.5) AS INTEGER) END AS start_min,
          CASE WHEN schedule <> 'daily' THEN s END AS start_at, reason
   FROM judged""",
 )
@@ -69,7 +69,7 @@ def validate_rooms(d):
 @query(
     "create_rooms",
     f"""WITH {ROOM_REQUESTS}
-  SELECT 'r' || substring(sha256(host_id || '|' || request_id), 1, 12) AS id, name, kind, schedule,
+  SELECT {minted_sql('r', 'host_id', 'request_id')} AS id, name, kind, schedule,
          host_id AS first_member, {AS_OF_SQL} AS joined_at
   FROM judged WHERE reason IS NULL""",
 )
@@ -85,12 +85,13 @@ RAW_DIVES = """
     SELECT l_orderkey * 10000000 + l_partkey * 100 + l_linenumber AS seq, 'r' || l_suppkey AS room_id,
            'u' || o_custkey AS user_id,
            CASE WHEN l_partkey % 13 = 0 THEN 'NaN'::DOUBLE WHEN l_partkey % 13 = 1 THEN 0.3
-                WHEN l_partkey % 13 = 2 THEN -1 ELSE l_quantity + 0.5 END AS mins,
+                WHEN l_partkey % 13 = 2 THEN -1 WHEN l_partkey % 13 = 3 THEN 1e12 ELSE l_quantity + 0.5 END AS mins,
            CASE WHEN l_partkey % 17 = 0 THEN 9.6 WHEN l_partkey % 17 = 1 THEN 120.4 ELSE 10 + 2 * l_quantity END AS depth,
            l_shipdate AS ts
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
   judged AS (
     SELECT r.*, CASE WHEN isnan(mins) OR mins <= 0 THEN 'minutes missing'
+                     WHEN mins > 2147483646 THEN 'minutes out of range'
                      WHEN depth < 10 OR depth > 120 THEN 'depth out of range'
                      WHEN floor(mins + 0.5) < 1 THEN 'minutes round to zero'
                      WHEN m.room_id IS NULL THEN 'not a member' END AS reason
@@ -106,7 +107,7 @@ def raw_room_dives(d):
             (F.col("l_orderkey") * 10000000 + p * 100 + F.col("l_linenumber")).alias("seq"),
             F.concat(F.lit("r"), F.col("l_suppkey").cast("string")).alias("room_id"),
             uid("o_custkey").alias("user_id"),
-            F.when(p % 13 == 0, float("nan")).when(p % 13 == 1, 0.3).when(p % 13 == 2, -1.0).otherwise(q + 0.5).alias("mins"),
+            F.when(p % 13 == 0, float("nan")).when(p % 13 == 1, 0.3).when(p % 13 == 2, -1.0).when(p % 13 == 3, 1e12).otherwise(q + 0.5).alias("mins"),
             F.when(p % 17 == 0, 9.6).when(p % 17 == 1, 120.4).otherwise(10 + 2 * q).alias("depth"),
             F.col("l_shipdate").alias("ts"),
         )
@@ -117,7 +118,7 @@ def raw_room_dives(d):
     "ingest_room_dives",
     f"""WITH {RAW_DIVES}
   SELECT CASE WHEN reason IS NULL
-              THEN 'd' || substring(sha256(room_id || '|' || user_id || '|' || seq), 1, 12) END AS id,
+              THEN {minted_sql('d', 'room_id', 'user_id', 'seq')} END AS id,
          seq, room_id, user_id, CASE WHEN reason IS NULL THEN CAST(floor(mins + 0.5) AS INTEGER) END AS mins,
          CASE WHEN reason IS NULL THEN CAST(floor(depth + 0.5) AS INTEGER) END AS depth, ts, reason
   FROM judged""",

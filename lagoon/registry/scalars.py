@@ -6,7 +6,7 @@ from lagoon.functions import moderation as mod
 from lagoon.functions import scalars as sc
 from lagoon.functions import text as tx
 from lagoon.registry import query
-from lagoon.registry.views import avatar_sql, sql_list
+from lagoon.registry.views import avatar_sql, minted_sql, sql_list
 from lagoon.sources.domain import instant
 
 # Names from every text column, plus names with a term worked into them by rule.
@@ -135,7 +135,7 @@ def email_problems(d):
                    WHEN idle // 3600000 < 24 THEN 'Last seen ' || (idle // 3600000) || 'h ago'
                    ELSE 'Last seen ' || (idle // 86400000) || 'd ago' END AS status,
               sha256(user_id) AS token_hash, ts + INTERVAL 365 DAY AS session_expires, ts + INTERVAL 24 HOUR AS link_expires,
-              'd' || substring(sha256(user_id || '|' || seq), 1, 12) AS minted
+              {minted_sql('d', 'user_id', 'seq')} AS minted
        FROM (SELECT *, date_diff('microsecond', ts, TIMESTAMP '2024-01-31 00:00:00') // 1000 AS idle FROM dives)""",
 )
 def card_scalars(d):

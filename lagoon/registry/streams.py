@@ -68,13 +68,16 @@ def stream_weekly_totals(d):
 
 @query(
     "stream_budget_violations",
-    """SELECT device_key AS limit_key, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, count(*) AS calls
-       FROM auth_log GROUP BY 1, 2 HAVING count(*) > 1""",
+    """SELECT * FROM (SELECT device_key AS limit_key, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start,
+           count(*) FILTER (path <> 'error') AS calls,
+           count(*) FILTER (method = 'POST' AND path IN ('signup', 'view', 'purchase')) AS strict_calls
+         FROM auth_log GROUP BY 1, 2) WHERE calls > 1 OR strict_calls > 0""",
 )
 def stream_budget_violations(d):
-    log = events(d).auth_log.select("ts", F.col("device_key").alias("limit_key"))
-    counts = _updates(d, st.call_counts(log, watermark="40 days"), "calls", st.CALLS, ["limit_key", "window_start"])
-    return counts.filter("calls > 1")
+    log = events(d).auth_log.select("ts", F.col("device_key").alias("limit_key"), "method", "path")
+    strict = [("POST", p) for p in ("signup", "view", "purchase")]
+    counts = st.call_counts(log, watermark="40 days", strict=strict, exempt=["error"])
+    return _updates(d, counts, "calls", st.CALLS, ["limit_key", "window_start"]).filter("calls > 1 or strict_calls > 0")
 
 
 @query("stream_last_seen", "SELECT user_id, max(ts) AS last_seen FROM dives GROUP BY 1")

@@ -23,6 +23,12 @@ def trim_sql(expr: str) -> str:
     return f"regexp_replace(regexp_replace({expr}, '^[\\s\\x{{A0}}\\x{{FEFF}}]+', ''), '[\\s\\x{{A0}}\\x{{FEFF}}]+$', '')"
 
 
+def minted_sql(prefix: str, *parts: str) -> str:
+    """The id of a row with this natural key: each part's text with its length before it, a dash for null."""
+    key = " || ".join(f"coalesce(length(CAST({p} AS VARCHAR)) || ':' || CAST({p} AS VARCHAR), '-')" for p in parts)
+    return f"'{prefix}' || substring(sha256({key}), 1, 32)"
+
+
 N = "(SELECT count(*) FROM customer)"
 K = "CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER)"
 
@@ -100,7 +106,7 @@ VIEWS: dict[str, str] = {
               SELECT c_custkey, (7 * c_custkey + 1) % {N} FROM customer WHERE c_custkey % 17 = 0)
         WHERE k <> t GROUP BY 1, 2""",
     "reports": f"""
-        SELECT 'rp' || substring(sha256('u' || (conv_id % {N}) || '|' || (conv_id * 1000 + turn)), 1, 12) AS id,
+        SELECT {minted_sql('rp', f"('u' || (conv_id % {N}))", '(conv_id * 1000 + turn)')} AS id,
                'u' || (conv_id % {N}) AS reporter_id, 'u' || ((3 * conv_id + turn) % {N}) AS target_id,
                substring(text, 1, 500) AS reason
         FROM conversations""",
@@ -131,7 +137,8 @@ VIEWS: dict[str, str] = {
                CASE WHEN {K} % 15 <> 0 THEN 1704067200000 + CAST({K} AS BIGINT) * 86400000 END AS expiration_at_ms
         FROM events""",
     "auth_log": """
-        SELECT event_id, ts, 'u' || user_id AS device_key, event_type AS path FROM events""",
+        SELECT event_id, ts, 'u' || user_id AS device_key, event_type AS path,
+               CASE WHEN event_id % 3 = 0 THEN 'GET' ELSE 'POST' END AS method FROM events""",
     "collections": """
         SELECT user_id, species_id, count(*) AS n FROM user_creatures GROUP BY 1, 2""",
     "stats": """

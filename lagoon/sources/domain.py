@@ -294,7 +294,8 @@ class Domain:
     @property
     def auth_log(self) -> DataFrame:
         return self.raw("events").select(
-            "event_id", "ts", uid("user_id").alias("device_key"), F.col("event_type").alias("path")
+            "event_id", "ts", uid("user_id").alias("device_key"), F.col("event_type").alias("path"),
+            F.when(F.col("event_id") % 3 == 0, "GET").otherwise("POST").alias("method"),
         )
 
 

@@ -44,12 +44,12 @@ def write_json_documents(df: DataFrame, path: str) -> None:
 
 
 def conform(df: DataFrame, schema: T.StructType, defaults: Mapping[str, object] | None = None) -> DataFrame:
-    """Add missing columns (with their default), cast and order the rest."""
+    """Add missing columns (with their default), cast and order the rest; what does not cast is null."""
     defaults = defaults or {}
     have = set(df.columns)
     return df.select(
         *[
-            (F.col(f.name) if f.name in have else F.lit(defaults.get(f.name))).cast(f.dataType).alias(f.name)
+            (F.col(f.name) if f.name in have else F.lit(defaults.get(f.name))).try_cast(f.dataType).alias(f.name)
             for f in schema.fields
         ]
     )

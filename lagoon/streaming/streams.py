@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lagoon import schemas
-from lagoon.operators import purchases
+from lagoon.operators import limits, purchases
 from lagoon.sources.files import append_new
 
 PRO_STATE = "user_id string, pro_until timestamp, pro_lifetime boolean, seq bigint"
@@ -150,7 +150,7 @@ def read_pro_state(spark: SparkSession, folder: str) -> DataFrame:
 # windows and running totals ----------------------------------------------
 
 WEEKLY = "user_id string, week_start date, week_mins bigint"
-CALLS = "limit_key string, window_start timestamp, calls bigint"
+CALLS = "limit_key string, window_start timestamp, calls bigint, strict_calls bigint"
 SEEN = "user_id string, last_seen timestamp"
 PROGRESS = "room_id string, dives bigint, total_mins bigint, shared_depth bigint"
 
@@ -168,13 +168,15 @@ def weekly_totals(dives: DataFrame, watermark: str = "1 day") -> DataFrame:
     )
 
 
-def call_counts(log: DataFrame, window: str = "15 minutes", watermark: str = "15 minutes") -> DataFrame:
-    """Calls per key and window; whoever reads it compares with the budget."""
+def call_counts(
+    log: DataFrame, window: str = "15 minutes", watermark: str = "15 minutes", strict=limits.STRICT, exempt=limits.EXEMPT
+) -> DataFrame:
+    """Calls and strict calls per key and window, without exempt ones; whoever reads it compares with the budgets."""
     return (
         log.withWatermark("ts", watermark)
         .groupBy("limit_key", F.window("ts", window).alias("w"))
-        .agg(F.count("*").alias("calls"))
-        .select("limit_key", F.col("w.start").alias("window_start"), "calls")
+        .agg(*limits.budget_counts(strict, exempt))
+        .select("limit_key", F.col("w.start").alias("window_start"), "calls", "strict_calls")
     )
 
 

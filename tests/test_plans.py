@@ -4,13 +4,21 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from lagoon.functions.scalars import minted_id
+from lagoon.functions.tokens import token_hash
 from lagoon.operators import accounts, activity, rooms
-from lagoon.operators.limits import throttle_decisions
+from lagoon.operators.accounts import assign_names, redeem_links
+from lagoon.operators.limits import budget_violations, throttle_decisions
+from lagoon.operators.purchases import classify_purchases
+from lagoon.operators.rooms import ingest_room_dives
 from lagoon.plans import skew
 from lagoon.plans.leaderboard import visible_top
 from lagoon.plans.matching import grant_in_order
 from lagoon.plans.settlement import settle_trades
+from lagoon.plans.skew import previous_value, running_position
+from lagoon.sources.files import conform
 
 AS_OF = "2024-02-01"
 
@@ -170,24 +178,78 @@ def test_room_replay_equals_serial(spark, seed):
 def test_budgets_equal_serial(spark):
     rnd = random.Random(3)
     paths = ["/api/health", "/api/friends", "/api/blocks", "/api/rooms"]
-    rows = [(i, f"2024-01-01 00:{rnd.randint(0, 40):02}:{rnd.randint(0, 59):02}", rnd.choice(["d1", "d1", "d2"]), rnd.choice(paths)) for i in range(300)]
-    log = spark.createDataFrame(rows, "request_id bigint, ts string, limit_key string, path string").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = [
+        (i, f"2024-01-01 00:{rnd.randint(0, 40):02}:{rnd.randint(0, 59):02}", rnd.choice(["d1", "d1", "d2", None]), rnd.choice(["GET", "POST"]), rnd.choice(paths))
+        for i in range(400)
+    ]
+    log = spark.createDataFrame(rows, "request_id bigint, ts string, limit_key string, method string, path string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = {r.request_id: r.decision for r in throttle_decisions(log, limit=40, strict_limit=8).collect()}
-    calls, strict, want = {}, {}, {}
-    for i, ts, key, path in sorted(rows, key=lambda r: (r[1], r[0])):
+    calls, strict, tight, want = {}, {}, {}, {}
+    for i, ts, key, method, path in sorted(rows, key=lambda r: (r[1], r[0])):
         w = (key, int(ts[14:16]) // 15)
         if path == "/api/health":
             want[i] = "admitted"
             continue
         calls[w] = calls.get(w, 0) + 1
+        tight[w] = tight.get(w, 0) + (method == "POST" and path in ("/api/friends", "/api/blocks"))
         if calls[w] > 40:
             want[i] = "throttled"
-        elif path in ("/api/friends", "/api/blocks"):
+        elif method == "POST" and path in ("/api/friends", "/api/blocks"):
             strict[w] = strict.get(w, 0) + 1
             want[i] = "admitted" if strict[w] <= 8 else "throttled strictly"
         else:
             want[i] = "admitted"
     assert got == want
+    over = {(r.limit_key, r.window_start.minute // 15): (r.calls, r.strict_calls) for r in budget_violations(log, limit=40, strict_limit=8).collect()}
+    assert over == {w: (n, tight[w]) for w, n in calls.items() if n > 40 or tight[w] > 8}
+
+
+def test_nulls_are_keys_of_running_positions(spark):
+    rows = [(None, 1, "a"), (None, 2, "b"), ("k", None, "c"), ("k", 3, "d"), ("k", 4, "e")]
+    df = spark.createDataFrame(rows, "k string, at int, name string")
+    got = running_position(df, ["k"], [F.asc_nulls_first("at"), F.asc("name")], F.col("at"))
+    assert {r.name: r.pos for r in got.collect()} == {"a": 1, "b": 2, "c": 1, "d": 2, "e": 3}
+    got = previous_value(df.withColumn("seq", F.ascii("name")), ["k"], "seq", "name", "before", size=1)
+    assert {r.name: r.before for r in got.collect()} == {"a": None, "b": "a", "c": None, "d": "c", "e": "d"}
+
+
+def test_poison_rows_end_no_job(spark):
+    dives = spark.createDataFrame([(1, "r", "u", 1e12, 50.0), (2, "r", "u", 1e300, 50.0), (3, "r", "u", 10.0, 1e300), (4, "r", "u", 10.4, 20.5)], "seq long, room_id string, user_id string, mins double, depth double")
+    members = spark.createDataFrame([("r", "u")], "room_id string, user_id string")
+    got = {r.seq: (r.mins, r.depth, r.reason) for r in ingest_room_dives(dives.withColumn("ts", F.current_timestamp()), members).collect()}
+    assert got == {1: (None, None, "minutes out of range"), 2: (None, None, "minutes out of range"), 3: (None, None, "depth out of range"), 4: (10, 21, None)}
+    columns = "type string, product_id string, entitlement_ids array<string>, app_user_id string, original_app_user_id string, transaction_id string, original_transaction_id string, expiration_at_ms double"
+    events = spark.createDataFrame([("RENEWAL", "x", ["pro"], "u", None, "t", None, ms) for ms in (1e300, 1e17, -1e300, 1.7e12)], columns)
+    assert sorted(r.kind for r in classify_purchases(events).collect()) == ["ignore"] * 3 + ["pro"]
+    schema = StructType.fromDDL("at timestamp, n int")
+    bad = conform(spark.createDataFrame([("soon", "9999999999"), ("2024-01-01 00:00:00", "7")], "at string, n string"), schema).collect()
+    assert [r.n for r in bad] == [None, 7] and bad[0]["at"] is None and bad[1]["at"] is not None
+
+
+def test_ids_of_different_keys_differ(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "a"), ("a", None), ("", "a"), ("a", ""), ("1:a", "b"), ("1:a1:b", None)]
+    got = spark.createDataFrame(rows, "x string, y string").select(minted_id("d", F.col("x"), F.col("y")).alias("id")).collect()
+    assert len({r.id for r in got}) == len(rows) and all(len(r.id) == 33 for r in got)
+
+
+def test_links_are_voided_by_the_next_issue(spark):
+    at = lambda h: F.lit(f"2024-01-01 {h:02}:00:00").cast("timestamp")
+    links = spark.createDataFrame([("old", 8), ("new", 10)], "token string, hour int").select(
+        token_hash(F.col("token")).alias("token_hash"), F.lit("u").alias("user_id"), F.lit("m@x").alias("email"),
+        F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), "hour", F.lit(0), F.lit(0)).alias("created_at"), at(20).alias("expires_at"),
+    )
+    asks = spark.createDataFrame([(1, 7, "old"), (2, 9, "new"), (3, 11, "old"), (4, 12, "new")], "seq long, hour int, token string").withColumn(
+        "ts", F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), "hour", F.lit(0), F.lit(0))
+    )
+    users = spark.createDataFrame([("u", "M@x")], "id string, email string")
+    assert {r.seq: r.outcome for r in redeem_links(asks, links, users).collect()} == {1: "expired", 2: "expired", 3: "expired", 4: "confirmed"}
+
+
+def test_every_request_gets_a_name(spark):
+    taken = [f"Diver {1007 + i * 10**12}" for i in range(4)]
+    users = spark.createDataFrame([(str(k), n) for k, n in enumerate(taken)], "id string, name string")
+    got = assign_names(spark.createDataFrame([(7, None)], "seq long, preferred string"), users).collect()
+    assert len(got) == 1 and got[0]["name"].startswith("Diver ") and got[0]["name"] not in taken and len(got[0]["name"]) <= 20
 
 
 # leaderboard ------------------------------------------------------------------

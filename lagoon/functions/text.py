@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from lagoon.functions.moderation import DEFAULT_LEXICON, Lexicon, is_blocked_name
 
-# Unicode white space plus U+FEFF, without U+0085.
+# White space (Unicode's plus U+FEFF, without U+0085), shapes of names, nicknames and addresses, and the longest address.
 SPACE = r"[\s\x{FEFF}&&[^\x{85}]]"
 NAME_SHAPE = r"\A[\p{L}\p{N} ._-]{2,20}\z"
 NICKNAME_SHAPE = r"\A[\p{L}\p{N} ._-]{1,16}\z"
-NOT_IN_ADDRESS = r"[^\s\x{FEFF}@]"
-EMAIL_SHAPE = r"(?U)\A[^\s\x{FEFF}@]+@[^\s\x{FEFF}@.]+(?:\.[^\s\x{FEFF}@.]+)+\z"
+EMAIL_SHAPE = (
+    r"(?U)\A[\S\x{85}&&[^\x{FEFF}@]]+@[\S\x{85}&&[^\x{FEFF}@.]]+(?:\.[\S\x{85}&&[^\x{FEFF}@.]]+)+\z"
+)
 MAX_EMAIL = 254
 
 

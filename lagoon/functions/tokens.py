@@ -12,9 +12,13 @@ from lagoon.functions.scalars import parse_number, verified_flag
 from lagoon.functions.text import SPACE, trim_all
 
 
+# Fixed value: the shape of the header.
+BEARER = rf"(?iU)\ABearer{SPACE}+([\S\x{{85}}&&[^\x{{FEFF}}]]+)\z"
+
+
 def bearer_token(header: Column) -> Column:
     """Token of a well-formed `Bearer` header, else null."""
-    token = F.regexp_extract(trim_all(header), rf"(?iU)\ABearer{SPACE}+([^\s\x{{FEFF}}]+)\z", 1)
+    token = F.regexp_extract(trim_all(header), BEARER, 1)
     return F.nullif(token, F.lit(""))
 
 

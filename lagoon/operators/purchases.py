@@ -107,14 +107,14 @@ def classify_purchases(events: DataFrame, catalogue: Catalogue | None = None) ->
         .otherwise("ignore")
     )
     reason = (
-        F.when(granting & ~grants, F.concat(kind_of, F.lit(" for a non-Pro product")))
-        .when(granting, "subscription event with no expiry")
-        .when(single & pearls.isNull(), F.concat(F.lit("unknown product "), F.coalesce(product, F.lit("undefined"))))
-        .when(single, "consumable with no transaction id")
-        .when(kind_of == "CANCELLATION", "cancellation only stops renewal")
-        .when(kind_of == "BILLING_ISSUE", "billing is retried")
-        .when(kind_of == "TRANSFER", "transfer needs a decision")
-        .otherwise(F.concat(F.lit("unhandled event type "), F.coalesce(F.nullif(kind_of, F.lit("")), F.lit("(none)"))))
+        F.when(granting & ~grants, "not entitling")
+        .when(granting, "no usable expiry")
+        .when(single & pearls.isNull(), "not in catalogue")
+        .when(single, "transaction missing")
+        .when(kind_of == "CANCELLATION", "access unchanged")
+        .when(kind_of == "BILLING_ISSUE", "payment pending")
+        .when(kind_of == "TRANSFER", "manual case")
+        .otherwise(F.lit("other type"))
     )
     pro, paid = F.col("kind") == "pro", F.col("kind") == "pearls"
     others = [c for c in ("seq", "ts") if c in events.columns]

@@ -30,12 +30,12 @@ EFFECTS = f"""
         CASE WHEN kind = 'pearls' THEN product_id END AS product_id,
         CASE WHEN kind = 'pearls' THEN worth END AS pearls,
         CASE WHEN kind = 'ignore' THEN CASE
-          WHEN t IN ('INITIAL_PURCHASE', 'RENEWAL') AND NOT grants THEN t || ' for a non-Pro product'
-          WHEN t IN ('INITIAL_PURCHASE', 'RENEWAL') THEN 'subscription event with no expiry'
-          WHEN t = 'NON_RENEWING_PURCHASE' AND coalesce(sort, '') <> 'pearls' THEN 'unknown product ' || product_id
-          WHEN t = 'NON_RENEWING_PURCHASE' THEN 'consumable with no transaction id'
-          WHEN t = 'CANCELLATION' THEN 'cancellation only stops renewal'
-          ELSE 'billing is retried' END END AS reason
+          WHEN t IN ('INITIAL_PURCHASE', 'RENEWAL') AND NOT grants THEN 'not entitling'
+          WHEN t IN ('INITIAL_PURCHASE', 'RENEWAL') THEN 'no usable expiry'
+          WHEN t = 'NON_RENEWING_PURCHASE' AND coalesce(sort, '') <> 'pearls' THEN 'not in catalogue'
+          WHEN t = 'NON_RENEWING_PURCHASE' THEN 'transaction missing'
+          WHEN t = 'CANCELLATION' THEN 'access unchanged'
+          ELSE 'payment pending' END END AS reason
       FROM sorted),
   grants AS (SELECT transaction_id, user_id, product_id, pearls, ts AS created_at FROM (
         SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY seq) AS rn FROM effects

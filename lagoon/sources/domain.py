@@ -227,7 +227,6 @@ class Domain:
     @property
     def blocks(self) -> DataFrame:
         k = F.col("c_custkey")
-        day = F.make_interval(days=k % 29)
         return (
             self._pairs(5, 2, k % 11 == 0)
             .unionByName(self._pairs(7, 1, k % 17 == 0))

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lagoon import schemas
 from lagoon.operators import limits, purchases
 from lagoon.sources.files import append_new
 
@@ -205,8 +204,3 @@ def spells(dives: DataFrame, gap: str = "5 minutes", watermark: str = "1 hour")
         .agg(F.count("*").alias("dives"))
         .select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "dives")
     )
-
-
-def conformed(df: DataFrame, table: str) -> DataFrame:
-    """A stream brought to a table's declared columns."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[table].fields])

@@ -226,6 +226,13 @@ def test_poison_rows_end_no_job(spark):
     assert [r.n for r in bad] == [None, 7] and bad[0]["at"] is None and bad[1]["at"] is not None
 
 
+def test_caught_creatures(spark):
+    raw = spark.createDataFrame([(1, "u", "30", "s1", "Fin"), (2, "u", "5", None, "Fin"), (3, "v", "x", "s2", "no/slash")], "seq long, user_id string, mins string, species_id string, nickname string")
+    dives = activity.ingest_dives(raw.withColumn("ts", F.lit("2024-01-01").cast("timestamp")))
+    got = {(r.user_id, r.species_id, r.nickname) for r in activity.caught_creatures(dives).collect()}
+    assert got == {("u", "s1", "Fin"), ("v", "s2", None)}
+
+
 def test_ids_of_different_keys_differ(spark):
     rows = [("a|b", "c"), ("a", "b|c"), (None, "a"), ("a", None), ("", "a"), ("a", ""), ("1:a", "b"), ("1:a1:b", None)]
     got = spark.createDataFrame(rows, "x string, y string").select(minted_id("d", F.col("x"), F.col("y")).alias("id")).collect()

@@ -37,7 +37,7 @@ def frame(spark, events):
 def test_truth_table(spark):
     got = op.classify_purchases(frame(spark, [c[0] for c in CASES])).orderBy("seq").collect()
     assert [(r.kind, r.lifetime, r.until is not None) for r in got] == [c[1] for c in CASES]
-    assert got[13].pearls == 3300 and got[14].transaction_id == "t" and got[-1].reason == "unhandled event type (none)"
+    assert got[13].pearls == 3300 and got[14].transaction_id == "t" and got[-1].reason == "other type"
 
 
 def test_account_and_transaction_fall_through(spark):

@@ -135,6 +135,32 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return text, position, gram, c
 
 
+def progressions(text: np.ndarray, position: np.ndarray, gram: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that stay, run) of anchors: those of one text with one gram and context, at equal distances, are one row.
+
+    run: distance << 32 | further anchors; 0 for one alone. Text that repeats itself
+    for long has as many anchors of one key as periods, and now one row for all.
+    """
+    order = np.lexsort((position, c, gram, text))
+    same = np.zeros(len(order), bool)
+    same[1:] = np.all([x[order][1:] == x[order][:-1] for x in (text, gram, c)], axis=0)
+    keep, run = np.ones(len(order), bool), np.zeros(len(order), np.int64)
+    head = step = -1
+    at = position[order]
+    for k in np.flatnonzero(same).tolist():
+        d = int(at[k] - at[k - 1])
+        if not same[k - 1] or head < 0 or (keep[k - 1] and head != k - 1):
+            head, step = k - 1, d
+        elif keep[k - 1]:
+            step = d
+        if d == step:
+            keep[k] = False
+            run[head] = step << 32 | ((run[head] & 0xFFFFFFFF) + 1)
+        else:
+            head = k
+    return order[keep], run[keep]
+
+
 def _runs(*columns: np.ndarray) -> np.ndarray:
     """Number of the run of equal rows each sorted row is in."""
     fresh = np.zeros(len(columns[0]), bool)
@@ -163,7 +189,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 200_000) ->
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-SETTLED = "doc long, spot long, h long, full boolean"
+SETTLED = "doc long, spot long, run long, h long, full boolean"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +197,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Of a group that goes on in the next batch only the first document's anchors are kept.
     """
-    arrow = pa.schema([("doc", pa.int64()), ("spot", pa.int64()), ("h", pa.int64()), ("full", pa.bool_())])
-    names = ("h", "doc", "c", "spot")
+    arrow = pa.schema([("doc", pa.int64()), ("spot", pa.int64()), ("run", pa.int64()), ("h", pa.int64()), ("full", pa.bool_())])
+    names = ("h", "doc", "c", "spot", "run")
     kept = {n: np.zeros(0, np.int64) for n in names}
     shown = np.zeros(0, bool)  # kept rows that went out already
     several: list[pa.RecordBatch] = []
@@ -206,13 +232,13 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contested[g[open_]] = True
         emit = (settled & ~known) | (open_ & ~known) | (first & contested[g] & ~out_already)
         if emit.any():
-            yield as_batch({"doc": rows["doc"][emit], "spot": rows["spot"][emit], "h": rows["h"][emit], "full": settled[emit]}, arrow)
+            yield as_batch({"doc": rows["doc"][emit], "spot": rows["spot"][emit], "run": rows["run"][emit], "h": rows["h"][emit], "full": settled[emit]}, arrow)
         last = (g == g[-1]) & first
         kept = {n: rows[n][last] for n in names}
         shown = out_already[last] | contested[-1]
 
 
-SOLVED = "doc long, spot long, mask long"
+SOLVED = "doc long, spot long, run long, mask long"
 
 
 def solve(gram: np.ndarray, doc: np.ndarray, left: np.ndarray, contexts: list[bytes]) -> np.ndarray:
@@ -245,27 +271,27 @@ def solve(gram: np.ndarray, doc: np.ndarray, left: np.ndarray, contexts: list[by
 
 
 def _sorted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    arrow = pa.schema([("doc", pa.int64()), ("spot", pa.int64()), ("mask", pa.int64())])
+    arrow = pa.schema([("doc", pa.int64()), ("spot", pa.int64()), ("run", pa.int64()), ("mask", pa.int64())])
     for t in _groups(batches, "h", 50_000):
-        doc, spot, left = (t.column(c).to_numpy() for c in ("doc", "spot", "lft"))
+        doc, spot, run, left = (t.column(c).to_numpy() for c in ("doc", "spot", "run", "lft"))
         mask = solve(t.column("h").to_numpy(), doc, left, t.column("context").to_pylist())
         some = mask != 0
-        yield as_batch({"doc": doc[some], "spot": spot[some], "mask": mask[some]}, arrow)
+        yield as_batch({"doc": doc[some], "spot": spot[some], "run": run[some], "mask": mask[some]}, arrow)
 
 
 def _strings(batch: pa.RecordBatch):
     """Every SPAN bytes through an anchor, by two hashes of 64 bits."""
-    out: dict[str, list] = {c: [] for c in ("a", "b", "doc", "spot", "bit")}
-    for doc, spot, left, context in zip(*(batch.column(c).to_pylist() for c in ("doc", "spot", "lft", "context")), strict=True):
+    out: dict[str, list] = {c: [] for c in ("a", "b", "doc", "spot", "run", "bit")}
+    for doc, spot, run, left, context in zip(*(batch.column(c).to_pylist() for c in ("doc", "spot", "run", "lft", "context")), strict=True):
         for s in range(max(0, left - SIDE), min(left, len(context) - SPAN) + 1):
             digest = hashlib.blake2b(context[s : s + SPAN], digest_size=16).digest()
-            for k, v in zip(out, (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, spot, 1 << (s - left + SIDE)), strict=True):
+            for k, v in zip(out, (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, spot, run, 1 << (s - left + SIDE)), strict=True):
                 out[k].append(v)
     yield out
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """(doc, tag, starts): for each document with repeats, (position of an anchor, alignments that repeat; -1: all).
+    """(doc, tag, starts): for each document with repeats, (position of an anchor, its run, alignments that repeat; -1: all).
 
     docs: i (id, the greatest long for null), t (text).
     """
@@ -275,31 +301,33 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
             ids = part.column("i").to_numpy()
             tag = part.column("tag").to_numpy()
             text, position, gram, c = anchors(bytes_of(part.column("t")))
-            yield {"h": gram.view(np.int64), "c": c.view(np.int64), "doc": ids[text], "spot": position << TAG | tag[text]}
+            stay, run = progressions(text, position, gram, c)
+            text, position, gram, c = text[stay], position[stay], gram[stay], c[stay]
+            yield {"h": gram.view(np.int64), "c": c.view(np.int64), "doc": ids[text], "spot": position << TAG | tag[text], "run": run}
 
     tagged = docs.select("i", "t", F.xxhash64("t").bitwiseAND((1 << TAG) - 1).alias("tag"))
-    marks = arrow_map(tagged, find, "h long, c long, doc long, spot long")
+    marks = arrow_map(tagged, find, "h long, c long, doc long, spot long, run long")
     marks = marks.repartition("h").sortWithinPartitions("h", "doc")
     marks = stage(marks.mapInArrow(_settle, SETTLED))
 
     tag, place = F.col("spot").bitwiseAND((1 << TAG) - 1), F.shiftright("spot", TAG)
     open_ = marks.where("not full")
-    wanted = open_.select("doc", tag.alias("tag"), "h", place.alias("place")).groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "place")).alias("wanted"))
+    wanted = open_.select("doc", tag.alias("tag"), "h", place.alias("place"), "run").groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "place", "run")).alias("wanted"))
 
     def cut(batch):
         for part in slices(batch, "t", 4 << 20):
-            out: dict[str, list] = {c: [] for c in ("h", "doc", "spot", "lft", "context")}
+            out: dict[str, list] = {c: [] for c in ("h", "doc", "spot", "run", "lft", "context")}
             texts = bytes_of(part.column("t"))
             for doc, tag, t, want in zip(part.column("i").to_pylist(), part.column("tag").to_pylist(), texts, part.column("wanted").to_pylist(), strict=True):
                 for w in want:
                     p = w["place"]
                     begin = max(0, p - SIDE)
-                    for k, v in zip(out, (w["h"], doc, p << TAG | tag, p - begin, t[begin : p + SPAN]), strict=True):
+                    for k, v in zip(out, (w["h"], doc, p << TAG | tag, w["run"], p - begin, t[begin : p + SPAN]), strict=True):
                         out[k].append(v)
             yield out
 
     joined = tagged.join(wanted.withColumnRenamed("doc", "i"), ["i", "tag"])
-    contexts = arrow_map(joined, cut, "h long, doc long, spot long, lft int, context binary")
+    contexts = arrow_map(joined, cut, "h long, doc long, spot long, run long, lft int, context binary")
     crowded = open_.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("h")
     crowded = stage(crowded)
     if crowded.isEmpty():
@@ -309,17 +337,22 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
         few, many = contexts.join(crowded, "h", "left_anti"), contexts.join(crowded, "h", "left_semi")
     solved = few.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_contexts, SOLVED)
     if many is not None:
-        strings = stage(arrow_map(many, _strings, "a long, b long, doc long, spot long, bit long"))
+        strings = stage(arrow_map(many, _strings, "a long, b long, doc long, spot long, run long, bit long"))
         least = strings.groupBy("a", "b").agg(F.min("doc").alias("least"))
         later = strings.join(least, ["a", "b"]).where("doc > least")
-        solved = solved.union(later.groupBy("doc", "spot").agg(F.bit_or("bit").alias("mask")))
+        solved = solved.union(later.groupBy("doc", "spot", "run").agg(F.bit_or("bit").alias("mask")))
     solved = stage(solved)
-    every = marks.where("full").select("doc", "spot", F.lit(-1).cast("long").alias("mask")).union(solved)
-    return every.select("doc", tag.alias("tag"), F.struct(place.alias("place"), "mask").alias("start")).groupBy("doc", "tag").agg(F.collect_list("start").alias("starts"))
+    every = marks.where("full").select("doc", "spot", "run", F.lit(-1).cast("long").alias("mask")).union(solved)
+    return every.select("doc", tag.alias("tag"), F.struct(place.alias("place"), "run", "mask").alias("start")).groupBy("doc", "tag").agg(F.collect_list("start").alias("starts"))
 
 
-def covered(size: int, place: np.ndarray, mask: np.ndarray) -> np.ndarray:
+def covered(size: int, place: np.ndarray, run: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Which of `size` bytes lie in a repeated string."""
+    if run.any():
+        more = (run & 0xFFFFFFFF) + 1
+        nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+        place = np.repeat(place, more) + np.repeat(run >> 32, more) * nth
+        mask = np.repeat(mask, more)
     first = np.zeros(size + 1, bool)
     whole = place[mask == -1]
     edge = np.zeros(size + 2, np.int64)
@@ -354,7 +387,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 rest, removed, spans = t, 0, 0
                 if starts.is_valid and len(starts):
                     fields = starts.values
-                    gone = covered(len(t), fields.field("place").to_numpy(), fields.field("mask").to_numpy())
+                    gone = covered(len(t), *(fields.field(c).to_numpy() for c in ("place", "run", "mask")))
                     removed = int(gone.sum())
                     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if removed else 0
                     rest = np.frombuffer(t, np.uint8)[~gone].tobytes()

@@ -174,3 +174,16 @@ def test_op5_edges(frame, monkeypatch):
     monkeypatch.setattr(suffixes, "CHUNK", 64)  # long texts: in overlapping pieces
     check_repeats(frame(rows), rows)
     assert suffixes.remove_repeats(frame([])).count() == 0
+
+
+def test_progressions_hold_all_anchors():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        text, gram, c = rng.integers(0, 2, n), rng.integers(0, 2, n).astype(np.uint64), rng.integers(0, 2, n).astype(np.uint64)
+        position = rng.permutation(n * 2)[:n]
+        stay, run = suffixes.progressions(text, position, gram, c)
+        found = sorted((text[k], gram[k], c[k], position[k] + (r >> 32) * m) for k, r in zip(stay, run.tolist(), strict=True) for m in range((r & 0xFFFFFFFF) + 1))
+        assert found == sorted(zip(text, gram, c, position, strict=True))
+    stay, run = suffixes.progressions(np.zeros(50, int), np.arange(50) * 7, np.zeros(50, np.uint64), np.zeros(50, np.uint64))
+    assert len(stay) == 1 and run[0] == 7 << 32 | 49

@@ -78,7 +78,7 @@ def request_log(d):
 
 
 def resolved(d):
-    return op.resolve_requests(request_log(d), d.auth_sessions, d.accounts.filter(number("id") % 10 != 0))
+    return op.resolve_requests(request_log(d), d.auth_sessions, d.lapsed(d.accounts, number("id") % 10 == 0))
 
 
 @query("resolve_requests", f"WITH {LOG} SELECT * FROM resolved")

@@ -108,14 +108,12 @@ ORPHANS = " UNION ALL ".join(
   open AS (SELECT id FROM rooms WHERE CAST(substring(id, 2) AS BIGINT) % 9 <> 4)
   {ORPHANS}
   UNION ALL SELECT 'room_dives', 'room_id', count(*) FROM room_dives WHERE room_id NOT IN (SELECT id FROM open)
-  UNION ALL SELECT 'room_members', 'room_id', count(*) FROM room_members WHERE room_id NOT IN (SELECT id FROM open)""".replace(
-        "FROM rooms WHERE host_id NOT IN", "FROM rooms WHERE CAST(substring(id, 2) AS BIGINT) % 9 <> 4 AND host_id NOT IN"
-    ),
+  UNION ALL SELECT 'room_members', 'room_id', count(*) FROM room_members WHERE room_id NOT IN (SELECT id FROM open)""",
 )
 def audit_foreign_keys(d):
     t = tables(d)
-    t["users"] = t["users"].filter(number("id") % 20 != 3)
-    t["rooms"] = t["rooms"].filter(number("id") % 9 != 4)
+    t["users"] = d.lapsed(t["users"], number("id") % 20 == 3)
+    t["rooms"] = d.lapsed(t["rooms"], number("id") % 9 == 4)
     return op.audit_foreign_keys(t)
 
 

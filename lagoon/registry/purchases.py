@@ -88,7 +88,7 @@ def classify_purchases(d):
   FROM effects e LEFT JOIN (SELECT id FROM accounts WHERE CAST(substring(id, 2) AS BIGINT) % 2 = 1) u ON u.id = e.user_id""",
 )
 def route_effects(d):
-    some = d.accounts.filter(F.substring("id", 2, 20).cast("bigint") % 2 == 1)
+    some = d.lapsed(d.accounts, F.substring("id", 2, 20).cast("bigint") % 2 == 0)
     return op.route_effects(effects(d), some).select("seq", "user_id", "kind", "routed")
 
 

@@ -156,9 +156,10 @@ def room_progress(d):
     return op.room_progress(d.room_dives_by_room)
 
 
-# Pages of ten at most in expectation, so that paging shows at this data size.
-PAGES = """
-  sized AS (SELECT room_id, greatest(1, CAST(ceil(count(*) / 10) AS BIGINT)) AS pages FROM room_members GROUP BY 1),
+# Pages of about `size` members, by hash.
+def pages(size):
+    return f"""
+  sized AS (SELECT room_id, greatest(1, CAST(ceil(count(*) / {size}) AS BIGINT)) AS pages FROM room_members GROUP BY 1),
   people AS (
     SELECT m.room_id, u.id, u.initial, u.avatar_bg,
            CAST(('0x' || substring(md5(u.id), 1, 8)) AS BIGINT) % s.pages AS page
@@ -167,17 +168,18 @@ PAGES = """
 
 @query(
     "room_participants",
-    """SELECT m.room_id, CAST(0 AS BIGINT) AS page, count(*) AS n,
-              string_agg(u.id || ':' || u.initial || ':' || u.avatar_bg, ',' ORDER BY u.id) AS participants
-       FROM room_members m JOIN accounts u ON u.id = m.user_id GROUP BY 1""",
+    f"""WITH {pages(op.PAGE)}
+  SELECT room_id, page, count(*) AS n,
+         string_agg(id || ':' || initial || ':' || avatar_bg, ',' ORDER BY id) AS participants
+  FROM people GROUP BY 1, 2""",
 )
 def room_participants(d):
-    return _flat(op.room_participants(d.room_members, d.accounts, page_size=1_000_000))
+    return _flat(op.room_participants(d.room_members, d.accounts))
 
 
 @query(
     "room_participants_paged",
-    f"""WITH {PAGES}
+    f"""WITH {pages(10)}
   SELECT room_id, page, count(*) AS n,
          string_agg(id || ':' || initial || ':' || avatar_bg, ',' ORDER BY id) AS participants
   FROM people GROUP BY 1, 2""",
@@ -198,7 +200,7 @@ def _flat(df):
 
 @query(
     "room_cards",
-    f"""WITH {PROGRESS}, {PAGES},
+    f"""WITH {PROGRESS}, {pages(10)},
   paged AS (SELECT room_id, page, count(*) AS n,
                    string_agg(id || ':' || initial || ':' || avatar_bg, ',' ORDER BY id) AS participants
             FROM people GROUP BY 1, 2)
@@ -307,13 +309,13 @@ def apply_joins(d):
     return op.apply_joins(joins(d), d.rooms, d.room_members)
 
 
-# Mixed log by few users, who are also the rooms' first members, so that heads often fall to zero.
-REPLAY_MEMBERS = "members AS (SELECT room_id, user_id FROM room_members WHERE CAST(substring(user_id, 2) AS BIGINT) < 7)"
+# A mixed log of all users over all rooms, and some that do not exist.
+REPLAY_MEMBERS = "members AS (SELECT room_id, user_id FROM room_members)"
 
 
 @query(
     "replay_room_events",
-    f"""WITH log AS (SELECT event_id AS seq, 'r' || (user_id % 40) AS room_id, 'u' || (user_id % 7) AS user_id,
+    f"""WITH log AS (SELECT event_id AS seq, 'r' || ((event_id * 7 + user_id) % (SELECT count(*) + 9 FROM supplier)) AS room_id, 'u' || user_id AS user_id,
                            CASE WHEN value < 25 THEN 'join' ELSE 'leave' END AS action FROM events),
   {REPLAY_MEMBERS},
   known AS (SELECT l.*, m.user_id IS NOT NULL AS inside FROM log l
@@ -338,9 +340,8 @@ REPLAY_MEMBERS = "members AS (SELECT room_id, user_id FROM room_members WHERE CA
 def replay_room_events(d):
     log = d.raw("events").select(
         F.col("event_id").alias("seq"),
-        F.concat(F.lit("r"), (F.col("user_id") % 40).cast("string")).alias("room_id"),
-        uid(F.col("user_id") % 7).alias("user_id"),
+        F.concat(F.lit("r"), ((F.col("event_id") * 7 + F.col("user_id")) % (d.raw("supplier").count() + 9)).cast("string")).alias("room_id"),
+        uid("user_id").alias("user_id"),
         F.when(F.col("value") < 25, "join").otherwise("leave").alias("action"),
     )
-    members = d.room_members.filter(F.substring("user_id", 2, 20).cast("bigint") < 7)
-    return op.replay_room_events(log, members, d.rooms)
+    return op.replay_room_events(log, d.room_members, d.rooms)

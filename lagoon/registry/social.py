@@ -203,5 +203,5 @@ def remove_blocks(d):
 
 @query("ingest_reports", f"SELECT *, {AS_OF_SQL} AS created_at FROM reports WHERE CAST(substring(target_id, 2) AS BIGINT) % 4 <> 0")
 def ingest_reports(d):
-    some = d.accounts.filter(F.substring("id", 2, 20).cast("bigint") % 4 != 0)
+    some = d.lapsed(d.accounts, F.substring("id", 2, 20).cast("bigint") % 4 == 0)
     return reports.ingest_reports(d.raw_reports, some, instant(AS_OF))

@@ -122,7 +122,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS resolved_at,
                CASE WHEN o_orderkey % 4 = 0 THEN 'c' || o_orderkey END AS give_creature_id,
                o_orderkey AS seq
-        FROM orders WHERE o_orderkey % 11 = 0 AND o_custkey <> (3 * o_custkey + 1) % {N}""",
+        FROM orders WHERE o_custkey <> (3 * o_custkey + 1) % {N}""",
     "purchase_events": f"""
         SELECT event_id AS seq, ts,
                CASE WHEN {K} % 10 = 0 THEN '' ELSE 'u' || user_id END AS app_user_id,

@@ -224,6 +224,10 @@ class Domain:
                        F.struct(F.col("b").alias("user_id"), F.col("a").alias("friend_id")))
         return p.select(F.inline(both)).distinct().withColumn("since", instant("2024-01-01 00:00:00"))
 
+    def lapsed(self, table: DataFrame, which: Column) -> DataFrame:
+        """The whole table, some of its ids no longer what others refer to."""
+        return table.withColumn("id", F.when(which, F.concat(F.lit("lapsed-"), F.col("id"))).otherwise(F.col("id")))
+
     @property
     def blocks(self) -> DataFrame:
         k = F.col("c_custkey")
@@ -248,7 +252,7 @@ class Domain:
         to = (3 * c + 1) % self.n_customers
         return (
             self.raw("orders")
-            .filter((k % 11 == 0) & (c != to))
+            .filter(c != to)
             .select(
                 F.concat(F.lit("t"), k.cast("string")).alias("id"),
                 uid("o_custkey").alias("from_id"),

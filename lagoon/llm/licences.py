@@ -6,8 +6,9 @@ are found alike. Dice = 2 * shared / (a + b) can only reach the limit if a lies
 between limit / (2 - limit) and (2 - limit) / limit times b: these size bounds
 leave few templates for a run. Since a template holds no fewer bigrams than it
 shares, a run that reaches the limit shares at least limit / (2 - limit) of its
-own bigrams with the templates, and so does one of its units; texts without such
-a unit, nearly all, are done after one look at each bigram.
+own bigrams with the templates, and so does one of its units. It also shares that
+part of the template's bigrams, so a text that nowhere holds so many of any
+template, as nearly all, is done after one look at its bigrams.
 """
 
 from __future__ import annotations
@@ -101,6 +102,10 @@ class Scanner:
         self.sizes = [b[0].total() for b in self.bags]
         self.share = limit / (2 - limit)
         self.known = {x for bag, _, _ in self.bags for x in bag}
+        self.where: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        for k, (bag, _, _) in enumerate(self.bags):
+            for x, n in bag.items():
+                self.where.setdefault(x, []).append((k, n))
         self.most = int(self.sizes[-1] / self.share + 1e-9) if self.bags else 0
 
     def templates_for(self, size: int) -> range:
@@ -108,8 +113,19 @@ class Scanner:
         low, high = size * self.share, size / self.share
         return range(bisect_left(self.sizes, low - 1e-9), bisect_right(self.sizes, high + 1e-9))
 
+    def possible(self, text: str) -> bool:
+        """Whether the text holds enough of some template's bigrams, anywhere, for a run to reach the limit."""
+        w = words_of(text)
+        reach: dict[int, int] = {}
+        for x in self.known.intersection(zip(w, w[1:], strict=False)):
+            for k, n in self.where[x]:
+                reach[k] = reach.get(k, 0) + n
+        return any(n >= self.share * self.sizes[k] - 1e-9 for k, n in reach.items())
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(licence, dice, first unit, last unit) of the best runs that do not overlap, by place."""
+        if not self.possible(text):
+            return []
         units = [w for u in _UNIT.split(text) if (w := words_of(u))]
         pairs = [list(zip(u, u[1:], strict=False)) for u in units]
         known = self.known

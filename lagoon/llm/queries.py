@@ -64,4 +64,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": urls.sql()}
+    return {"op5_suffixes": suffixes.SQL, "op10_url_filter": urls.sql()}

@@ -398,3 +398,24 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
     return arrow_map(tagged.join(starts, ["i", "tag"], "left"), work, schema)
+
+
+#: The query in DuckDB SQL: every string of 50 bytes in hex, its first document, and runs of later starts.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+strings AS (SELECT doc_id, unnest(range(CAST(length(x) // 2 - 49 AS BIGINT))) AS p, x FROM d),
+placed AS MATERIALIZED (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS w FROM strings),
+firsts AS (SELECT w, min(doc_id) AS first FROM placed GROUP BY w),
+starts AS (SELECT doc_id, p FROM placed JOIN firsts USING (w) WHERE doc_id > first),
+marked AS (SELECT doc_id, p, CAST(coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50, true) AS INTEGER) AS fresh FROM starts),
+numbered AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked),
+runs AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS z FROM numbered GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+kept AS (SELECT g.doc_id, count(*) AS n, sum(z - a) AS gone, max(z) AS tail,
+                string_agg(substr(x, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS head
+         FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id)
+SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN x ELSE head || substr(x, CAST(2 * tail + 1 AS BIGINT)) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -129,6 +129,37 @@ def test_one_of_each_against_all_pairs(frame, monkeypatch):
         assert sorted(r["doc_id"] for r in got.collect()) == want
 
 
+def test_isolated_pairs_are_all_found(frame):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for k in range(600):
+        words = [word() for _ in range(rng.randrange(30, 200))]
+        n, at = int(len(words) * rng.uniform(0.06, 0.2)), rng.randrange(len(words))
+        # appended, cut out, replaced, single words replaced
+        other = [words + [word() for _ in range(n)], words[:at] + words[at + n :], words[:at] + [word() for _ in range(n // 2)] + words[at + n // 2 :], edited(rng, words, 1 + len(words) // 60).split()][k % 4]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    want = [i for k in range(0, len(rows), 2) for i in jaccard_groups(rows[k : k + 2])]
+    assert len(rows) // 2 < len(want) < len(rows)
+    assert sorted(r["doc_id"] for r in neardup.one_of_each(frame(rows)).collect()) == sorted(want)
+
+
+def test_similar_sets_share_a_key():
+    rng = np.random.default_rng(12)
+    for similarity in (0.5, 0.8, 1.0):
+        classes = neardup.Classes(similarity)
+        for k in range(3000):
+            n = int(rng.integers(1, 8)) if k % 3 == 0 else int(rng.integers(1, 300))
+            a = rng.integers(0, 2**64, n, dtype=np.uint64)
+            if k % 2:  # crowded into few parts: many hold nothing
+                a >>= np.uint64(rng.integers(0, 60))
+            a = np.unique(a)
+            cut = a[: len(a) - int(rng.integers(0, len(a) // 2 + 1))]
+            b = np.unique(np.concatenate([cut, rng.integers(0, 2**64, int(rng.integers(0, len(a) // 4 + 1)), dtype=np.uint64)]))
+            if neardup.jaccard(a, b) >= similarity:
+                assert len(np.intersect1d(classes.keys(a), classes.keys(b)))
+
+
 def test_one_of_each_edges(frame):
     assert neardup.one_of_each(frame([])).count() == 0
     rows = [(1, "a b"), (1, "a b"), (None, "a b"), (None, "q r s"), (None, "q r s")]

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from lagoon.llm import neardup, simhash, suffixes
@@ -160,6 +161,17 @@ def test_similar_sets_share_a_key():
                 assert len(np.intersect1d(classes.keys(a), classes.keys(b)))
 
 
+def test_crowded_keys_connect_all_their_rows(monkeypatch):
+    rng = np.random.default_rng(13)
+    for bucket in (64, 0):
+        monkeypatch.setattr(neardup, "BUCKET", bucket)
+        key = np.sort(rng.integers(0, 6, 1000))
+        nid = np.concatenate([np.sort(rng.choice(400, (key == k).sum(), replace=False)) for k in range(6)]) + 1000 * key
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 7]), pa.array(nid[i : i + 7])], ["key", "nid"]) for i in range(0, 1000, 7)]
+        got = {tuple(x.values()) for b in neardup._chains(iter(batches)) for x in b.to_pylist()}
+        assert got == {(int(nid[key == k][0]), int(x)) for k in range(6) for x in nid[key == k][1:]}
+
+
 def test_one_of_each_edges(frame):
     assert neardup.one_of_each(frame([])).count() == 0
     rows = [(1, "a b"), (1, "a b"), (None, "a b"), (None, "q r s"), (None, "q r s")]

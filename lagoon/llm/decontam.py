@@ -11,7 +11,8 @@ Windows without enough of an item's shingles to reach the similarity are not
 fingerprinted: that test only leaves out what verification would.
 
 The benchmark is a stated set of queries, taken in blocks of bounded size; each
-block goes to all tasks, and all documents pass by it once.
+block goes to all tasks, and all documents pass by it once. Shingles are weighed
+by how many items of the whole benchmark have them, whatever block these are in.
 """
 
 from __future__ import annotations
@@ -83,19 +84,27 @@ class BlockIndex:
         return {int(i): int(d) for i, d in zip(items, apart, strict=True) if d <= self.radius}
 
 
+def weight_of(items: int) -> float:
+    """Shingles many items share say little; one that no other item has, and any other, weighs 1."""
+    return 1 / math.log2(1 + items)
+
+
+def hash_of(shingle: tuple[str, ...]) -> int:
+    return xxhash.xxh3_128_intdigest(" ".join(shingle))
+
+
 class Benchmark:
-    """Items of one block, ready to be looked for."""
+    """Items of one block, ready to be looked for. shared: items of the whole benchmark, if that is more, by the hash of a shingle that several have."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, radius: int = RADIUS):
-        self.similarity = similarity
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, radius: int = RADIUS, shared: dict[int, int] | None = None):
+        self.similarity, self.shared = similarity, shared
         words = [words_of(t) for _, t in items]
         keep = [i for i, w in enumerate(words) if w]
         self.ids = [items[i][0] for i in keep]
         self.sizes = [len(words[i]) for i in keep]
         self.bags = [Counter(shingles_of(words[i])) for i in keep]
         df = Counter(s for bag in self.bags for s in bag)
-        #: Shingles many items share say little; one that no other item has, and any other, weighs 1.
-        self.weight = {s: 1 / math.log2(1 + n) for s, n in df.items()}
+        self.weight = {s: weight_of(n if shared is None else shared.get(hash_of(s), 1)) for s, n in df.items()}
         self.totals = [sum(self.weight[s] * n for s, n in bag.items()) for bag in self.bags]
         self.where: dict[tuple[str, ...], list[int]] = {}
         for i, bag in enumerate(self.bags):
@@ -110,11 +119,16 @@ class Benchmark:
         """Shingles of an item-sized window."""
         return max(1, self.sizes[item] - SHINGLE + 1)
 
+    def _weight(self, shingle: tuple[str, ...]) -> float:
+        if shingle in self.weight or not self.shared:
+            return self.weight.get(shingle, 1.0)
+        return weight_of(self.shared.get(hash_of(shingle), 1))
+
     def likeness(self, item: int, bag: Counter) -> float:
         """Sum of the lesser weights over the sum of the greater ones."""
         mine = self.bags[item]
         both = sum(self.weight[s] * min(n, bag[s]) for s, n in mine.items() if s in bag)
-        other = sum(self.weight.get(s, 1.0) * n for s, n in bag.items())
+        other = sum(self._weight(s) * n for s, n in bag.items())
         return both / (self.totals[item] + other - both)
 
     def find(self, text: str) -> list[tuple[int, int, int, float]]:
@@ -164,14 +178,26 @@ class Benchmark:
         return best
 
 
-def blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Iterator[list[tuple[int, str]]]:
+def _shared(items: DataFrame) -> dict[int, int]:
+    """How many items have a shingle, by its hash, of those that several have."""
+
+    def work(batch):
+        for part in slices(batch, "t", 1 << 20):
+            yield {"h": [hash_of(s).to_bytes(16) for t in part.column("t").to_pylist() for s in set(shingles_of(words_of(t)))]}
+
+    counts = arrow_map(items.select("t"), work, "h binary").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return {int.from_bytes(r["h"]): r["n"] for r in counts.toLocalIterator()}
+
+
+def blocks(benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, id_column: str = "item_id", text_column: str = "text") -> Iterator[Benchmark]:
     """Items in blocks of about BLOCK_BYTES, dealt by the hash of their text; null texts are left out."""
     items = benchmark.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).cast("string").alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
+    shared = _shared(items) if n > 1 else None
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k) if n > 1 else items
-        yield [(r["i"], r["t"]) for r in part.orderBy("i", "t").toLocalIterator()]
+        yield Benchmark([(r["i"], r["t"]) for r in part.orderBy("i", "t").toLocalIterator()], similarity, radius, shared)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -184,8 +210,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("t"))
     out = None
-    for items in blocks(benchmark):
-        known = Benchmark(items, similarity, radius)
+    for known in blocks(benchmark, similarity, radius):
 
         def work(batch, known=known):
             for part in slices(batch, "t"):
@@ -203,7 +228,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, text_column: str = "text") -> DataFrame:
     """The rows in which no item is found, with all their columns."""
-    for items in blocks(benchmark):
-        known = Benchmark(items, similarity, radius)
+    for known in blocks(benchmark, similarity, radius):
         docs = keep_rows(docs, lambda known=known: lambda texts: [not known.find(t) for t in texts], text_column)
     return docs

@@ -248,6 +248,26 @@ def test_op8_edited_passages(spark, frame):
     assert decontam.find_leaks(frame(rows), bench.limit(0)).count() == 0
 
 
+def test_op8_blocks_do_not_matter(spark, frame, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    phrase = [word() for _ in range(14)]
+    items = [(k, " ".join([word() for _ in range(12)] + phrase)) for k in range(40)]
+    rows = []
+    for k, t in items:
+        w = t.split()
+        w[rng.choice([2, 20])] = "other"
+        rows += [(k, t), (100 + k, " ".join(w)), (200 + k, " ".join([*w[:11], *phrase, word()])), (300 + k, " ".join([word() for _ in range(3)] + w[3:]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    total = sum(len(t) for _, t in items)
+    got = []
+    for n in (1, 5):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", -(-total // n))
+        leaks = decontam.find_leaks(frame(rows), bench).collect()
+        got.append((sorted(tuple(r) for r in leaks), sorted(r["doc_id"] for r in decontam.keep_clean(frame(rows), bench).collect())))
+    assert got[0] == got[1] and {i for i, *_ in got[0][0]} >= {i for i, _ in items}
+
+
 def test_blocks_find_all_within_the_radius():
     import numpy as np
 

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with DuckDB SQL where SQL can say it."""
+"""The registered queries of the operators, with DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagoon.llm import decontam, iblt, licences, packing, secret_scan, simhash, suffixes, toxicity, unigram, urls
+from lagoon.llm import decontam, iblt, lexical, licences, merkle, packing, quality, secret_scan, simhash, suffixes, toxicity, unigram, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,9 +59,21 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filter_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(merkle.tampered_documents(table(spark, folder, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.clean_lines(table(spark, folder, "documents")).drop("cleaned")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_licences": op2_licences, "op3_toxicity": op3_toxicity, "op4_secrets": op4_secrets, "op5_suffixes": op5_suffixes, "op6_token_counts": op6_token_counts, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination, "op9_iblt": op9_iblt, "op10_url_filter": op10_url_filter}
+    return {"op1_simhash": op1_simhash, "op2_licences": op2_licences, "op3_toxicity": op3_toxicity, "op4_secrets": op4_secrets, "op5_suffixes": op5_suffixes, "op6_token_counts": op6_token_counts, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination, "op9_iblt": op9_iblt, "op10_url_filter": op10_url_filter, "op11_merkle": op11_merkle, "op12_lexical": op12_lexical, "op13_quality": op13_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_suffixes": suffixes.SQL, "op10_url_filter": urls.sql()}
+    return {"op5_suffixes": suffixes.SQL, "op10_url_filter": urls.sql(), "op11_merkle": merkle.sql(), "op12_lexical": lexical.SQL, "op13_quality": quality.sql()}

@@ -1,38 +1,44 @@
-"""Settling trade acceptances as if one after another, in set-based rounds.
+"""Settling trade acceptances as if one after another, by a fixpoint over cell timelines.
 
 An acceptance reads and writes four *cells*: (proposer, species given),
-(proposer, species got) and the same for the recipient. Two acceptances without
-a common cell commute. So each round settles every acceptance that comes first
-in all of its cells, which is most of them at once; what a round settles shares
-no cell, so plain joins do it. The longest chain through one cell bounds the
-number of rounds.
-
-A cell that very many acceptances run through would need as many rounds. After
-`max_rounds`, what is left is played in arrival order, in batches of
-`batch_rows` acceptances: one group of that many rows, with only the creatures
-those can touch.
-
-Only creatures that can move are carried along: a cell that gives away p times
-can only lose its p newest, or a creature named outright. Everything else is a
-count. The working set therefore grows with the acceptances, not with the
-creatures.
+(proposer, species got) and the same for the recipient. Its verdict depends on
+nothing but earlier acceptances, so there is exactly one assignment of verdicts
+and creatures that is consistent with itself, and that is the serial outcome.
+Each pass assumes the last one's verdicts and creatures and plays all cells
+side by side, each along its own timeline: what comes in is as assumed, what
+goes out follows from the cell itself. The verdicts of a pass are right at least
+up to the first acceptance whose assumption was wrong, and one step further for
+each exchange between cells; a cell that very many acceptances run through is
+still a single pass. It ends when a pass changes nothing.
+
+Passes therefore follow how often a creature's path, or a shortage, crosses
+from cell to cell, not how many acceptances a cell sees: eleven passes where
+chains of acceptances with a common cell are 26 long.
+
+Only creatures that can move are carried along: a cell that p trades can take
+from can only lose its p newest, or a creature named outright. Everything else
+is a count. The working set therefore grows with the acceptances, not with the
+creatures. A cell's timeline is read as a sorted stream by one task, which holds
+the creatures of that cell that can move.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagoon.plans.ranges import range_position
 from lagoon.session import cut_lineage
 
-MAX_ROUNDS = 12
-BATCH_ROWS = 200_000
-
 ACCEPTED = "accepted"
-OUTCOMES = "trade_id string, seq bigint, outcome string, giving string, getting string"
+#: What happens at a cell, in this order at one seq: its stock before all, what is asked of it, what comes in.
+COUNT, STOCK, GIVES, GETS, TAKES_GIVEN, TAKES_GOT = range(6)
 
 
 @dataclass
@@ -42,19 +48,12 @@ class Settlement:
     outcomes: DataFrame
 
 
-def settle_trades(
-    creatures: DataFrame,
-    trades: DataFrame,
-    acceptances: DataFrame,
-    as_of,
-    max_rounds: int = MAX_ROUNDS,
-    batch_rows: int = BATCH_ROWS,
-) -> Settlement:
+def settle_trades(creatures: DataFrame, trades: DataFrame, acceptances: DataFrame, as_of) -> Settlement:
     """acceptances(seq, trade_id, user_id): creatures, trades and outcomes after all of them.
 
     Outcomes: accepted, no such pending trade, not the recipient, no spare to
     give, no spare to get, creature gone. A failed acceptance leaves its trade
-    pending.
+    pending. seq is unique.
     """
     asked = acceptances.join(
         trades.select(
@@ -73,34 +72,12 @@ def settle_trades(
     )
     queue = asked.filter("outcome is null").drop("outcome", "status", "user_id")
     held, rest = _movable(creatures, queue)
-    held, rest = cut_lineage(held), cut_lineage(rest)
-
-    judged, left = None, queue
-    for _ in range(max_rounds):
-        part = cut_lineage(_judge(_first_everywhere(left), held, rest))
-        if part.isEmpty():
-            break
-        judged = part if judged is None else judged.unionByName(part)
-        held = cut_lineage(_move(held, part))
-        left = cut_lineage(_open(left, part))
-    while not left.isEmpty():
-        # Whatever the rounds left, in arrival order, one bounded batch after another.
-        batch = cut_lineage(left.orderBy("seq").limit(batch_rows))
-        played = _play_in_order(batch, held, rest).join(batch.select("seq", "from_id", "to_id"), "seq")
-        part = cut_lineage(played)
-        judged = part if judged is None else judged.unionByName(part)
-        held = cut_lineage(_move(held, part))
-        left = cut_lineage(_open(left, part))
-    if judged is None:
-        outcomes = refused
-    else:
-        judged = cut_lineage(judged)
-        settled = judged.filter(F.col("outcome") == ACCEPTED).select("trade_id")
-        late = queue.join(judged.select("seq"), "seq", "left_anti").join(settled, "trade_id", "left_semi")
-        verdicts = judged.select("trade_id", "seq", "outcome", "giving", "getting")
-        outcomes = refused.unionByName(verdicts).unionByName(_too_late(late))
+    held = cut_lineage(held)
+    stock = cut_lineage(_stock(held, rest))
+    verdicts = _fixpoint(queue, stock)
+    outcomes = refused.unionByName(verdicts.select("trade_id", "seq", "outcome", "giving", "getting"))
     outcomes = cut_lineage(_closed_before(outcomes))
-    moved = held.filter("user_id <> home").select("id", F.col("user_id").alias("_to"))
+    moved = _last_owners(verdicts)
     final = (
         creatures.join(moved, "id", "left")
         .withColumn("user_id", F.coalesce("_to", "user_id"))
@@ -127,51 +104,32 @@ def _closed_before(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def _too_late(df: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return df.select(
-        "trade_id", "seq", F.lit("no such pending trade").alias("outcome"), none.alias("giving"), none.alias("getting")
-    )
-
-
 def _gives(queue: DataFrame) -> DataFrame:
     """(user, species) cells an acceptance takes a creature out of."""
     out = F.array(
         F.struct(F.col("from_id").alias("user_id"), F.col("give_id").alias("species_id")),
         F.struct(F.col("to_id").alias("user_id"), F.col("get_id").alias("species_id")),
     )
-    return queue.select("seq", F.inline(out))
+    return queue.select("trade_id", F.inline(out))
 
 
 def _newest(inside: DataFrame) -> DataFrame:
-    """The `_gives` newest creatures of each cell.
-
-    Days are counted first, so that a huge cell is ranked day by day and only
-    the days that can matter are ranked at all.
-    """
-    cell = ["user_id", "species_id"]
-    dated = inside.withColumn("_day", F.to_date("caught_at"))
-    days = dated.groupBy(*cell, "_day").agg(F.count("*").alias("_n"))
-    newer = Window.partitionBy(*cell).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
-    before = days.withColumn("_before", F.coalesce(F.sum("_n").over(newer), F.lit(0))).drop("_n")
-    rank = Window.partitionBy(*cell, "_day").orderBy(F.desc("caught_at"), F.desc("id"))
-    return (
-        dated.join(before, [*cell, "_day"])
-        .filter("_before < _gives")
-        .withColumn("_rank", F.row_number().over(rank) + F.col("_before"))
-        .filter("_rank <= _gives")
-        .select("id", "user_id", "species_id", "caught_at")
-    )
+    """The `_gives` newest creatures of each cell; a huge cell is ranked in ranges of its order."""
+    narrow = inside.select("user_id", "species_id", "caught_at", "id", "_gives")
+    order = [F.desc("caught_at"), F.desc("id")]
+    ranked = range_position(narrow, ["user_id", "species_id"], order, "_rank")
+    return ranked.filter("_rank <= _gives").select("id", "user_id", "species_id", "caught_at")
 
 
 def _movable(creatures: DataFrame, queue: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Creatures that may change hands, and how many more each cell holds besides them."""
-    gives = _gives(queue).groupBy("user_id", "species_id").agg(F.count("*").alias("_gives"))
+    # a trade takes from a cell once, however often it is accepted
+    gives = _gives(queue).distinct().groupBy("user_id", "species_id").agg(F.count("*").alias("_gives"))
     inside = creatures.join(gives, ["user_id", "species_id"])
     newest = _newest(inside)
     wanted = queue.filter("give_creature_id is not null").select(F.col("give_creature_id").alias("id"))
     named = creatures.join(wanted, "id", "left_semi").select("id", "user_id", "species_id", "caught_at")
-    held = newest.unionByName(named).distinct().withColumn("home", F.col("user_id"))
+    held = newest.unionByName(named).distinct()
     totals = inside.groupBy("user_id", "species_id").agg(F.count("*").alias("_all"))
     carried = held.groupBy("user_id", "species_id").agg(F.count("*").alias("_held"))
     rest = totals.join(carried, ["user_id", "species_id"], "left").select(
@@ -180,163 +138,145 @@ def _movable(creatures: DataFrame, queue: DataFrame) -> tuple[DataFrame, DataFra
     return held, rest
 
 
-def _first_everywhere(queue: DataFrame) -> DataFrame:
-    """Acceptances that come first in each of their cells.
+def _stock(held: DataFrame, rest: DataFrame) -> DataFrame:
+    """Rows that open a cell's timeline: how many stay whatever happens, and the creatures that can move."""
+    none = F.lit(None)
+    counts = rest.select(
+        F.col("user_id").alias("u"), F.col("species_id").alias("s"), F.lit(0).cast("bigint").alias("seq"),
+        F.lit(COUNT).alias("role"), none.cast("string").alias("id"), F.col("rest").alias("age"),
+    )
+    cards = held.select(
+        F.col("user_id").alias("u"), F.col("species_id").alias("s"), F.lit(0).cast("bigint").alias("seq"),
+        F.lit(STOCK).alias("role"), "id", F.unix_micros(F.col("caught_at").cast("timestamp")).alias("age"),
+    )
+    return counts.unionByName(cards)
 
-    A minimum per cell, then a count of the cells won: no cell is gathered.
-    """
-    who = [("from_id", "give_id"), ("from_id", "get_id"), ("to_id", "give_id"), ("to_id", "get_id")]
-    cells = F.array(*[F.struct(F.col(u).alias("u"), F.col(s).alias("s")) for u, s in who])
-    width = F.when(F.col("give_id") == F.col("get_id"), 2).otherwise(4)
-    first = (
-        queue.select("seq", F.inline(F.array_distinct(cells)))
-        .groupBy("u", "s")
-        .agg(F.min("seq").alias("seq"))
-        .groupBy("seq")
-        .agg(F.count("*").alias("_won"))
+
+def _fixpoint(queue: DataFrame, stock: DataFrame) -> DataFrame:
+    """queue with outcome, giving and getting as after serial play."""
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    assumed = cut_lineage(
+        queue.select(
+            "seq", "trade_id", "from_id", "to_id", "give_id", "get_id", "give_creature_id",
+            F.lit(ACCEPTED).alias("outcome"), text.alias("giving"), number.alias("giving_age"),
+            text.alias("getting"), number.alias("getting_age"), F.lit(True).alias("changed"),
+        )
     )
-    return queue.join(first, "seq").filter(F.col("_won") == width).drop("_won")
+    while not assumed.filter("changed").isEmpty():
+        assumed = cut_lineage(_pass(assumed, stock))
+    return assumed
 
 
-def _judge(ready: DataFrame, held: DataFrame, rest: DataFrame) -> DataFrame:
-    """Outcome and chosen creatures of acceptances that share no cell."""
-    cells = _gives(ready).select("user_id", "species_id").distinct()
-    cell = ["user_id", "species_id"]
-    carried = (
-        held.join(cells, cell, "left_semi")
-        .groupBy(*cell)
-        .agg(F.count("*").alias("_n"), F.max(F.struct("caught_at", "id")).alias("_newest"))
+def _pass(assumed: DataFrame, stock: DataFrame) -> DataFrame:
+    """Verdicts and creatures that follow from the assumed ones."""
+    ok = F.col("outcome") == ACCEPTED
+    at = lambda u, s, role, id_, age: F.struct(
+        F.col(u).alias("u"), F.col(s).alias("s"), F.lit(role).alias("role"), id_.alias("id"), age.alias("age")
     )
-    stock = (
-        cells.join(carried, cell, "left")
-        .join(rest, cell, "left")
-        .select(
-            *cell,
-            (F.coalesce("_n", F.lit(0)) + F.coalesce("rest", F.lit(0))).alias("n"),
-            F.col("_newest.id").alias("newest"),
-        )
+    none, named = F.lit(None).cast("bigint"), F.col("give_creature_id")
+    steps = F.array(
+        at("from_id", "give_id", GIVES, named, none),
+        at("to_id", "get_id", GETS, F.lit(None).cast("string"), none),
+        at("to_id", "give_id", TAKES_GIVEN, F.col("giving"), F.col("giving_age")),
+        at("from_id", "get_id", TAKES_GOT, F.col("getting"), F.col("getting_age")),
     )
-    owner = held.select(
-        F.col("id").alias("give_creature_id"), F.col("user_id").alias("_owner"), F.col("species_id").alias("_species")
+    events = assumed.select("seq", ok.alias("ok"), F.inline(steps)).filter(
+        F.col("role").isin(GIVES, GETS) | (F.col("ok") & F.col("id").isNotNull())
     )
-    both = (
-        ready.join(stock.toDF("from_id", "give_id", "_give_n", "_give_newest"), ["from_id", "give_id"], "left")
-        .join(stock.toDF("to_id", "get_id", "_get_n", "_get_newest"), ["to_id", "get_id"], "left")
-        .join(owner, "give_creature_id", "left")
+    lines = stock.withColumn("ok", F.lit(True)).unionByName(events)
+    lines = lines.repartition("u", "s").sortWithinPartitions("u", "s", F.col("role") > STOCK, "seq", "role")
+    answers = lines.select("u", "s", "seq", "role", "id", "age", "ok").mapInArrow(
+        _timelines, "seq bigint, role int, enough boolean, there boolean, id string, age bigint"
     )
-    theirs = (F.col("_owner") == F.col("from_id")) & (F.col("_species") == F.col("give_id"))
-    gone = F.col("give_creature_id").isNotNull() & ~F.coalesce(theirs, F.lit(False))
-    outcome = (
-        F.when(F.coalesce("_give_n", F.lit(0)) < 2, "no spare to give")
-        .when(F.coalesce("_get_n", F.lit(0)) < 2, "no spare to get")
-        .when(gone, "creature gone")
+    of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    sides = answers.groupBy("seq").agg(
+        of(GIVES, "enough").alias("_mine"), of(GETS, "enough").alias("_theirs"), of(GIVES, "there").alias("_there"),
+        of(GIVES, "id").alias("_giving"), of(GIVES, "age").alias("_giving_age"),
+        of(GETS, "id").alias("_getting"), of(GETS, "age").alias("_getting_age"),
+    )
+    why = (
+        F.when(~F.col("_mine"), "no spare to give")
+        .when(~F.col("_theirs"), "no spare to get")
+        .when(~F.col("_there"), "creature gone")
         .otherwise(ACCEPTED)
     )
-    ok = F.col("outcome") == ACCEPTED
-    return both.withColumn("outcome", outcome).select(
-        "trade_id", "seq", "from_id", "to_id", "outcome",
-        F.when(ok, F.coalesce("give_creature_id", "_give_newest")).alias("giving"),
-        F.when(ok, F.col("_get_newest")).alias("getting"),
+    own = assumed.join(sides, "seq").withColumn("_why", why)
+    # of one trade's acceptances the first that would do settles it
+    first = own.groupBy(F.col("trade_id").alias("_trade")).agg(F.min(F.when(F.col("_why") == ACCEPTED, F.col("seq"))).alias("_first"))
+    late = F.coalesce(F.col("seq") > F.col("_first"), F.lit(False))
+    new = (
+        own.join(first, F.col("trade_id") == F.col("_trade"))
+        .withColumn("_new", F.when(late, "no such pending trade").otherwise(F.col("_why")))
+    )
+    won = F.col("_new") == ACCEPTED
+    kept = lambda c: F.when(won, F.col(c))
+    same = (
+        (F.col("_new") == F.col("outcome"))
+        & F.col("giving").eqNullSafe(kept("_giving"))
+        & F.col("getting").eqNullSafe(kept("_getting"))
+    )
+    return new.select(
+        "seq", "trade_id", "from_id", "to_id", "give_id", "get_id", "give_creature_id", F.col("_new").alias("outcome"),
+        kept("_giving").alias("giving"), kept("_giving_age").alias("giving_age"),
+        kept("_getting").alias("getting"), kept("_getting_age").alias("getting_age"), (~same).alias("changed"),
     )
 
 
-def _open(queue: DataFrame, judged: DataFrame) -> DataFrame:
-    """Acceptances still to play: a settled trade closes its later ones too."""
-    settled = judged.filter(F.col("outcome") == ACCEPTED).select("trade_id")
-    return queue.join(judged.select("seq"), "seq", "left_anti").join(settled, "trade_id", "left_anti")
-
-
-def _move(held: DataFrame, judged: DataFrame) -> DataFrame:
-    """Owners after the accepted swaps; a creature that moved twice keeps its last owner."""
+def _timelines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of cells → what each ask finds: two or more creatures, the named one, the one that goes."""
+
+    def rows():
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    out: list[tuple] = []
+
+    def ready() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.int64())
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, ["seq", "role", "enough", "there", "id", "age"])
+
+    for _, line in groupby(rows(), key=lambda r: r[:2]):
+        rest, there = 0, []  # creatures by age, oldest first
+        for (seq, opening), now in groupby(line, key=lambda r: (r[2], r[3] <= STOCK)):
+            if opening:
+                for _, _, _, role, i, age, _ in now:
+                    if role == COUNT:
+                        rest = age
+                    else:
+                        insort(there, (age, i))
+                continue
+            n, gone, come = rest + len(there), [], []
+            for _, _, _, role, i, age, ok in now:
+                if role > GETS:
+                    come.append((age, i))
+                    continue
+                pick = there[-1] if there else None
+                if role == GIVES and i is not None:
+                    pick = next((c for c in there if c[1] == i), None)
+                out.append((seq, role, n >= 2, role == GETS or i is None or pick is not None, pick and pick[1], pick and pick[0]))
+                if ok and pick:
+                    gone.append(pick)
+            for c in gone:
+                k = bisect_left(there, c)
+                if k < len(there) and there[k] == c:
+                    del there[k]
+            for c in come:
+                k = bisect_left(there, c)
+                if k == len(there) or there[k] != c:
+                    there.insert(k, c)
+        if len(out) >= 10_000:
+            yield ready()
+    if out:
+        yield ready()
+
+
+def _last_owners(verdicts: DataFrame) -> DataFrame:
+    """(id, _to) of the creatures that moved; one that moved twice has its last owner."""
     steps = F.array(
         F.struct(F.col("giving").alias("id"), F.col("to_id").alias("_to")),
         F.struct(F.col("getting").alias("id"), F.col("from_id").alias("_to")),
     )
-    moves = (
-        judged.filter(F.col("outcome") == ACCEPTED)
-        .select("seq", F.inline(steps))
-        .groupBy("id")
-        .agg(F.max_by("_to", "seq").alias("_to"))
-    )
-    return (
-        held.join(moves, "id", "left")
-        .withColumn("user_id", F.coalesce("_to", "user_id"))
-        .select("id", "user_id", "species_id", "caught_at", "home")
-    )
-
-
-def _play_in_order(batch: DataFrame, held: DataFrame, rest: DataFrame) -> DataFrame:
-    """One bounded batch, serially: its acceptances and the creatures they can reach."""
-    gives = _gives(batch).groupBy("user_id", "species_id").agg(F.count("*").alias("_gives"))
-    near = held.join(gives, ["user_id", "species_id"])
-    wanted = batch.select(F.col("give_creature_id").alias("id")).filter("id is not null")
-    named = held.join(wanted, "id", "left_semi").select("id", "user_id", "species_id", "caught_at")
-    reach = _newest(near).unionByName(named).distinct()
-    carried = near.groupBy("user_id", "species_id").agg(F.count("*").alias("_n"))
-    total = (
-        gives.join(carried, ["user_id", "species_id"], "left")
-        .join(rest, ["user_id", "species_id"], "left")
-        .select("user_id", "species_id", (F.coalesce("_n", F.lit(0)) + F.coalesce("rest", F.lit(0))).alias("n"))
-    )
-    cards = reach.select(
-        F.lit("creature").alias("kind"), F.lit(0).cast("bigint").alias("seq"), F.col("id").alias("a"),
-        F.col("user_id").alias("b"), F.col("species_id").alias("c"), F.col("caught_at").cast("string").alias("d"),
-        F.lit(None).cast("string").alias("e"), F.lit(None).cast("string").alias("f"), F.lit(0).cast("bigint").alias("n"),
-    )
-    counts = total.select(
-        F.lit("count").alias("kind"), F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("a"),
-        F.col("user_id").alias("b"), F.col("species_id").alias("c"), F.lit(None).cast("string").alias("d"),
-        F.lit(None).cast("string").alias("e"), F.lit(None).cast("string").alias("f"), "n",
-    )
-    orders = batch.select(
-        F.lit("order").alias("kind"), "seq", F.col("trade_id").alias("a"), F.col("from_id").alias("b"),
-        F.col("give_id").alias("c"), F.col("to_id").alias("d"), F.col("get_id").alias("e"),
-        F.col("give_creature_id").alias("f"), F.lit(0).cast("bigint").alias("n"),
-    )
-    everything = cards.unionByName(counts).unionByName(orders).withColumn("_batch", F.lit(0))
-    return everything.groupBy("_batch").applyInPandas(_serial, OUTCOMES)
-
-
-def _serial(rows: pd.DataFrame) -> pd.DataFrame:
-    creature = rows[rows.kind == "creature"]
-    owner = dict(zip(creature.a, creature.b))
-    caught = {i: (t, i) for i, t in zip(creature.a, creature.d)}
-    cell: dict[tuple, set] = {}
-    for i, u, s in zip(creature.a, creature.b, creature.c):
-        cell.setdefault((u, s), set()).add(i)
-    species = dict(zip(creature.a, creature.c))
-    counts = rows[rows.kind == "count"]
-    size = {(u, s): int(n) for u, s, n in zip(counts.b, counts.c, counts.n)}
-    closed: set[str] = set()
-    out = []
-
-    def hand_over(i, new_owner):
-        s = species[i]
-        cell[owner[i], s].discard(i)
-        size[owner[i], s] = size.get((owner[i], s), 0) - 1
-        cell.setdefault((new_owner, s), set()).add(i)
-        size[new_owner, s] = size.get((new_owner, s), 0) + 1
-        owner[i] = new_owner
-
-    orders = rows[rows.kind == "order"].sort_values("seq")
-    for seq, trade, a, give, b, get, named in zip(
-        orders.seq, orders.a, orders.b, orders.c, orders.d, orders.e, orders.f
-    ):
-        giving = getting = None
-        if trade in closed:
-            outcome = "no such pending trade"
-        elif size.get((a, give), 0) < 2:
-            outcome = "no spare to give"
-        elif size.get((b, get), 0) < 2:
-            outcome = "no spare to get"
-        elif named is not None and (owner.get(named) != a or species[named] != give):
-            outcome = "creature gone"
-        else:
-            outcome = ACCEPTED
-            giving = named if named is not None else max(cell[a, give], key=caught.__getitem__)
-            getting = max(cell[b, get], key=caught.__getitem__)
-            hand_over(giving, b)
-            hand_over(getting, a)
-            closed.add(trade)
-        out.append((trade, seq, outcome, giving, getting))
-    return pd.DataFrame(out, columns=["trade_id", "seq", "outcome", "giving", "getting"])
+    accepted = verdicts.filter(F.col("outcome") == ACCEPTED)
+    return accepted.select("seq", F.inline(steps)).groupBy("id").agg(F.max_by("_to", "seq").alias("_to"))

@@ -123,13 +123,70 @@ def acceptances(d, trades):
     )
 
 
-@query("settle_trades")
+# Round by round, all acceptances that come first in each of their cells, until none is open.
+SERIAL = """
+  asked AS MATERIALIZED (
+    SELECT 2 * seq + turn AS seq, id AS trade_id, CASE WHEN turn = 0 THEN 'nobody' ELSE to_id END AS user_id
+    FROM trades, (SELECT unnest([0, 1]) AS turn) WHERE turn = 1 OR seq % 7 = 0),
+  queue AS MATERIALIZED (
+    SELECT a.seq, a.trade_id, t.from_id, t.to_id, t.give_id, t.get_id, t.give_creature_id,
+           list_distinct([from_id || '|' || give_id, from_id || '|' || get_id, to_id || '|' || give_id, to_id || '|' || get_id]) AS cells
+    FROM asked a JOIN trades t ON t.id = a.trade_id WHERE t.status = 'pending' AND t.to_id = a.user_id),
+  asking AS MATERIALIZED (
+    SELECT from_id AS u, give_id AS s FROM queue UNION SELECT to_id, get_id FROM queue),
+  play(k, kind, seq, u, s, born, id, outcome, giving, getting) USING KEY (k) AS (
+    SELECT 'c' || id, 'c', CAST(NULL AS BIGINT), user_id, species_id, caught_at, id, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+    FROM user_creatures JOIN asking ON u = user_id AND s = species_id
+    UNION ALL
+    SELECT 'x' || seq, 'x', seq, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM queue
+    UNION
+    (WITH open AS MATERIALIZED (SELECT q.* FROM recurring.play p JOIN queue q ON q.seq = p.seq WHERE p.kind = 'x' AND p.outcome IS NULL AND EXISTS (SELECT 1 FROM play)),
+      spread AS (SELECT seq, unnest(cells) AS cell FROM open),
+      firsts AS (SELECT cell, min(seq) AS seq FROM spread GROUP BY cell),
+      ready AS (SELECT o.* FROM open o JOIN (SELECT seq, count(*) AS n FROM firsts GROUP BY seq) f ON f.seq = o.seq AND f.n = len(o.cells)),
+      stock AS (SELECT u, s, count(*) AS n, max(CAST({'born': born, 'id': id} AS STRUCT(born TIMESTAMP, id VARCHAR))) AS newest FROM recurring.play WHERE kind = 'c' GROUP BY u, s),
+      judged AS MATERIALIZED (
+        SELECT r.*, CASE WHEN coalesce(a.n, 0) < 2 THEN 'no spare to give' WHEN coalesce(b.n, 0) < 2 THEN 'no spare to get'
+                         WHEN r.give_creature_id IS NOT NULL AND o.id IS NULL THEN 'creature gone' ELSE 'accepted' END AS outcome,
+               coalesce(r.give_creature_id, a.newest.id) AS giving, b.newest.id AS getting
+        FROM ready r LEFT JOIN stock a ON a.u = r.from_id AND a.s = r.give_id LEFT JOIN stock b ON b.u = r.to_id AND b.s = r.get_id
+        LEFT JOIN (SELECT id, u, s FROM recurring.play WHERE kind = 'c') o ON o.id = r.give_creature_id AND o.u = r.from_id AND o.s = r.give_id),
+      moves AS (SELECT giving AS id, to_id AS u FROM judged WHERE outcome = 'accepted' UNION ALL SELECT getting, from_id FROM judged WHERE outcome = 'accepted')
+    SELECT 'x' || seq, 'x', seq, NULL, NULL, NULL, NULL, outcome, CASE WHEN outcome = 'accepted' THEN giving END, CASE WHEN outcome = 'accepted' THEN getting END FROM judged
+    UNION ALL
+    SELECT 'x' || o.seq, 'x', o.seq, NULL, NULL, NULL, NULL, 'no such pending trade', NULL, NULL
+    FROM open o JOIN judged j ON j.trade_id = o.trade_id AND j.seq < o.seq AND j.outcome = 'accepted'
+    UNION ALL
+    SELECT p.k, 'c', NULL, m.u, p.s, p.born, p.id, NULL, NULL, NULL FROM recurring.play p JOIN moves m ON m.id = p.id WHERE p.kind = 'c'))"""
+
+
+@query(
+    "settle_trades",
+    f"""WITH RECURSIVE {SERIAL},
+  won AS (SELECT q.trade_id, p.seq FROM play p JOIN queue q ON q.seq = p.seq WHERE p.outcome = 'accepted')
+  SELECT a.trade_id, a.seq,
+         CASE WHEN p.seq IS NOT NULL THEN p.outcome WHEN t.status = 'pending' AND NOT coalesce(a.seq > w.seq, false) THEN 'not the recipient'
+              ELSE 'no such pending trade' END AS outcome, p.giving, p.getting
+  FROM asked a JOIN trades t ON t.id = a.trade_id LEFT JOIN won w ON w.trade_id = a.trade_id
+  LEFT JOIN (SELECT seq, outcome, giving, getting FROM play WHERE kind = 'x') p ON p.seq = a.seq""",
+)
 def settle_trades_outcomes(d):
     trades = d.trades
     out = settle_trades(d.user_creatures, trades, acceptances(d, trades), instant(AS_OF))
     return out.outcomes
 
 
+@query(
+    "settled_creatures",
+    f"""WITH RECURSIVE {SERIAL}
+  SELECT c.id, coalesce(p.u, c.user_id) AS user_id, c.species_id, c.nickname, c.caught_at
+  FROM user_creatures c LEFT JOIN (SELECT id, u FROM play WHERE kind = 'c') p ON p.id = c.id""",
+)
+def settled_creatures(d):
+    trades = d.trades
+    return settle_trades(d.user_creatures, trades, acceptances(d, trades), instant(AS_OF)).creatures
+
+
 # Without shared cells every acceptance sees the original stock, which plain SQL can say.
 LONE = """
   pending AS (SELECT * FROM trades WHERE status = 'pending'),

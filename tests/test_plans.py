@@ -74,14 +74,14 @@ def case(seed, hot):
     return creatures, trades, accepts
 
 
-@pytest.mark.parametrize("seed,hot,rounds,batch", [(1, False, 5, 1000), (2, True, 2, 8), (3, True, 0, 12)])
-def test_settlement_equals_serial(spark, seed, hot, rounds, batch):
+@pytest.mark.parametrize("seed,hot", [(1, False), (2, True), (3, True), (4, True)])
+def test_settlement_equals_serial(spark, seed, hot):
     creatures, trades, accepts = case(seed, hot)
     c = spark.createDataFrame(creatures, "id string, user_id string, species_id string, caught_at string").withColumn("caught_at", F.col("caught_at").cast("timestamp"))
     t = spark.createDataFrame(trades, "id string, from_id string, to_id string, give_id string, get_id string, status string, give_creature_id string")
     t = t.withColumn("resolved_at", F.lit(None).cast("timestamp"))
     a = spark.createDataFrame(accepts, "seq bigint, trade_id string, user_id string")
-    done = settle_trades(c, t, a, F.lit(AS_OF).cast("timestamp"), max_rounds=rounds, batch_rows=batch)
+    done = settle_trades(c, t, a, F.lit(AS_OF).cast("timestamp"))
     owner, status, out = serial(creatures, trades, accepts)
     assert {r.seq: r.outcome for r in done.outcomes.collect()} == out
     assert {r.id: r.user_id for r in done.creatures.collect()} == owner

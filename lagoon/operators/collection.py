@@ -15,7 +15,8 @@ from lagoon.functions.scalars import (
 )
 from lagoon.functions.text import nickname_problem, trim_all
 from lagoon.operators.social import friends_of
-from lagoon.plans.skew import first_per_key, running_position
+from lagoon.plans.ranges import range_position
+from lagoon.plans.skew import first_per_key
 
 
 def collections(creatures: DataFrame) -> DataFrame:
@@ -43,9 +44,7 @@ def newest_spare(creatures: DataFrame) -> DataFrame:
 
 def creature_log(creatures: DataFrame) -> DataFrame:
     """Every creature with its place in its owner's log, oldest first."""
-    return running_position(
-        creatures, ["user_id"], [F.asc("caught_at"), F.asc("id")], F.to_date("caught_at")
-    ).select("user_id", "pos", "id", "species_id", "nickname", "caught_at")
+    return range_position(creatures, ["user_id"], [F.asc("caught_at"), F.asc("id")]).select("user_id", "pos", "id", "species_id", "nickname", "caught_at")
 
 
 def species_lists(creatures: DataFrame) -> DataFrame:
@@ -71,18 +70,18 @@ def friend_cards(friendships, users, blocks, stats, creatures, as_of) -> DataFra
     """
     held = species_lists(creatures).withColumnRenamed("user_id", "target_id")
     totals = stats.select(F.col("user_id").alias("target_id"), "total_mins", "dives")
-    about = users.select(F.col("id").alias("target_id"), "name", "initial", "avatar_bg", "last_seen")
-    placed = running_position(
-        friends_of(friendships, users, blocks).join(about, "target_id"),
+    about = users.select(F.col("id").alias("target_id"), "name", "initial", "avatar_bg")
+    seen_last = users.select(F.col("id").alias("target_id"), "last_seen")
+    placed = range_position(
+        friends_of(friendships, users, blocks).join(seen_last, "target_id"),
         ["viewer_id"],
         [F.desc("last_seen"), F.asc("target_id")],
-        F.to_date("last_seen"),
-        descending=True,
     )
     none = F.array().cast("array<string>")
     mins, seen = F.coalesce("total_mins", F.lit(0)).cast("bigint"), F.col("last_seen")
     return (
-        placed.join(totals, "target_id", "left")
+        placed.join(about, "target_id")
+        .join(totals, "target_id", "left")
         .join(held, "target_id", "left")
         .select(
             "viewer_id",

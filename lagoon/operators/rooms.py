@@ -9,7 +9,8 @@ from lagoon.functions.moderation import is_blocked_name
 from lagoon.functions.scalars import minted_id, parse_number, round_half_up
 from lagoon.functions.text import trim_all
 from lagoon.operators.social import visible
-from lagoon.plans.skew import hash_page, previous_value, running_position, running_total
+from lagoon.plans.ranges import range_position
+from lagoon.plans.skew import hash_page, previous_value, running_total
 from lagoon.session import cut_lineage
 from lagoon.sources.files import append_new
 
@@ -144,13 +145,7 @@ def room_cards(
     multiplies the other.
     """
     hosts = users.select(F.col("id").alias("host_id"), F.col("name").alias("host"))
-    placed = running_position(
-        rooms.withColumn("_all", F.lit(0)),
-        ["_all"],
-        [F.desc("created_at"), F.asc("id")],
-        F.to_date("created_at"),
-        descending=True,
-    ).drop("_all")
+    placed = range_position(rooms, [], [F.desc("created_at"), F.asc("id")])
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     people = room_participants(members, users, page_size)
     nobody = F.array().cast("array<struct<id:string,initial:string,bg:string>>")

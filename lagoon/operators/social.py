@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.functions.text import trim_all
-from lagoon.plans.skew import running_position
+from lagoon.plans.ranges import range_position
 from lagoon.sources.files import append_new
 
 
@@ -104,9 +104,7 @@ def friends_of(friendships: DataFrame, users: DataFrame, blocks: DataFrame) -> D
 
 def block_list(blocks: DataFrame, users: DataFrame) -> DataFrame:
     """Whom each diver has blocked, newest first (ties by id)."""
-    placed = running_position(
-        blocks, ["blocker_id"], [F.desc("created_at"), F.asc("blocked_id")], F.to_date("created_at"), descending=True
-    )
+    placed = range_position(blocks, ["blocker_id"], [F.desc("created_at"), F.asc("blocked_id")])
     return placed.join(
         users.select("id", "name", "initial", "avatar_bg"), F.col("blocked_id") == F.col("id")
     ).select("blocker_id", "pos", "id", "name", "initial", "avatar_bg")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lagoon.operators.collection import collections
 from lagoon.operators.social import visible, with_blocked_flag
-from lagoon.plans.skew import running_position
+from lagoon.plans.ranges import range_position
 
 
 def pending_sides(trades: DataFrame) -> DataFrame:
@@ -31,9 +31,7 @@ def trade_lists(
         F.col("id").alias(f"{p}_id"), F.col("name").alias(f"{p}_name"),
         F.col("initial").alias(f"{p}_initial"), F.col("avatar_bg").alias(f"{p}_bg"),
     )
-    placed = running_position(
-        sides, ["user_id", "side"], [F.desc("created_at"), F.asc("id")], F.to_date("created_at"), descending=True
-    )
+    placed = range_position(sides, ["user_id", "side"], [F.desc("created_at"), F.asc("id")])
     placed = placed.join(about("from"), "from_id").join(about("to").drop("to_initial", "to_bg"), "to_id")
     return placed.select(
         "user_id", "side", "pos", "id", "from_id", "to_id", "from_name", "from_initial", "from_bg",

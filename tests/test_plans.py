@@ -13,11 +13,13 @@ from lagoon.operators.accounts import assign_names, redeem_links
 from lagoon.operators.limits import budget_violations, throttle_decisions
 from lagoon.operators.purchases import classify_purchases
 from lagoon.operators.rooms import ingest_room_dives
-from lagoon.plans import skew
+from lagoon.plans import leaderboard, ranges, skew
 from lagoon.plans.leaderboard import visible_top
 from lagoon.plans.matching import grant_in_order
+from lagoon.plans.ranges import range_position
 from lagoon.plans.settlement import settle_trades
 from lagoon.plans.skew import previous_value, running_position
+from lagoon.session import cut_lineage
 from lagoon.sources.files import conform
 
 AS_OF = "2024-02-01"
@@ -262,8 +264,9 @@ def test_every_request_gets_a_name(spark):
 # leaderboard ------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("spare", [1, 5, 1000])
-def test_visible_top_is_exact_for_heavy_hiders(spark, spare):
+@pytest.mark.parametrize("shared", [1, 12, 10_000])
+def test_visible_top_is_exact_for_heavy_hiders(spark, shared, monkeypatch):
+    monkeypatch.setattr(leaderboard, "BROADCAST_PLACES", shared)
     rnd = random.Random(4)
     users = [(f"u{i:03}", rnd.randint(0, 20)) for i in range(120)]
     order = sorted(users, key=lambda u: (-u[1], u[0]))
@@ -276,7 +279,6 @@ def test_visible_top_is_exact_for_heavy_hiders(spark, spare):
         spark.createDataFrame(users, "id string, score int"),
         spark.createDataFrame(hidden, "viewer_id string, target_id string"),
         k=10,
-        spare=spare,
     )
     shown = {}
     for r in got.collect():
@@ -287,6 +289,44 @@ def test_visible_top_is_exact_for_heavy_hiders(spark, spare):
         assert len(shown.get(v, {})) == len(want)
 
 
+def test_visible_top_for_one_who_hides_a_million(spark):
+    n = 1_000_000
+    users = spark.range(n + 30).select(F.col("id").cast("string").alias("id"), (-F.col("id")).alias("score"))
+    hidden = spark.range(n).select(F.lit("heavy").alias("viewer_id"), F.col("id").cast("string").alias("target_id"))
+    viewers = spark.createDataFrame([("heavy",), ("other",)], "viewer_id string")
+    got = visible_top(viewers, [F.desc("score"), F.asc("id")], users, hidden, k=25)
+    assert sorted((r.viewer_id, r["rank"], int(r.id)) for r in got.collect()) == [
+        *(("heavy", k, n + k - 1) for k in range(1, 26)), *(("other", k, k - 1) for k in range(1, 26))
+    ]
+
+
+def test_range_positions_of_one_key_and_one_instant(spark, monkeypatch):
+    """A key that all rows share, at one instant: many partitions, right positions and totals."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise("hot").alias("k"), F.lit(AS_OF).alias("at"), ((F.col("id") * 7919) % 60_013).alias("v")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    written = []
+    monkeypatch.setattr(ranges, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    try:
+        placed = range_position(rows, ["k"], [F.asc("at"), F.asc("v")], "pos", "n")
+        parts = written[0].filter("k = 'hot'").select(F.input_file_name().alias("p")).distinct().count()
+        got = placed.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert parts > 4
+    for key, n in (("hot", 40_000), (None, 20_000)):
+        own = sorted((r.pos, r.v) for r in got if r.k == key)
+        assert [p for p, _ in own] == list(range(1, n + 1)) and [v for _, v in own] == sorted(v for _, v in own)
+        assert {r.n for r in got if r.k == key} == {n}
+    assert range_position(rows.limit(0), ["k"], [F.asc("v")]).count() == 0
+    whole = {r.v: r.pos for r in range_position(rows, [], [F.desc("v")]).collect()}
+    assert [whole[v] for v in sorted(whole, reverse=True)] == list(range(1, 60_001))
+
+
 def test_paged_participants_keep_everybody(spark):
     members = spark.createDataFrame([("hot", f"u{i}") for i in range(500)] + [("r", "u1")], "room_id string, user_id string")
     users = spark.createDataFrame([(f"u{i}",) for i in range(500)], "id string").selectExpr("id", "'U' initial", "'#fff' avatar_bg")

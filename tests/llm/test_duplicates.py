@@ -1,8 +1,10 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
 from lagoon.llm import neardup, simhash, suffixes
@@ -145,20 +147,59 @@ def test_isolated_pairs_are_all_found(frame):
     assert sorted(r["doc_id"] for r in neardup.one_of_each(frame(rows)).collect()) == sorted(want)
 
 
-def test_similar_sets_share_a_key():
+def batched(rows, names, n):
+    return [pa.RecordBatch.from_arrays([pa.array(c[k : k + n]) for c in rows], names) for k in range(0, len(rows[0]), n)]
+
+
+def keys_of_sets(sets, similarity, n):
+    """Keys by number of the set, through the functions of the tasks, in batches of n rows."""
+    rows = [(h, k, tag) for k, own in enumerate(sets) for held, tag in neardup.members(own, similarity) for h in held.view(np.int64).tolist()]
+    rows = sorted(rows + rows[::3])  # as copies from other tasks
+    columns = [np.array(c, t) for c, t in zip(zip(*rows), (np.int64, np.int64, np.int32))]
+    shared = [r for b in neardup._shared(iter(batched(columns, ["h", "s", "tag"], n))) for r in zip(*(b.column(c).to_pylist() for c in ("s", "tag", "df", "h")))]
+    count = Counter((r[0], r[1], r[3]) for r in shared)
+    assert set(count.values()) <= {1}
+    shared.sort()
+    columns = [np.array([r[c] for r in shared], t) for c, t in ((0, np.int64), (1, np.int32), (3, np.int64))]
+    out = {}
+    for b in neardup._rarest(iter(batched(columns, ["s", "tag", "h"], n))) if shared else ():
+        for k, s in zip(b.column("key").to_pylist(), b.column("nid").to_pylist()):
+            out.setdefault(s, set()).add(k)
+    return out
+
+
+@pytest.mark.parametrize("similarity,counted,n", [(0.8, 1000, 10_000), (0.8, 3, 7), (0.5, 2, 50), (1.0, 1000, 90)])
+def test_similar_sets_share_a_key(monkeypatch, similarity, counted, n):
+    monkeypatch.setattr(neardup, "COUNTED", counted)
     rng = np.random.default_rng(12)
-    for similarity in (0.5, 0.8, 1.0):
-        classes = neardup.Classes(similarity)
-        for k in range(3000):
-            n = int(rng.integers(1, 8)) if k % 3 == 0 else int(rng.integers(1, 300))
-            a = rng.integers(0, 2**64, n, dtype=np.uint64)
-            if k % 2:  # crowded into few parts: many hold nothing
-                a >>= np.uint64(rng.integers(0, 60))
-            a = np.unique(a)
-            cut = a[: len(a) - int(rng.integers(0, len(a) // 2 + 1))]
-            b = np.unique(np.concatenate([cut, rng.integers(0, 2**64, int(rng.integers(0, len(a) // 4 + 1)), dtype=np.uint64)]))
-            if neardup.jaccard(a, b) >= similarity:
-                assert len(np.intersect1d(classes.keys(a), classes.keys(b)))
+    pool = rng.integers(0, 2**64, 40, dtype=np.uint64)  # common to many
+    sets = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    for k in range(400):
+        size = int(rng.choice([1, 2, 5, 20, 60, 64, 70, 80, 81, 90, 200]))
+        a = rng.integers(0, 2**64, size, dtype=np.uint64)
+        if k % 5 == 0:
+            a |= neardup.HALF  # nothing in the half that is counted
+        a = np.unique(np.concatenate([a, rng.choice(pool, int(rng.integers(0, 12)))]))
+        cut = rng.permutation(a)[: len(a) - int(rng.integers(0, max(1, len(a) * (1 - similarity) + 1)))]
+        sets += [a, np.unique(np.concatenate([cut, rng.integers(0, 2**64, int(rng.integers(0, len(a) // 8 + 1)), dtype=np.uint64)]))]
+    keys = keys_of_sets(sets, similarity, n)
+    similar = 0
+    for x in range(len(sets)):
+        for y in range(x):
+            if min(len(sets[x]), len(sets[y])) >= similarity * max(len(sets[x]), len(sets[y])) and neardup.jaccard(sets[x], sets[y]) >= similarity:
+                similar += 1
+                assert keys.get(x, set()) & keys.get(y, set()), (len(sets[x]), len(sets[y]))
+    assert similar > 50
+
+
+def test_unrelated_texts_with_a_common_sentence_are_no_candidates(spark, frame):
+    rng = random.Random(14)
+    sentence = " ".join(f"common{k}" for k in range(30))
+    rows = [(k, " ".join(f"w{rng.randrange(10**7)}" for _ in range(70)) + " " + sentence) for k in range(5000)]
+    docs = frame(rows)
+    keys = neardup.candidates(docs.selectExpr("text as t", "xxhash64(text) as s"))
+    assert keys.count() == 0
+    assert neardup.one_of_each(docs).count() == 5000
 
 
 def test_crowded_keys_connect_all_their_rows(monkeypatch):

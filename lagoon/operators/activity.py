@@ -138,10 +138,14 @@ def activity_spells(dives: DataFrame, gap: str = "5 minutes") -> DataFrame:
     hourly = dives.groupBy("user_id", F.date_trunc("hour", "ts").alias("_hour"), F.session_window("ts", gap).alias("w")).agg(
         F.count("*").alias("n")
     )
+    return merge_spells(hourly.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), F.col("n").alias("dives")))
+
+
+def merge_spells(spells: DataFrame) -> DataFrame:
+    """spells(user_id, started, ended, dives), those that overlap or touch as one."""
     lasting = F.concat((F.unix_micros("ended") - F.unix_micros("started")).cast("string"), F.lit(" microseconds"))
     return (
-        hourly.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
-        .groupBy("user_id", F.session_window("started", lasting).alias("w"))
-        .agg(F.sum("n").alias("dives"))
+        spells.groupBy("user_id", F.session_window("started", lasting).alias("w"))
+        .agg(F.sum("dives").alias("dives"))
         .select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "dives")
     )

@@ -1,69 +1,80 @@
-"""Streams run to their end over the given tables; the checks are those of the batch twins."""
+"""Streams run to their end over the given tables, cut into files that arrive one by one; the checks are those of the batch twins."""
 
 from pyspark.sql import functions as F
 
 from lagoon import schemas
-from lagoon.operators import purchases
+from lagoon.operators import activity, purchases
 from lagoon.registry import query
 from lagoon.registry.purchases import EFFECTS
 from lagoon.session import scratch_path
 from lagoon.sources.domain import Domain
 from lagoon.streaming import streams as st
 
+#: Files that a table arrives in, each a micro-batch.
+ARRIVALS = 5
 
-class StreamDomain(Domain):
-    """The fixture domain with its event log read as a stream."""
-
-    def raw(self, name):
-        if name == "events":
-            return st.parquet_stream(self.spark, self.folder, schemas.INPUTS[name], "events.parquet")
-        return super().raw(name)
 
+class Arriving(Domain):
+    """The fixture domain with one table as a stream of files: in the order of its key, or dealt out against it."""
 
-class LineStream(Domain):
-    """The same for the line items."""
+    def __init__(self, spark, folder, table, key, in_order=False):
+        super().__init__(spark, folder)
+        self.table, self.key, self.in_order = table, key, in_order
 
     def raw(self, name):
-        if name == "lineitem":
-            return st.parquet_stream(self.spark, self.folder, schemas.INPUTS[name], "lineitem.parquet")
-        return super().raw(name)
+        if name != self.table:
+            return super().raw(name)
+        rows, place = super().raw(name), scratch_path(self.spark, "arrivals")
+        if self.in_order:
+            edges = rows.approxQuantile(self.key, [k / ARRIVALS for k in range(1, ARRIVALS)], 0.01)
+            turn = sum((F.col(self.key) >= e).cast("int") for e in edges) if edges else F.lit(0)
+        else:
+            turn = F.pmod(F.xxhash64(self.key), F.lit(ARRIVALS))
+        staged = rows.withColumn("_turn", turn)
+        for k in range(ARRIVALS):
+            staged.filter(F.col("_turn") == k).drop("_turn").coalesce(1).write.mode("append").parquet(place)
+        return st.parquet_stream(self.spark, place, schemas.INPUTS[name], per_trigger=1)
+
 
+def events(d, in_order=False):
+    return Arriving(d.spark, d.folder, "events", "event_id", in_order)
 
-def events(d):
-    return StreamDomain(d.spark, d.folder)
+
+def line_items(d):
+    return Arriving(d.spark, d.folder, "lineitem", "l_orderkey")
 
 
 def places(d, label):
     return scratch_path(d.spark, label), scratch_path(d.spark, f"{label}-offsets")
 
 
+def folded(d, stream, part, fold, label):
+    out, offsets = places(d, label)
+    st.keep(stream, lambda df, n: part(df), fold, out, offsets)
+    return st.read(d.spark, out, fold)
+
+
 @query("stream_ledger", f"WITH {EFFECTS} SELECT * FROM grants")
 def stream_ledger(d):
     out, offsets = places(d, "ledger")
-    st.keep_ledger(purchases.classify_purchases(events(d).purchase_events), out, offsets)
+    st.keep_ledger(purchases.classify_purchases(events(d, in_order=True).purchase_events), out, offsets)
     return st.read_ledger(d.spark, out)
 
 
 @query("stream_pro_state", f"WITH {EFFECTS} SELECT * FROM state")
 def stream_pro_state(d):
     out, offsets = places(d, "pro")
-    st.keep_pro_state(purchases.classify_purchases(events(d).purchase_events), out, offsets)
+    st.keep_pro_state(purchases.classify_purchases(events(d, in_order=True).purchase_events), out, offsets)
     return st.read_pro_state(d.spark, out)
 
 
-def _updates(d, stream, label, ddl, keys):
-    out, offsets = places(d, label)
-    st.keep_updates(stream, out, offsets, ddl)
-    return st.latest_rows(d.spark, out, ddl, keys)
-
-
 @query(
     "stream_weekly_totals",
     """SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week_start, CAST(sum(mins) AS BIGINT) AS week_mins
        FROM dives GROUP BY 1, 2""",
 )
 def stream_weekly_totals(d):
-    return _updates(d, st.weekly_totals(events(d).dives, "40 days"), "weekly", st.WEEKLY, ["user_id", "week_start"])
+    return folded(d, events(d).dives, st.weekly_totals, st.WEEKLY, "weekly")
 
 
 @query(
@@ -76,13 +87,13 @@ def stream_weekly_totals(d):
 def stream_budget_violations(d):
     log = events(d).auth_log.select("ts", F.col("device_key").alias("limit_key"), "method", "path")
     strict = [("POST", p) for p in ("signup", "view", "purchase")]
-    counts = st.call_counts(log, watermark="40 days", strict=strict, exempt=["error"])
-    return _updates(d, counts, "calls", st.CALLS, ["limit_key", "window_start"]).filter("calls > 1 or strict_calls > 0")
+    counts = lambda rows: st.call_counts(rows, strict=strict, exempt=["error"])
+    return folded(d, log, counts, st.CALLS, "calls").filter("calls > 1 or strict_calls > 0")
 
 
 @query("stream_last_seen", "SELECT user_id, max(ts) AS last_seen FROM dives GROUP BY 1")
 def stream_last_seen(d):
-    return _updates(d, st.last_seen(events(d).dives), "seen", st.SEEN, ["user_id"])
+    return folded(d, events(d).dives, st.last_seen, st.SEEN, "seen")
 
 
 @query(
@@ -91,8 +102,7 @@ def stream_last_seen(d):
        FROM room_dives GROUP BY 1""",
 )
 def stream_room_progress(d):
-    live = LineStream(d.spark, d.folder)
-    return _updates(d, st.running_progress(live.room_dives_by_room), "progress", st.PROGRESS, ["room_id"])
+    return folded(d, line_items(d).room_dives_by_room, st.running_progress, st.PROGRESS, "progress")
 
 
 @query(
@@ -101,12 +111,8 @@ def stream_room_progress(d):
        WHERE EXISTS (SELECT 1 FROM room_members m WHERE m.room_id = r.room_id AND m.user_id = r.user_id)""",
 )
 def stream_gated_dives(d):
-    out, offsets = places(d, "gated")
-    live = LineStream(d.spark, d.folder).room_dives.drop("ln")
-    ddl = "room_id string, user_id string, mins int, depth int, ts timestamp"
-    st.start_folder(d.spark, out, ddl)
-    st.run_batches(st.gate_by_membership(live, d.room_members), lambda df, n: st.write_batch(df, out, n), offsets)
-    return st.read_batches(d.spark, out, st.with_batch_id(ddl)).drop("batch_id")
+    live = line_items(d).room_dives.drop("ln")
+    return folded(d, st.gate_by_membership(live, d.room_members), lambda rows: rows.select("room_id", "user_id", "mins", "depth", "ts"), st.GATED, "gated")
 
 
 @query(
@@ -118,11 +124,4 @@ def stream_gated_dives(d):
        GROUP BY user_id, spell""",
 )
 def stream_activity_spells(d):
-    out, offsets = places(d, "spells")
-    ddl = "user_id string, started timestamp, ended timestamp, dives bigint"
-    st.start_folder(d.spark, out, ddl)
-    # Complete mode also shows the spells still open; its last batch is the whole answer.
-    st.run_batches(st.spells(events(d).dives), lambda df, n: st.write_batch(df, out, n), offsets, "complete")
-    rows = st.read_batches(d.spark, out, st.with_batch_id(ddl))
-    last = rows.agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(last, "batch_id", "left_semi").drop("batch_id")
+    return folded(d, events(d).dives, activity.activity_spells, st.SPELLS, "spells")

@@ -1,22 +1,21 @@
-"""Streaming twins: each equals its batch operator on the same input.
+"""Streaming twins: each equals its batch operator on the same input, in whatever order the rows arrive.
 
-Results are written per micro-batch under `batch_id=<n>`, overwriting, so a
-batch replayed after a failure replaces itself. Readers fold the batches.
+What a stream keeps is a fold table (see `folds`): each micro-batch is folded by
+itself and written under its number, so a batch replayed after a failure replaces
+itself. There is no state to restore and no watermark, so no row is too late.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lagoon.operators import limits, purchases
-from lagoon.sources.files import append_new
-
-PRO_STATE = "user_id string, pro_until timestamp, pro_lifetime boolean, seq bigint"
+from lagoon.operators import activity, limits, purchases
+from lagoon.streaming.folds import Fold, FoldTable
 
 
 # sources -----------------------------------------------------------------
@@ -58,122 +57,101 @@ def run_batches(
     return query
 
 
-def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
-
-
-def read_batches(spark: SparkSession, folder: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("basePath", folder).parquet(folder)
-
-
-def with_batch_id(ddl: str) -> str:
-    return f"{ddl}, batch_id bigint"
-
-
-def start_folder(spark: SparkSession, folder: str, ddl: str) -> None:
-    """An empty first batch, so that readers always find the folder."""
-    spark.createDataFrame([], ddl).write.mode("ignore").parquet(f"{folder}/batch_id=-1")
+def keep(
+    stream: DataFrame,
+    part: Callable[[DataFrame, int], DataFrame],
+    fold: Fold,
+    folder: str,
+    checkpoint: str,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Fold each micro-batch by `part` (rows, batch number) into the table at `folder`."""
+    table = FoldTable(stream.sparkSession, folder, fold)
+    return run_batches(stream, lambda df, n: table.write(part(df, n), n), checkpoint, every=every)
 
 
-def latest_rows(spark: SparkSession, folder: str, ddl: str, keys: Sequence[str]) -> DataFrame:
-    """The last version of each key over all batches of an update-mode stream."""
-    rows = read_batches(spark, folder, with_batch_id(ddl))
-    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    return (
-        rows.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
-        .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
-    )
+def read(spark: SparkSession, folder: str, fold: Fold) -> DataFrame:
+    return FoldTable(spark, folder, fold).read()
 
 
-def keep_updates(stream: DataFrame, folder: str, checkpoint: str, ddl: str, every: str | None = None) -> StreamingQuery:
-    """Write the rows each micro-batch changed; read them back with `latest_rows`."""
-    start_folder(stream.sparkSession, folder, ddl)
-    return run_batches(stream, lambda df, n: write_batch(df, folder, n), checkpoint, "update", every)
+# ledger and entitlements -------------------------------------------------
 
+LEDGER = Fold(
+    "transaction_id string, user_id string, product_id string, pearls int, created_at timestamp, seq bigint, batch bigint",
+    lambda rows: rows.groupBy("transaction_id")
+    .agg(F.min_by(F.struct("user_id", "product_id", "pearls", "created_at", "seq", "batch"), F.struct("batch", "seq")).alias("_v"))
+    .select("transaction_id", "_v.*"),
+)
+PRO_STATE = Fold(
+    "user_id string, pro_until timestamp, pro_lifetime boolean, seq bigint, batch bigint",
+    lambda rows: rows.groupBy("user_id")
+    .agg(F.max_by(F.struct("pro_until", "seq", "batch"), F.struct("batch", "seq")).alias("_v"), F.bool_or("pro_lifetime").alias("pro_lifetime"))
+    .select("user_id", "_v.pro_until", "pro_lifetime", "_v.seq", "_v.batch"),
+)
 
-# ledger and entitlements -------------------------------------------------
 
-GRANT = "transaction_id string, user_id string, product_id string, pearls int, created_at timestamp"
+def _arrived(df: DataFrame, n: int) -> DataFrame:
+    return df.withColumn("batch", F.lit(n).cast("bigint"))
 
 
 def keep_ledger(effects: DataFrame, folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Pay each transaction once, for ever: the first to arrive wins.
+    """Pay each transaction once, for ever: the first to arrive wins, by batch and then by seq.
 
-    Only ledger rows with a transaction of this batch are looked at, and a
-    replayed batch does not see its own earlier output.
+    A batch does not look at the ledger: its first row for each transaction is
+    written, and folding keeps the earliest. So a batch costs the same at any age of the
+    ledger, and a replayed one meets nothing of its own.
     """
-    spark = effects.sparkSession
-    start_folder(spark, folder, GRANT)
+    return keep(effects, lambda df, n: _arrived(grants_of(df), n), LEDGER, folder, checkpoint, every)
 
-    def pay(batch: DataFrame, n: int) -> None:
-        grants = batch.filter("kind = 'pearls' and user_id is not null").select(
-            "seq", "transaction_id", "user_id", "product_id", "pearls", F.col("ts").alias("created_at")
-        )
-        paid = read_batches(batch.sparkSession, folder, with_batch_id(GRANT)).filter(F.col("batch_id") < n)
-        paid = paid.join(grants.select("transaction_id"), "transaction_id", "left_semi")
-        new = append_new(paid, grants, ["transaction_id"], [F.asc("seq")]).drop("seq")
-        write_batch(new, folder, n)
 
-    return run_batches(effects, pay, checkpoint, every=every)
+def grants_of(effects: DataFrame) -> DataFrame:
+    return effects.filter("kind = 'pearls' and user_id is not null").select(
+        "transaction_id", "user_id", "product_id", "pearls", F.col("ts").alias("created_at"), "seq"
+    )
 
 
 def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    return read_batches(spark, folder, with_batch_id(GRANT)).drop("batch_id")
+    return read(spark, folder, LEDGER).drop("seq", "batch")
 
 
 def keep_pro_state(effects: DataFrame, folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Each batch writes its own fold; the folds of all batches combine to the state.
-
-    A batch therefore costs what its events cost, whatever the number of accounts.
-    """
-    start_folder(effects.sparkSession, folder, PRO_STATE)
-    return run_batches(
-        effects, lambda df, n: write_batch(purchases.pro_state(df), folder, n), checkpoint, every=every
-    )
+    """The last expiry by arrival (batch, then seq) wins even when it is null; lifetime sticks."""
+    return keep(effects, lambda df, n: _arrived(purchases.pro_state(df), n), PRO_STATE, folder, checkpoint, every)
 
 
 def read_pro_state(spark: SparkSession, folder: str) -> DataFrame:
-    """State now. Arrival order is batch first, then sequence within the batch."""
-    parts = read_batches(spark, folder, with_batch_id(PRO_STATE))
-    return (
-        parts.groupBy("user_id")
-        .agg(
-            F.max_by(F.struct("pro_until", "seq"), F.struct("batch_id", "seq")).alias("_last"),
-            F.bool_or("pro_lifetime").alias("pro_lifetime"),
-        )
-        .select("user_id", F.col("_last.pro_until").alias("pro_until"), "pro_lifetime", F.col("_last.seq").alias("seq"))
-    )
+    return read(spark, folder, PRO_STATE).drop("batch")
 
 
-# windows and running totals ----------------------------------------------
+# sums, latest times, spells ----------------------------------------------
 
-WEEKLY = "user_id string, week_start date, week_mins bigint"
-CALLS = "limit_key string, window_start timestamp, calls bigint, strict_calls bigint"
-SEEN = "user_id string, last_seen timestamp"
-PROGRESS = "room_id string, dives bigint, total_mins bigint, shared_depth bigint"
 
+def _sums(ddl: str, keys: list[str], sums: list[str]) -> Fold:
+    return Fold(ddl, lambda rows: rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]))
 
-def weekly_totals(dives: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Minutes per diver and Monday week. Dives later than the watermark are dropped.
 
-    Epoch day 0 was a Thursday, so weeks start four days after it.
-    """
-    return (
-        dives.withWatermark("ts", watermark)
-        .groupBy("user_id", F.window("ts", "7 days", "7 days", "4 days").alias("w"))
-        .agg(F.sum(F.col("mins").cast("bigint")).alias("week_mins"))
-        .select("user_id", F.to_date(F.col("w.start")).alias("week_start"), "week_mins")
-    )
+WEEKLY = _sums("user_id string, week_start date, week_mins bigint", ["user_id", "week_start"], ["week_mins"])
+CALLS = _sums(
+    "limit_key string, window_start timestamp, calls bigint, strict_calls bigint", ["limit_key", "window_start"], ["calls", "strict_calls"]
+)
+SEEN = Fold("user_id string, last_seen timestamp", lambda rows: rows.groupBy("user_id").agg(F.max("last_seen").alias("last_seen")))
+PROGRESS = _sums(
+    "room_id string, dives bigint, total_mins bigint, shared_depth bigint", ["room_id"], ["dives", "total_mins", "shared_depth"]
+)
+SPELLS = Fold("user_id string, started timestamp, ended timestamp, dives bigint", activity.merge_spells)
+GATED = Fold("room_id string, user_id string, mins int, depth int, ts timestamp", lambda rows: rows)
 
 
-def call_counts(
-    log: DataFrame, window: str = "15 minutes", watermark: str = "15 minutes", strict=limits.STRICT, exempt=limits.EXEMPT
-) -> DataFrame:
+def weekly_totals(dives: DataFrame) -> DataFrame:
+    """Minutes per diver and Monday week of the given dives."""
+    week = F.to_date(activity.monday_of(F.col("ts"))).alias("week_start")
+    return dives.groupBy("user_id", week).agg(F.sum(F.col("mins").cast("bigint")).alias("week_mins"))
+
+
+def call_counts(log: DataFrame, window: str = "15 minutes", strict=limits.STRICT, exempt=limits.EXEMPT) -> DataFrame:
     """Calls and strict calls per key and window, without exempt ones; whoever reads it compares with the budgets."""
     return (
-        log.withWatermark("ts", watermark)
-        .groupBy("limit_key", F.window("ts", window).alias("w"))
+        log.groupBy("limit_key", F.window("ts", window).alias("w"))
         .agg(*limits.budget_counts(strict, exempt))
         .select("limit_key", F.col("w.start").alias("window_start"), "calls", "strict_calls")
     )
@@ -194,13 +172,3 @@ def running_progress(dives: DataFrame) -> DataFrame:
 def gate_by_membership(dives: DataFrame, members: DataFrame) -> DataFrame:
     """Live dives of members only: a stream-static semi join."""
     return dives.join(members.select("room_id", "user_id"), ["room_id", "user_id"], "left_semi")
-
-
-def spells(dives: DataFrame, gap: str = "5 minutes", watermark: str = "1 hour") -> DataFrame:
-    """Activity spells; in append mode one is emitted once the watermark has passed its end."""
-    return (
-        dives.withWatermark("ts", watermark)
-        .groupBy("user_id", F.session_window("ts", gap).alias("w"))
-        .agg(F.count("*").alias("dives"))
-        .select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "dives")
-    )

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from lagoon import schemas
 from lagoon.operators import activity, purchases
-from lagoon.registry.streams import StreamDomain
 from lagoon.sources.domain import Domain
 from lagoon.streaming import streams as st
+from lagoon.streaming.folds import Fold, FoldTable
 
 
-class Folder(StreamDomain):
+class Folder(Domain):
     """Events from a folder of many small files, in arrival order."""
 
     def raw(self, name):
@@ -57,32 +57,65 @@ def test_pro_state_over_batches(spark, live):
     assert rows(st.read_pro_state(spark, live.out)) == rows(want)
 
 
-def test_weekly_totals_on_disordered_input(spark, live):
-    for i in (2, 0, 3, 1):
-        live.add(i)
-    st.keep_updates(st.weekly_totals(live.dives, "40 days"), live.out, live.offsets, st.WEEKLY)
-    got = st.latest_rows(spark, live.out, st.WEEKLY, ["user_id", "week_start"])
-    week = F.to_date(activity.monday_of(F.col("ts"))).alias("week_start")
-    want = live.batch.dives.groupBy("user_id", week).agg(F.sum(F.col("mins").cast("bigint")).alias("week_mins"))
-    assert rows(got) == rows(want)
+def folded(live, stream, part, fold, *order):
+    for i in order:
+        live.add(i, len(order))
+    st.keep(stream(), lambda df, n: part(df), fold, live.out, live.offsets)
+    return st.read(live.spark, live.out, fold)
 
 
-def test_last_seen_over_batches(spark, live):
-    for i in range(4):
-        live.add(i)
-    st.keep_updates(st.last_seen(live.dives), live.out, live.offsets, st.SEEN)
-    assert rows(st.latest_rows(spark, live.out, st.SEEN, ["user_id"])) == rows(activity.last_active(live.batch.dives))
+def test_weekly_totals_on_disordered_input(live):
+    got = folded(live, lambda: live.dives, st.weekly_totals, st.WEEKLY, 2, 0, 3, 1)
+    assert rows(got) == rows(st.weekly_totals(live.batch.dives))
 
 
-def test_closed_spells_in_append_mode(spark, live):
-    for i in range(4):
-        live.add(i)
-    ddl = "user_id string, started timestamp, ended timestamp, dives bigint"
-    st.start_folder(spark, live.out, ddl)
-    st.run_batches(st.spells(live.dives), lambda df, n: st.write_batch(df, live.out, n), live.offsets)
-    got = set(rows(st.read_batches(spark, live.out, st.with_batch_id(ddl)).drop("batch_id")))
-    want = set(rows(activity.activity_spells(live.batch.dives)))
-    assert got <= want and len(want) - len(got) <= 10
+def test_budgets_on_disordered_input(live):
+    log = lambda d: d.auth_log.select("ts", F.col("device_key").alias("limit_key"), "method", "path")
+    got = folded(live, lambda: log(live), st.call_counts, st.CALLS, 3, 2, 1, 0)
+    assert rows(got) == rows(st.call_counts(log(live.batch)))
+
+
+def test_last_seen_over_batches(live):
+    got = folded(live, lambda: live.dives, st.last_seen, st.SEEN, 0, 1, 2, 3)
+    assert rows(got) == rows(activity.last_active(live.batch.dives))
+
+
+def test_spells_over_ten_batches_out_of_order(live):
+    got = folded(live, lambda: live.dives, activity.activity_spells, st.SPELLS, 3, 0, 9, 1, 7, 2, 8, 6, 4, 5)
+    assert rows(got) == rows(activity.activity_spells(live.batch.dives))
+
+
+SUMS = Fold("k string, n bigint", lambda df: df.groupBy("k").agg(F.sum("n").alias("n")))
+
+
+def test_many_batches_leave_few_folders(spark, tmp_path):
+    table = FoldTable(spark, str(tmp_path / "t"), SUMS, fan=3)
+    batch = lambda n: spark.createDataFrame([(f"k{n % 4}", n), ("all", 1)], SUMS.ddl)
+    total = lambda n: {("all", n), *((f"k{r}", sum(range(r, n, 4))) for r in range(min(4, n)))}
+    assert table.read().count() == 0
+    for n in range(30):
+        table.write(batch(n), n)
+        if n in (0, 8, 9, 17, 26, 29):
+            assert set(map(tuple, table.read().collect())) == total(n + 1)
+            assert len(table.covering(n)) <= 7 and len(table._parts()) <= 18
+            table.write(batch(n), n)  # the batch is replayed, carries and all
+            assert set(map(tuple, table.read().collect())) == total(n + 1)
+    assert table.covering(29) == [(3, 26), (1, 29)]
+    for n in range(30):  # all of it, from a fresh checkpoint
+        table.write(batch(n), n)
+    assert set(map(tuple, table.read().collect())) == total(30)
+
+
+def test_parts_of_a_thousand_batches(spark, tmp_path, monkeypatch):
+    table = FoldTable(spark, str(tmp_path), SUMS)
+    there = {(level, last) for level in range(4) for last in range(10**level - 1, 1200, 10**level)}
+    monkeypatch.setattr(table, "_parts", lambda: there)
+    for n in (0, 9, 99, 998, 999, 1005, 1198):
+        parts = table.covering(n)
+        assert len(parts) <= 28 and sum(10**level for level, _ in parts) == n + 1
+        assert [last for _, last in parts] == sorted(last for _, last in parts) and parts[-1][1] == n
+    there -= {(0, 3), (0, 1005)}
+    assert sum(10**level for level, _ in table.covering(1005)) == 1005
 
 
 def test_json_webhooks(spark, tmp_path):

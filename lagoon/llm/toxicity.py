@@ -1,7 +1,9 @@
 """Toxicity grades by a cumulative-link model on sparse text features.
 
-A row's score is the sum of the weights of the features it has: words, and the
-beginnings of words. Grades are ordered; the chance of a grade above k is
+Features are words, and the beginnings of words. A feature's value grows with the
+share of a row's distinct words that have it, by the square root, so that the few
+telling words of a long text weigh less than those of a short one. A row's score is
+the sum of its features' values by their weights. Grades are ordered; the chance of a grade above k is
 logistic(score - threshold k), with one set of weights for all thresholds, and
 the expected severity is the sum of these chances.
 
@@ -10,8 +12,10 @@ Fitted on the driver, on at most `sample` labelled rows; applied to all.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +32,8 @@ PREFIXES = (4, 5)
 #: A feature is kept if its chi-squared with the label passes this (one in a thousand by chance), in this many rows.
 CHI2 = 10.83
 ROWS = 4
+#: A feature's value is the root of SCALE times its words over all distinct words and a few, MOST at most.
+SCALE, FEW, MOST = 40, 10, 3.0
 WORDS_CACHED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -37,6 +43,11 @@ def features(word: str) -> list[int]:
     return out + [zlib.crc32(b"\0" + word[:n].encode()) % BUCKETS for n in PREFIXES if len(word) >= n]
 
 
+def value(count: int, words: int) -> float:
+    """Of a feature that `count` of a row's distinct words have."""
+    return min(MOST, math.sqrt(SCALE * count / (words + FEW)))
+
+
 @dataclass(frozen=True)
 class Model:
     """weights by feature; thresholds ascending, one below each grade but the least. Without thresholds all is grade 0."""
@@ -50,14 +61,15 @@ class Model:
         def score(text: str) -> float:
             if len(cache) > WORDS_CACHED:
                 cache.clear()
-            found: set[int] = set()
-            for w in set(_WORD.findall(text.lower())):
+            found: dict[int, int] = {}
+            words = set(_WORD.findall(text.lower()))
+            for w in words:
                 f = cache.get(w)
                 if f is None:
-                    f = cache[w] = tuple(x for x in features(w) if x in self.weights)
-                if f:
-                    found.update(f)
-            return sum(self.weights[x] for x in sorted(found))
+                    f = cache[w] = tuple({x for x in features(w) if x in self.weights})
+                for x in f:
+                    found[x] = found.get(x, 0) + 1
+            return sum(self.weights[x] * value(found[x], len(words)) for x in sorted(found))
 
         return score
 
@@ -70,7 +82,7 @@ def _logistic(x):
     return 0.5 * (1 + np.tanh(0.5 * np.asarray(x, float)))
 
 
-def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, penalty: float = 1e-4, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, penalty: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of most likely grades less penalty * weights ** 2, by Adam steps.
 
     Thresholds are the first one plus positive steps, so their order holds throughout.
@@ -121,15 +133,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_column
 
     def work(batch):
         for part in slices(batch, "t"):
-            yield {"y": part.column("y"), "f": [sorted({x for w in set(_WORD.findall((t or "").lower())) for x in features(w)}) for t in part.column("t").to_pylist()]}
-
-    got = arrow_map(rows, work, "y int, f array<int>").toArrow().combine_chunks()
+            bags, words = [], []
+            for t in part.column("t").to_pylist():
+                own = set(_WORD.findall((t or "").lower()))
+                bags.append(Counter(x for w in own for x in set(features(w))))
+                words.append(len(own))
+            yield {"y": part.column("y"), "words": words, "f": [sorted(b) for b in bags], "n": [[b[x] for x in sorted(b)] for b in bags]}
+
+    got = arrow_map(rows, work, "y int, words int, f array<int>, n array<int>").toArrow().combine_chunks()
     if not got.num_rows:
         return Model({}, ())
     y = got.column("y").to_numpy().astype(np.int64)
     lists = got.column("f").chunk(0) if got.column("f").num_chunks else None
     flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
     row = np.repeat(np.arange(len(y)), size)
+    words = got.column("words").to_numpy()[row]
+    values = np.minimum(MOST, np.sqrt(SCALE * got.column("n").chunk(0).flatten().to_numpy() / (words + FEW)))
     toxic = y > 0
     n, positive = len(y), int(toxic.sum())
     if positive in (0, n):
@@ -146,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_column
     place[chosen] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen)), np.float32)
     own = place[flat] >= 0
-    x[row[own], place[flat[own]]] = 1
+    x[row[own], place[flat[own]]] = values[own]
     rise = (a * (n - positive) > b * positive)[chosen]
     grade = y if graded else severities(x, y, rise)
     grade = np.searchsorted(np.unique(grade), grade)

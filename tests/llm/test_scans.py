@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import public_tokenizers
+import numpy as np
 import pytest
 from check import compare, duck
 
@@ -151,6 +152,31 @@ def test_op3_held_out(spark, small):
     assert all(0 <= r["expected_severity"] <= 2 for r in rows)
 
 
+def test_op3_fit_against_newton_steps():
+    """The same penalised likelihood by an optimiser of its own: Newton steps with derivatives by differences."""
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 3)).astype(np.float32)
+    score = x @ np.array([3.0, -2.0, 0.5]) + rng.logistic(size=300)
+    grade = np.digitize(score, [0.3, 2.0])
+    penalty = 1e-2
+
+    def loss(p):
+        t = np.array([-np.inf, p[3], p[3] + np.exp(p[4]), np.inf])
+        s = x @ p[:3]
+        f = lambda z: 0.5 * (1 + np.tanh(0.5 * z))
+        return -np.log(f(t[grade + 1] - s) - f(t[grade] - s)).mean() + penalty / 2 * (p[:3] ** 2).sum()
+
+    p, h = np.array([0, 0, 0, 0.0, 0.0]), 1e-4
+    steps = np.eye(5) * h
+    for _ in range(60):
+        g = np.array([(loss(p + e) - loss(p - e)) / (2 * h) for e in steps])
+        hess = np.array([[(loss(p + a + b) - loss(p + a - b) - loss(p - a + b) + loss(p - a - b)) / (4 * h * h) for b in steps] for a in steps])
+        move = np.linalg.solve(hess + 1e-3 * np.eye(5), g)
+        p = p - move * min(1, 1 / np.abs(move).max())
+    w, t = toxicity.fit_cumulative_link(x, grade, 3, penalty=penalty)
+    assert np.allclose(w, p[:3], atol=0.03) and np.allclose(t, [p[3], p[3] + np.exp(p[4])], atol=0.03)
+
+
 def test_op3_edges(frame, spark):
     rows = [(k, ("awful " if k % 3 == 0 else "") + ("nasty " if k % 6 == 0 else "") + f"word{k % 7} text") for k in range(90)] + [(None, "awful"), (100, None), (101, "")]
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)] + [(None, 1), (5, None), (999, 1)], "doc_id long, toxic int")

@@ -12,6 +12,7 @@ from lagoon.functions.scalars import avatar_colour, cap_text, initial_of, minted
 from lagoon.functions.text import email_problem, name_problem, normalise_email, trim_all
 from lagoon.functions.tokens import bearer_token, token_hash
 from lagoon.operators.collection import collections, creature_log
+from lagoon.plans.holdings import grant_in_turn
 from lagoon.plans.matching import assign_preferences, grant_in_order
 from lagoon.plans.skew import first_per_key
 
@@ -195,6 +196,12 @@ def signup_outcomes(raw: DataFrame, users: DataFrame, lexicon=DEFAULT_LEXICON) -
     )
 
 
+def created_stats(created: DataFrame) -> DataFrame:
+    """The stats row each new account begins with."""
+    none = F.lit(0).cast("bigint")
+    return created.select(F.col("id").alias("user_id"), none.alias("total_mins"), none.alias("dives"), none.alias("caught"))
+
+
 def created_users(outcomes: DataFrame, as_of: Column) -> DataFrame:
     """Account rows for accepted sign-ups."""
     return outcomes.filter("outcome = 'ok'").select(
@@ -209,23 +216,19 @@ def created_users(outcomes: DataFrame, as_of: Column) -> DataFrame:
 
 
 def rename_diver_outcomes(requests: DataFrame, users: DataFrame, lexicon=DEFAULT_LEXICON) -> DataFrame:
-    """requests(seq, user_id, name): ok, a name problem, or name taken.
+    """requests(seq, user_id, name): ok, a name problem, or name taken, as if handled one by one.
 
-    The first claim on a name keeps it for its diver throughout the batch; names
-    given up in a batch are free in the next one.
+    A granted rename frees the diver's former name for whoever asks next. A diver
+    may ask for the name they hold, in another case.
     """
-    owners = users.select(F.lower("name").alias("_key"), F.col("id").alias("_owner"))
-    asked = requests.withColumn("name", trim_all(F.coalesce("name", F.lit("")))).withColumn("_key", F.lower("name"))
-    checked = asked.join(owners, "_key", "left").withColumn(
-        "_early",
-        F.coalesce(
-            name_problem(F.col("name"), lexicon),
-            F.when(F.coalesce(F.col("_owner") != F.col("user_id"), F.lit(False)), "name taken"),
-        ),
+    asked = requests.select("seq", "user_id", trim_all(F.coalesce("name", F.lit(""))).alias("name"))
+    checked = asked.withColumns({"_key": F.lower("name"), "_early": name_problem(F.col("name"), lexicon)})
+    fine = checked.filter("_early is null").select("seq", "user_id", F.col("_key").alias("key"))
+    granted = grant_in_turn(fine, users.select(F.col("id").alias("user_id"), F.lower("name").alias("key")))
+    outcome = F.coalesce("_early", F.when(F.col("_ok"), "ok").otherwise("name taken"))
+    return checked.join(granted.withColumn("_ok", F.lit(True)), "seq", "left").select(
+        "seq", "user_id", "name", outcome.alias("outcome")
     )
-    first = checked.filter("_early is null").groupBy("_key").agg(F.min_by("user_id", "seq").alias("_claimant"))
-    outcome = F.coalesce("_early", F.when(F.col("_claimant") == F.col("user_id"), "ok").otherwise("name taken"))
-    return checked.join(first, "_key", "left").select("seq", "user_id", "name", outcome.alias("outcome"))
 
 
 def apply_diver_renames(users: DataFrame, requests: DataFrame, lexicon=DEFAULT_LEXICON) -> DataFrame:

@@ -265,18 +265,34 @@ def created_users(d):
     return made.select("id", "name", "initial", "email", "created_at")
 
 
-# Renames: contested names, own names in other case, names of others.
+@query(
+    "created_stats",
+    f"""WITH RECURSIVE {PEOPLE}, {SIGNUPS} SELECT {minted_sql('u', 'email')} AS user_id, CAST(0 AS BIGINT) AS total_mins,
+          CAST(0 AS BIGINT) AS dives, CAST(0 AS BIGINT) AS caught FROM walk WHERE outcome = 'ok'""",
+)
+def created_stats(d):
+    return op.created_stats(op.created_users(op.signup_outcomes(signups(d), people(d)), instant(AS_OF)))
+
+
+# Renames one by one: contested names, own names in other case, names of others, names given up.
 RENAMES = """
-  asks AS (SELECT c_custkey AS seq, 'u' || (c_custkey - c_custkey % 2) AS user_id,
-      CASE c_custkey % 5 WHEN 0 THEN 'CUSTOMER ' || lpad(CAST(c_custkey - c_custkey % 2 AS VARCHAR), 9, '0')
-           WHEN 1 THEN 'customer ' || lpad(CAST(c_custkey + 1 AS VARCHAR), 9, '0')
-           WHEN 2 THEN 'bad/name' ELSE ' Kelp ' || (c_custkey % 60) END AS name FROM customer),
-  checked AS (SELECT a.seq, a.user_id, trim(a.name) AS name, CASE WHEN a.name = 'bad/name' THEN 'bad characters'
-                     WHEN p.id IS NOT NULL AND p.id <> a.user_id THEN 'name taken' END AS early
-              FROM asks a LEFT JOIN people p ON lower(p.name) = lower(trim(a.name))),
-  claimed AS (SELECT key, arg_min(user_id, seq) AS claimant FROM (SELECT lower(name) AS key, * FROM checked WHERE early IS NULL) GROUP BY 1),
-  judged AS (SELECT seq, user_id, name, coalesce(early, CASE WHEN claimant = user_id THEN 'ok' ELSE 'name taken' END) AS outcome
-             FROM checked LEFT JOIN claimed ON key = lower(name))"""
+  asks AS MATERIALIZED (
+    SELECT c_custkey AS seq, 'u' || (c_custkey - c_custkey % 2) AS user_id,
+      trim(CASE c_custkey % 5 WHEN 0 THEN 'CUSTOMER ' || lpad(CAST(c_custkey - c_custkey % 2 AS VARCHAR), 9, '0')
+           WHEN 1 THEN 'customer ' || lpad(CAST(greatest(c_custkey - 5, 0) AS VARCHAR), 9, '0')
+           WHEN 2 THEN 'bad/name' ELSE ' Kelp ' || (c_custkey % 60) END) AS name, row_number() OVER (ORDER BY c_custkey) AS i FROM customer),
+  play(k, name, outcome, i) USING KEY (k) AS (
+    SELECT id, name, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM people
+    UNION ALL SELECT 'at', NULL, NULL, 0
+    UNION
+    (WITH one AS (
+       SELECT a.*, CASE WHEN a.name = 'bad/name' THEN 'bad characters'
+                        WHEN EXISTS (SELECT 1 FROM recurring.play h WHERE h.k <> a.user_id AND lower(h.name) = lower(a.name) AND h.outcome IS NULL) THEN 'name taken'
+                        ELSE 'ok' END AS outcome
+       FROM play p JOIN asks a ON p.k = 'at' AND a.i = p.i + 1)
+     SELECT 'at', NULL, NULL, i FROM one UNION ALL SELECT 'x' || seq, NULL, outcome, seq FROM one
+     UNION ALL SELECT user_id, name, NULL, NULL FROM one WHERE outcome = 'ok')),
+  judged AS (SELECT a.seq, a.user_id, a.name, p.outcome FROM asks a JOIN play p ON p.k = 'x' || a.seq)"""
 
 
 def diver_renames(d):
@@ -285,19 +301,19 @@ def diver_renames(d):
     return d.raw("customer").select(
         k.alias("seq"),
         uid(k - k % 2).alias("user_id"),
-        F.when(k % 5 == 0, F.concat(F.lit("CUSTOMER "), pad(k - k % 2))).when(k % 5 == 1, F.concat(F.lit("customer "), pad(k + 1)))
+        F.when(k % 5 == 0, F.concat(F.lit("CUSTOMER "), pad(k - k % 2))).when(k % 5 == 1, F.concat(F.lit("customer "), pad(F.greatest(k - 5, F.lit(0)))))
         .when(k % 5 == 2, "bad/name").otherwise(F.concat(F.lit(" Kelp "), (k % 60).cast("string"))).alias("name"),
     )
 
 
-@query("rename_diver_outcomes", f"WITH {PEOPLE}, {RENAMES} SELECT * FROM judged")
+@query("rename_diver_outcomes", f"WITH RECURSIVE {PEOPLE}, {RENAMES} SELECT * FROM judged")
 def rename_diver_outcomes(d):
     return op.rename_diver_outcomes(diver_renames(d), people(d))
 
 
 @query(
     "apply_diver_renames",
-    f"""WITH {PEOPLE}, {RENAMES}, last AS (SELECT user_id, arg_max(name, seq) AS name FROM judged WHERE outcome = 'ok' GROUP BY 1)
+    f"""WITH RECURSIVE {PEOPLE}, {RENAMES}, last AS (SELECT user_id, arg_max(name, seq) AS name FROM judged WHERE outcome = 'ok' GROUP BY 1)
   SELECT p.id, coalesce(l.name, p.name) AS name, coalesce(upper(substring(l.name, 1, 1)), p.initial) AS initial, p.email
   FROM people p LEFT JOIN last l ON l.user_id = p.id""",
 )

@@ -15,6 +15,7 @@ from lagoon.operators.purchases import classify_purchases
 from lagoon.operators.rooms import ingest_room_dives
 from lagoon.plans import leaderboard, ranges, skew
 from lagoon.plans.leaderboard import visible_top
+from lagoon.plans.holdings import grant_in_turn
 from lagoon.plans.matching import grant_in_order
 from lagoon.plans.ranges import range_position
 from lagoon.plans.settlement import settle_trades
@@ -108,6 +109,23 @@ def test_grants_equal_serial(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_renames_in_turn_equal_serial(spark, seed):
+    """Swaps, names given up, names wanted by most, one diver with most of the requests."""
+    rnd = random.Random(seed)
+    names = {f"u{i}": f"n{i}" for i in range(8)}
+    rows = [(s, rnd.choice(["u0", "u0", *names, "new"]), f"n{rnd.choice([0, 0, *range(14)])}") for s in rnd.sample(range(900), 150)]
+    if seed == 3:  # a chain: each takes the name the one before has just left
+        rows = [(s, f"u{7 - s % 8}", f"n{(8 - s % 8) + 8 * (s // 8)}") for s in range(24)]
+    got = {r.seq for r in grant_in_turn(spark.createDataFrame(rows, "seq bigint, user_id string, key string"), spark.createDataFrame(list(names.items()), "user_id string, key string")).collect()}
+    want = set()
+    for s, u, n in sorted(rows):
+        if all(v == u for v, m in names.items() if m == n):
+            names[u] = n
+            want.add(s)
+    assert got == want
+
+
 def test_assigned_names_equal_serial(spark):
     rnd = random.Random(5)
     wishes = ["Jeff", "jeff", "Jeff 2", "Jeff 3", " Jeff  ", "", "a/b", "Jeff the very long name indeed", None]

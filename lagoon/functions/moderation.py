@@ -2,8 +2,10 @@
 
 A lexicon has two strengths: `anywhere` terms reject as substrings, `exact`
 terms only as a whole word or as the whole name. `safe` words are taken out
-before the substring pass. Terms compile into one alternation each, so a row
-costs a few regex scans in generated code whatever the lexicon's length.
+before the substring pass. A name is split into words once; whole words are looked
+up in hash sets, and substrings are sought by one pattern that shares the terms'
+beginnings, a prefix tree. At each letter it has as many branches as the alphabet at
+most, so a row costs the same whatever the lexicon's length.
 """
 
 from __future__ import annotations
@@ -58,14 +60,10 @@ class Lexicon:
     exact: tuple[str, ...]
     safe: tuple[str, ...] = field(default=())
 
-    MAX_TERMS = 20_000
-
     @classmethod
     def from_table(cls, df: DataFrame) -> "Lexicon":
-        """Load `(term, tier)` rows. A lexicon is configuration, and its size is checked."""
-        rows = df.select("term", "tier").distinct().limit(cls.MAX_TERMS + 1).collect()
-        if len(rows) > cls.MAX_TERMS:
-            raise ValueError(f"a lexicon may hold {cls.MAX_TERMS} terms at most")
+        """Load `(term, tier)` rows. A lexicon is configuration: the driver and each task hold it whole."""
+        rows = df.select("term", "tier").distinct().collect()
         pick = lambda tier: tuple(sorted(r.term for r in rows if r.tier == tier))
         return cls(pick("anywhere"), pick("exact"), pick("safe"))
 
@@ -83,8 +81,7 @@ def fold_leet(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    """Separators to single blanks: a text whose words are delimited by ' ' or its ends."""
-    return F.regexp_replace(text, "[ ._-]+", " ")
+    return F.filter(F.split(text, "[ ._-]+"), lambda w: w != "")
 
 
 def collapse(text: Column) -> Column:
@@ -96,26 +93,37 @@ def squeeze_runs(text: Column) -> Column:
     return F.regexp_replace(text, r"(.)\1{2,}", "$1")
 
 
-def _alternation(terms) -> str:
-    # Longest first is irrelevant to the verdict; sorted for a stable plan.
-    return "(?:" + "|".join(re.escape(t) for t in sorted(terms)) + ")"
+def prefix_pattern(terms) -> str:
+    """A pattern that finds any of the terms. Beginnings are shared; what follows the end of a term doesn't matter."""
+    tree: dict = {}
+    for term in sorted(terms):
+        node = tree
+        for c in term:
+            if node is None:  # a shorter term is found here already
+                break
+            last, node = node, node.setdefault(c, {})
+        else:
+            last[c] = None
 
+    def pattern(node: dict) -> str:
+        ends = [re.escape(c) for c, below in sorted(node.items()) if below is None]
+        branches = [re.escape(c) + pattern(below) for c, below in sorted(node.items()) if below is not None]
+        if ends:
+            branches.insert(0, ends[0] if len(ends) == 1 else f"[{''.join(ends)}]")
+        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
 
-def _whole_word(terms) -> str:
-    return f"(?<![^ ]){_alternation(terms)}(?![^ ])"
+    return pattern(tree)
 
 
 def is_blocked_name(name: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     folded, plain = _words(fold_leet(name)), _words(F.lower(name))
     verdict = F.lit(False)
-    if lexicon.anywhere:
-        kept = F.regexp_replace(folded, _whole_word(lexicon.safe), "") if lexicon.safe else folded
-        joined = F.replace(kept, F.lit(" "), F.lit(""))
-        pattern = _alternation(lexicon.anywhere)
+    anywhere, exact, safe = ([t for t in terms if t] for terms in (lexicon.anywhere, lexicon.exact, lexicon.safe))
+    if anywhere:
+        kept = F.filter(folded, lambda w: ~w.isin(safe)) if safe else folded
+        joined, pattern = F.array_join(kept, ""), prefix_pattern(anywhere)
         verdict = joined.rlike(pattern) | squeeze_runs(joined).rlike(pattern)
-    if lexicon.exact:
-        whole = rf"\A{_alternation(lexicon.exact)}\z"
+    if exact:
         for words in (folded, plain):
-            verdict = verdict | words.rlike(_whole_word(lexicon.exact))
-            verdict = verdict | F.replace(words, F.lit(" "), F.lit("")).rlike(whole)
+            verdict = verdict | F.exists(words, lambda w: w.isin(exact)) | F.array_join(words, "").isin(exact)
     return F.coalesce(verdict, F.lit(False))

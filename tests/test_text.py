@@ -1,5 +1,7 @@
 import base64
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +34,44 @@ def test_moderation_tiers(spark):
     assert [(c[0], g) for c, g in zip(CASES, got)] == [(c[0], c[1]) for c in CASES]
 
 
+def test_twenty_thousand_terms(spark):
+    """Against the rule in plain Python; at no letter more branches than there are letters."""
+    rnd = random.Random(8)
+    word = lambda low, high: "".join(rnd.choice("bcdfghjklmnpqrtuvwxyz-+") for _ in range(rnd.randint(low, high)))
+    lexicon = mod.Lexicon(tuple(word(5, 9) for _ in range(20_000)), tuple(word(3, 5) for _ in range(2_000)), tuple(word(4, 8) for _ in range(500)))
+    pattern = mod.prefix_pattern(lexicon.anywhere)
+    widest = 0
+    branches = [1]
+    for c in pattern.replace("(?:", "(").replace("\\", ""):
+        if c == "(":
+            branches.append(1)
+        elif c == ")":
+            branches.pop()
+        elif c == "|":
+            branches[-1] += 1
+            widest = max(widest, branches[-1])
+    assert len(branches) == 1 and 20 <= widest <= 24
+    pick = lambda terms: rnd.choice(terms)
+    names = [rnd.choice([lambda: word(4, 12), lambda: pick(lexicon.exact), lambda: f"a {pick(lexicon.exact)}", lambda: f"q{pick(lexicon.anywhere)}e", lambda: pick(lexicon.safe), lambda: f"{pick(lexicon.safe)} {pick(lexicon.anywhere)}"])() for _ in range(1500)]
+
+    def plain(name):
+        words = [w for w in re.split("[ ._-]+", name) if w]
+        joined = "".join(w for w in words if w not in lexicon.safe)
+        squeezed = re.sub(r"(.)\1{2,}", r"\1", joined)
+        if any(t in joined or t in squeezed for t in lexicon.anywhere):
+            return True
+        return "".join(words) in lexicon.exact or any(w in lexicon.exact for w in words)
+
+    got = values(spark, names, lambda c: mod.is_blocked_name(c, lexicon))
+    want = [plain(n) for n in names]
+    assert got == want and 0.2 < sum(want) / len(want) < 0.9
+
+
+def test_prefix_patterns():
+    for terms, pattern in ((["ab", "abc", "ad"], "a[bd]"), (["x"], "x"), (["a.c", "b", "a.d", "a.de"], "(?:b|a\\.[cd])"), (["ab", "cd"], "(?:ab|cd)")):
+        assert mod.prefix_pattern(terms) == pattern
+
+
 def test_lexicon_from_table_and_unreachable_terms(spark):
     rows = [(t, "anywhere") for t in MILD.anywhere] + [(t, "exact") for t in MILD.exact] + [(t, "safe") for t in MILD.safe]
     loaded = mod.Lexicon.from_table(spark.createDataFrame(rows, "term string, tier string"))

@@ -316,34 +316,37 @@ OWNED_BY = {
 ROOM_CHILDREN = ("room_dives", "room_members")
 
 
-def erase_accounts(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the given accounts(id) and all that depends on them.
+def mark_erased(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """Every table with `erased`: whether a row goes with the given accounts(id).
 
     A hosted room goes for everybody, with its members and dives.
     """
-    gone = ids.select("id")
-    out = {}
-    for name, df in tables.items():
-        for column in OWNED_BY[name]:
-            df = df.join(gone.withColumnRenamed("id", column), column, "left_anti")
-        out[name] = df
+    gone = ids.select("id").distinct()
+    owners = {name: [(c, gone, "id") for c in OWNED_BY[name]] for name in tables}
     if "rooms" in tables:
-        closed = tables["rooms"].join(gone.withColumnRenamed("id", "host_id"), "host_id", "left_semi")
-        closed = closed.select(F.col("id").alias("room_id"))
+        closed = tables["rooms"].join(gone.withColumnRenamed("id", "host_id"), "host_id", "left_semi").select("id").distinct()
         for name in ROOM_CHILDREN:
-            if name in out:
-                out[name] = out[name].join(closed, "room_id", "left_anti")
-    return {name: df.select(*tables[name].columns) for name, df in out.items()}
-
-
-def removal_counts(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
-    """(table, removed) for an erasure, as one distributed aggregate."""
-    signed = [
-        df.select(F.lit(name).alias("table"), F.lit(sign).alias("n"))
-        for part, sign in ((before, 1), (after, -1))
-        for name, df in part.items()
-    ]
-    return reduce(DataFrame.unionByName, signed).groupBy("table").agg(F.sum("n").cast("bigint").alias("removed"))
+            if name in tables:
+                owners[name].append(("room_id", closed, "id"))
+    out = {}
+    for name, df in tables.items():
+        marked, flags = df, []
+        for i, (column, lost, key) in enumerate(owners[name]):
+            marked = marked.join(lost.select(F.col(key).alias(column), F.lit(True).alias(f"_gone{i}")), column, "left")
+            flags.append(F.col(f"_gone{i}"))
+        out[name] = marked.select(*df.columns, F.coalesce(*flags, F.lit(False)).alias("erased"))
+    return out
+
+
+def erase_accounts(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """Every table without the given accounts(id) and all that depends on them."""
+    return {name: df.filter("not erased").drop("erased") for name, df in mark_erased(tables, ids).items()}
+
+
+def removal_counts(marked: dict[str, DataFrame]) -> DataFrame:
+    """(table, removed) of tables from `mark_erased`: one aggregate, each table read once."""
+    rows = [df.select(F.lit(name).alias("table"), "erased") for name, df in marked.items()]
+    return reduce(DataFrame.unionByName, rows).groupBy("table").agg(F.count_if("erased").alias("removed"))
 
 
 def account_documents(

@@ -24,6 +24,23 @@ CHECKS = {
     "blocks": {"not oneself": "blocker_id <> blocked_id"},
     "pearl_grants": {"pearls positive": "pearls > 0"},
 }
+# Per table, the columns that may not be null.
+NOT_NULL = {
+    "users": ["name", "initial", "avatar_bg", "created_at", "last_seen", "pro_lifetime"],
+    "user_species": ["user_id", "species_id", "count"],
+    "user_creatures": ["user_id", "species_id", "caught_at"],
+    "user_stats": ["total_mins", "dives", "caught", "updated_at", "week_mins"],
+    "rooms": ["name", "kind", "schedule", "host_id", "created_at"],
+    "room_dives": ["room_id", "user_id", "mins", "depth", "ts"],
+    "room_members": ["room_id", "user_id", "joined_at"],
+    "trades": ["from_id", "to_id", "give_id", "get_id", "status", "created_at"],
+    "reports": ["reporter_id", "target_id", "created_at"],
+    "friendships": ["user_id", "friend_id", "since"],
+    "blocks": ["blocker_id", "blocked_id", "created_at"],
+    "auth_sessions": ["user_id", "created_at", "last_used", "expires_at"],
+    "email_verifications": ["user_id", "email", "created_at", "expires_at"],
+    "pearl_grants": ["user_id", "product_id", "pearls", "created_at"],
+}
 # Per table, what must be unique (rows with a null key do not count).
 UNIQUE = {
     "users": {"id": ["id"], "name": ["lower(name)"], "email": ["lower(email)"], "apple_sub": ["apple_sub"]},
@@ -69,37 +86,62 @@ def audit_checks(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def audit_nulls(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, bad_rows): nulls where none may be, of the columns a table has; one pass over each table."""
+    parts = []
+    for name, df in tables.items():
+        columns = [c for c in NOT_NULL.get(name, []) if c in df.columns]
+        if not columns:
+            continue
+        wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("bad_rows")) for c in columns])
+        parts.append(wide.select(F.lit(name).alias("table"), F.inline(pairs)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def audit_unique(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, rule, key, n) for every key held by more than one row."""
+    """(table, rule, key, n) for every key held by more than one row.
+
+    Each table is read once, its keys stacked; all keys of all tables are counted by
+    one aggregate, which counts before the shuffle.
+    """
     parts = []
     for name, df in tables.items():
+        keys = []
         for rule, columns in UNIQUE.get(name, {}).items():
-            keys = [F.expr(c) for c in columns]
-            complete = reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])
-            counted = df.filter(complete).groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("n"))
-            parts.append(
-                counted.filter("n > 1").select(
-                    F.lit(name).alias("table"),
-                    F.lit(rule).alias("rule"),
-                    F.concat_ws("|", *[F.col(f"k{i}").cast("string") for i in range(len(keys))]).alias("key"),
-                    "n",
-                )
-            )
-    return reduce(DataFrame.unionByName, parts)
+            first, *rest = [F.expr(c).cast("string") for c in columns]
+            second = rest[0] if rest else F.lit("")
+            keys.append(F.struct(F.lit(rule).alias("rule"), first.alias("k0"), second.alias("k1"), F.lit(bool(rest)).alias("two")))
+        if keys:
+            parts.append(df.select(F.lit(name).alias("table"), F.inline(F.array(*keys))))
+    stacked = reduce(DataFrame.unionByName, parts).filter("k0 is not null and k1 is not null")
+    counted = stacked.groupBy("table", "rule", "k0", "k1", "two").agg(F.count("*").alias("n")).filter("n > 1")
+    key = F.when(F.col("two"), F.concat_ws("|", "k0", "k1")).otherwise(F.col("k0"))
+    return counted.select("table", "rule", key.alias("key"), "n")
 
 
 def audit_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
-    """(child, column, orphans): rows whose parent is missing, for edges with both tables given."""
+    """(child, column, orphans): rows whose parent is missing, for edges with both tables given.
+
+    Each table is read once: its own id, where others refer to it, and what it
+    refers to are rows of one stack. An aggregate by (parent, key) then knows
+    whether the key is there and how many rows of each edge want it, however hot.
+    """
+    edges = [e for e in FOREIGN_KEYS if e[0] in tables and e[2] in tables]
+    parents = {parent for _, _, parent in edges}
     parts = []
-    for child, column, parent in FOREIGN_KEYS:
-        if child in tables and parent in tables:
-            keys = tables[parent].select(F.col("id").alias(column))
-            # Counting per key first leaves one row per key to look up, however hot it is.
-            counted = tables[child].filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-            orphans = counted.join(keys, column, "left_anti")
-            parts.append(
-                orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("orphans")).select(
-                    F.lit(child).alias("child"), F.lit(column).alias("column"), "orphans"
-                )
-            )
-    return reduce(DataFrame.unionByName, parts)
+    for name, df in tables.items():
+        rows = [(name, "id", -1)] if name in parents else []
+        rows += [(parent, column, i) for i, (child, column, parent) in enumerate(edges) if child == name]
+        if rows:
+            cells = [F.struct(F.lit(p).alias("parent"), F.col(c).alias("key"), F.lit(i).alias("edge")) for p, c, i in rows]
+            parts.append(df.select(F.inline(F.array(*cells))))
+    stacked = reduce(DataFrame.unionByName, parts).filter("key is not null")
+    wanted = [F.count_if(F.col("edge") == i).alias(f"e{i}") for i in range(len(edges))]
+    by_key = stacked.groupBy("parent", "key").agg(F.bool_or(F.col("edge") == -1).alias("there"), *wanted)
+    sums = [F.coalesce(F.sum(F.when(~F.col("there"), F.col(f"e{i}"))), F.lit(0)).cast("bigint").alias(f"e{i}") for i in range(len(edges))]
+    found = [
+        F.struct(F.lit(child).alias("child"), F.lit(column).alias("column"), F.col(f"e{i}").alias("orphans"))
+        for i, (child, column, _) in enumerate(edges)
+    ]
+    return by_key.agg(*sums).select(F.inline(F.array(*found)))

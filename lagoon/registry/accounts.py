@@ -1,5 +1,8 @@
 """Accounts, sessions, links, identities, erasure, documents."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.functions.tokens import identity_claims
@@ -399,9 +402,39 @@ ERASED = f"""
 
 @query("erase_accounts", f"WITH {EFFECTS}, {ERASED} SELECT * FROM removed")
 def erase_accounts(d):
-    before = tables(d)
-    after = op.erase_accounts(before, d.accounts.filter(number("id") % 25 == 7))
-    return op.removal_counts(before, after)
+    return op.removal_counts(op.mark_erased(tables(d), d.accounts.filter(number("id") % 25 == 7)))
+
+
+# Per table: view, columns that show which rows are left, and the condition under which a row goes.
+LEFT = {
+    "users": ("accounts", ("id", "name"), "id IN (SELECT id FROM gone)"),
+    "user_species": ("user_species", ("user_id", "species_id"), "user_id IN (SELECT id FROM gone)"),
+    "user_creatures": ("user_creatures", ("id", "user_id"), "user_id IN (SELECT id FROM gone)"),
+    "user_stats": ("stats", ("user_id", "total_mins"), "user_id IN (SELECT id FROM gone)"),
+    "rooms": ("rooms", ("id", "host_id"), "host_id IN (SELECT id FROM gone)"),
+    "room_dives": ("room_dives", ("room_id", "user_id"), "user_id IN (SELECT id FROM gone) OR room_id IN (SELECT id FROM closed)"),
+    "room_members": ("room_members", ("room_id", "user_id"), "user_id IN (SELECT id FROM gone) OR room_id IN (SELECT id FROM closed)"),
+    "trades": ("trades", ("id", "to_id"), "from_id IN (SELECT id FROM gone) OR to_id IN (SELECT id FROM gone)"),
+    "reports": ("reports", ("reporter_id", "target_id"), "reporter_id IN (SELECT id FROM gone) OR target_id IN (SELECT id FROM gone)"),
+    "friendships": ("friendships", ("user_id", "friend_id"), "user_id IN (SELECT id FROM gone) OR friend_id IN (SELECT id FROM gone)"),
+    "blocks": ("blocks", ("blocker_id", "blocked_id"), "blocker_id IN (SELECT id FROM gone) OR blocked_id IN (SELECT id FROM gone)"),
+    "auth_sessions": ("auth_sessions", ("token_hash", "user_id"), "user_id IN (SELECT id FROM gone)"),
+    "email_verifications": ("email_verifications", ("token_hash", "user_id"), "user_id IN (SELECT id FROM gone)"),
+    "pearl_grants": ("grants", ("transaction_id", "user_id"), "user_id IN (SELECT id FROM gone)"),
+}
+
+
+@query(
+    "erase_accounts_rows_left",
+    f"WITH {EFFECTS}, {ERASED} " + " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", CAST({a} AS VARCHAR) AS a, CAST({b} AS VARCHAR) AS b FROM {view} WHERE NOT ({goes})"
+        for t, (view, (a, b), goes) in LEFT.items()
+    ),
+)
+def erase_accounts_rows_left(d):
+    left = op.erase_accounts(tables(d), d.accounts.filter(number("id") % 25 == 7))
+    rows = [left[t].select(F.lit(t).alias("table"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")) for t, (_, (a, b), _) in LEFT.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query(

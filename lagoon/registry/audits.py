@@ -56,34 +56,62 @@ def audit_checks(d):
     return op.audit_checks(damaged(d))
 
 
+# Per table: view with the columns of its keys, the owner whose number decides which rows are doubled, and (rule, key) in SQL.
+KEYED = {
+    "users": ("SELECT id, name, email, apple_sub FROM accounts", "id", [("id", "id"), ("name", "lower(name)"), ("email", "lower(email)"), ("apple_sub", "apple_sub")]),
+    "user_species": ("SELECT user_id, species_id FROM user_species", "user_id", [("key", "user_id || '|' || species_id")]),
+    "user_creatures": ("SELECT id, user_id FROM user_creatures", "user_id", [("id", "id")]),
+    "user_stats": ("SELECT user_id FROM stats", "user_id", [("key", "user_id")]),
+    "rooms": ("SELECT id, host_id FROM rooms", "host_id", [("id", "id")]),
+    "room_dives": ("SELECT room_id || '.' || user_id || '.' || mins || '.' || strftime(ts, '%Y%m%d') AS id, user_id FROM room_dives", "user_id", [("id", "id")]),
+    "room_members": ("SELECT room_id, user_id FROM room_members", "user_id", [("key", "room_id || '|' || user_id")]),
+    "trades": ("SELECT id, from_id FROM trades", "from_id", [("id", "id")]),
+    "reports": ("SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS id, 'u' || (conv_id % (SELECT count(*) FROM customer)) AS reporter_id FROM conversations", "reporter_id", [("id", "id")]),
+    "friendships": ("SELECT user_id, friend_id FROM friendships", "user_id", [("key", "user_id || '|' || friend_id")]),
+    "blocks": ("SELECT blocker_id, blocked_id FROM blocks", "blocker_id", [("key", "blocker_id || '|' || blocked_id")]),
+    "auth_sessions": ("SELECT token_hash, user_id FROM auth_sessions", "user_id", [("key", "token_hash")]),
+    "email_verifications": ("SELECT token_hash, user_id FROM email_verifications", "user_id", [("key", "token_hash")]),
+    "pearl_grants": ("SELECT transaction_id, user_id FROM grants", "user_id", [("key", "transaction_id")]),
+}
+DOUBLED = ", ".join(
+    f"keyed_{t} AS (SELECT * FROM ({view}) UNION ALL SELECT * FROM ({view}) WHERE CAST(substring({owner}, 2) AS BIGINT) % 17 = 0)"
+    for t, (view, owner, _) in KEYED.items()
+)
+
+
 @query(
     "audit_unique",
-    """WITH twins AS (SELECT id, name, email, apple_sub FROM accounts UNION ALL
-                      SELECT id || 'b', upper(name), upper(email), apple_sub FROM accounts WHERE CAST(substring(id, 2) AS BIGINT) % 10 = 0),
-  members AS (SELECT room_id, user_id FROM room_members UNION ALL
-              SELECT room_id, user_id FROM room_members WHERE CAST(substring(user_id, 2) AS BIGINT) % 17 = 0)
-  SELECT 'users' AS "table", 'name' AS rule, lower(name) AS key, count(*) AS n FROM twins GROUP BY lower(name) HAVING count(*) > 1
-  UNION ALL SELECT 'users', 'email', lower(email), count(*) FROM twins WHERE email IS NOT NULL GROUP BY lower(email) HAVING count(*) > 1
-  UNION ALL SELECT 'users', 'apple_sub', apple_sub, count(*) FROM twins WHERE apple_sub IS NOT NULL GROUP BY apple_sub HAVING count(*) > 1
-  UNION ALL SELECT 'room_members', 'key', room_id || '|' || user_id, count(*) FROM members GROUP BY room_id, user_id HAVING count(*) > 1""",
+    f"WITH {EFFECTS}, {DOUBLED} " + " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", '{rule}' AS rule, {key} AS key, count(*) AS n FROM keyed_{t} WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(*) > 1"
+        for t, (_, _, rules) in KEYED.items() for rule, key in rules
+    ),
 )
 def audit_unique(d):
-    users = d.accounts.select("id", "name", "email", "apple_sub")
-    twins = users.filter(number("id") % 10 == 0).select(
-        F.concat("id", F.lit("b")).alias("id"), F.upper("name").alias("name"), F.upper("email").alias("email"), "apple_sub"
-    )
-    members = d.room_members
-    return op.audit_unique(
-        {
-            "users": users.unionByName(twins),
-            "room_members": members.unionByName(members.filter(number("user_id") % 17 == 0)),
-            "user_creatures": d.user_creatures,
-            "rooms": d.rooms,
-            "trades": d.trades,
-            "friendships": d.friendships,
-            "blocks": d.blocks,
-        }
+    t = tables(d)
+    day = F.date_format("ts", "yyyyMMdd")
+    t["room_dives"] = t["room_dives"].withColumn("id", F.concat_ws(".", "room_id", "user_id", F.col("mins").cast("string"), day))
+    t["reports"] = t["reports"].withColumn("id", F.col("seq").cast("string"))
+    return op.audit_unique({name: df.unionByName(df.filter(number(KEYED[name][1]) % 17 == 0)) for name, df in t.items()})
+
+
+@query(
+    "audit_nulls",
+    f"""WITH {EFFECTS},
+  worn AS (SELECT id, CASE WHEN CAST(substring(id, 2) AS BIGINT) % 8 <> 5 THEN name END AS name FROM accounts),
+  dealt AS (SELECT CASE WHEN CAST(substring(from_id, 2) AS BIGINT) % 9 <> 1 THEN from_id END AS from_id,
+                   CASE WHEN CAST(substring(to_id, 2) AS BIGINT) % 7 <> 1 THEN give_id END AS give_id FROM trades)
+  SELECT 'users' AS "table", 'name' AS "column", count(*) FILTER (name IS NULL) AS bad_rows FROM worn
+  UNION ALL SELECT 'trades', 'from_id', count(*) FILTER (from_id IS NULL) FROM dealt
+  UNION ALL SELECT 'trades', 'give_id', count(*) FILTER (give_id IS NULL) FROM dealt
+  UNION ALL SELECT 'pearl_grants', 'user_id', count(*) FILTER (user_id IS NULL) FROM grants""",
+)
+def audit_nulls(d):
+    t = tables(d)
+    dealt = t["trades"].select(
+        F.when(number("from_id") % 9 != 1, F.col("from_id")).alias("from_id"), F.when(number("to_id") % 7 != 1, F.col("give_id")).alias("give_id")
     )
+    worn = t["users"].select("id", F.when(number("id") % 8 != 5, F.col("name")).alias("name"))
+    return op.audit_nulls({"users": worn, "trades": dealt, "pearl_grants": t["pearl_grants"].select("user_id")})
 
 
 FK_CHILDREN = [

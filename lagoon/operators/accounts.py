@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,9 +13,11 @@ from lagoon.functions.scalars import avatar_colour, cap_text, initial_of, minted
 from lagoon.functions.text import email_problem, name_problem, normalise_email, trim_all
 from lagoon.functions.tokens import bearer_token, token_hash
 from lagoon.operators.collection import collections, creature_log
+from lagoon.operators.social import name_availability
 from lagoon.plans.holdings import grant_in_turn
 from lagoon.plans.matching import assign_preferences, grant_in_order
-from lagoon.plans.skew import first_per_key
+from lagoon.plans.skew import first_per_key, left_join_known
+from lagoon.session import cut_lineage
 
 SAFE_COLUMNS = ["id", "name", "initial", "avatar_bg", "avatar_url", "email", "email_verified_at", "last_seen"]
 PAGE = 1_000
@@ -54,7 +57,7 @@ def resolve_requests(log: DataFrame, sessions: DataFrame, users: DataFrame) -> D
     )
     live = F.col("ts") < F.col("expires_at")
     outcome = F.when(F.col("_token").isNull(), "no token").when(live, "ok").otherwise("expired or unknown")
-    return asked.join(known, "token_hash", "left").select(
+    return left_join_known(asked, known, ["token_hash"]).select(
         "request_id", "ts", "token_hash", F.when(live, F.col("user_id")).alias("user_id"), outcome.alias("outcome")
     )
 
@@ -101,6 +104,32 @@ def redeem_links(redemptions: DataFrame, links: DataFrame, users: DataFrame) ->
     )
 
 
+# Fixed value: how long a verification link is good.
+LINK_HOURS = 24
+
+
+def issue_links(links: DataFrame, requests: DataFrame, users: DataFrame) -> DataFrame:
+    """links after requests(seq, ts, user_id, token): an account's older links go, its last request's is new.
+
+    Requests for unknown accounts, or for accounts without an address, change nothing.
+    """
+    mailed = users.filter("email is not null").select(F.col("id").alias("user_id"), F.lower("email").alias("email"))
+    last = first_per_key(requests.filter("user_id is not null"), ["user_id"], [F.desc("seq")]).join(mailed, "user_id")
+    fresh = last.select(
+        token_hash(F.col("token")).alias("token_hash"), "user_id", "email", F.col("ts").alias("created_at"),
+        (F.col("ts") + F.make_interval(hours=F.lit(LINK_HOURS))).alias("expires_at"),
+    )
+    return links.join(last.select("user_id"), "user_id", "left_anti").select(*fresh.columns).unionByName(fresh)
+
+
+def name_checks(requests: DataFrame, users: DataFrame, lexicon=DEFAULT_LEXICON) -> DataFrame:
+    """requests(request_id, name, self_id): available or not, and why: a problem of the trimmed name, or taken by another."""
+    asked = requests.withColumn("name", trim_all(F.coalesce("name", F.lit(""))))
+    free = name_availability(asked, users)
+    reason = F.coalesce(name_problem(F.col("name"), lexicon), F.when(~F.col("available"), "name taken"))
+    return free.select("request_id", "name", reason.isNull().alias("available"), reason.alias("reason"))
+
+
 def confirm_emails(users: DataFrame, redeemed: DataFrame) -> DataFrame:
     done = redeemed.filter("outcome = 'confirmed'").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("_at"))
     return (
@@ -158,6 +187,34 @@ def resolve_identities(claims: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class SignedIn:
+    outcomes: DataFrame
+    users: DataFrame
+    stats: DataFrame
+
+
+def sign_in(claims: DataFrame, users: DataFrame, as_of: Column, lexicon=DEFAULT_LEXICON) -> SignedIn:
+    """The accounts after claims(seq, sub, email, email_verified, name), and the stats rows of new ones.
+
+    A linked account gets the subject. A created one gets a free name near the
+    wanted one, earlier claims first, the address, and the time of its verification if
+    the claim vouches for it.
+    """
+    outcomes = cut_lineage(resolve_identities(claims, users))
+    linked = outcomes.filter("outcome = 'linked'").select(F.col("user_id").alias("id"), F.col("sub").alias("_sub"))
+    made = outcomes.filter("outcome = 'created'").select("seq", "sub", F.col("user_id").alias("id"))
+    made = made.join(claims.select("seq", "email", "email_verified", F.col("name").alias("preferred")), "seq")
+    names = assign_names(made.select("seq", "preferred"), users, lexicon)
+    created = made.join(names, "seq").select(
+        "id", "name", initial_of(F.col("name")).alias("initial"), avatar_colour(F.col("sub")).alias("avatar_bg"),
+        normalise_email(F.col("email")).alias("email"), F.col("sub").alias("apple_sub"),
+        F.when(F.col("email_verified"), as_of).alias("email_verified_at"),
+    )
+    kept = users.join(linked, "id", "left").withColumn("apple_sub", F.coalesce("apple_sub", "_sub")).select(*users.columns)
+    return SignedIn(outcomes, kept.unionByName(created, allowMissingColumns=True), created_stats(created))
+
+
 def signup_outcomes(raw: DataFrame, users: DataFrame, lexicon=DEFAULT_LEXICON) -> DataFrame:
     """raw(seq, email, name): ok or the first failing rule, as if handled one by one."""
     asked = raw.select(

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lagoon import schemas
 from lagoon.functions.scalars import parse_number
-from lagoon.plans.skew import first_per_key
+from lagoon.plans.skew import first_per_key, left_join_known
 from lagoon.sources.files import append_new
 
 ENTITLEMENT = "pro"
@@ -151,7 +151,7 @@ def route_effects(effects: DataFrame, users: DataFrame) -> DataFrame:
         .when(F.col("_known").isNull(), "unknown account")
         .otherwise("applied")
     )
-    return effects.join(known, "user_id", "left").withColumn("routed", routed).drop("_known")
+    return left_join_known(effects, known, ["user_id"]).withColumn("routed", routed).drop("_known")
 
 
 def applicable(effects: DataFrame, users: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lagoon.operators.collection import collections
 from lagoon.operators.social import visible, with_blocked_flag
 from lagoon.plans.ranges import range_position
+from lagoon.plans.skew import left_join_known
+from lagoon.session import cut_lineage
 
 
 def pending_sides(trades: DataFrame) -> DataFrame:
@@ -54,11 +56,8 @@ def validate_trades(raw: DataFrame, creatures: DataFrame, blocks: DataFrame) ->
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     wanted = F.nullif(F.col("give_creature_id"), F.lit(""))
     joined = with_blocked_flag(raw.withColumn("give_creature_id", wanted), blocks, "from_id", "to_id")
-    joined = (
-        joined.join(mine, ["from_id", "give_id"], "left")
-        .join(theirs, ["to_id", "get_id"], "left")
-        .join(named, "give_creature_id", "left")
-    )
+    joined = joined.join(mine, ["from_id", "give_id"], "left").join(theirs, ["to_id", "get_id"], "left")
+    joined = left_join_known(cut_lineage(joined), named, ["give_creature_id"])
     owned = F.coalesce((F.col("_owner") == F.col("from_id")) & (F.col("_species") == F.col("give_id")), F.lit(False))
     reason = (
         F.when((text("to_id") == "") | (text("give_id") == "") | (text("get_id") == ""), "fields missing")

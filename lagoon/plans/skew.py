@@ -33,6 +33,19 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def left_join_known(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """left outer join where a null key, which matches nothing, never reaches the shuffle.
+
+    Rows with a null in `on` would all meet in one task; they come back by union,
+    with nulls for what right has. left is evaluated twice, so let it be a scan.
+    """
+    known = reduce(and_, [F.col(k).isNotNull() for k in on])
+    added = [f for f in right.schema.fields if f.name not in on]
+    some = left.filter(known).join(right, list(on), "left").select(*left.columns, *[f.name for f in added])
+    rest = left.filter(~known).select(*left.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])
+    return some.unionByName(rest)
+
+
 def _carried_to(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with what their (key, slice) carries. Nulls are keys and slices like any other."""
     names = {k: f"_k{i}" for i, k in enumerate([*keys, "_slice"])}

@@ -10,7 +10,7 @@ from lagoon.operators import accounts as op
 from lagoon.operators import activity, limits, purchases
 from lagoon.registry import query
 from lagoon.registry.purchases import EFFECTS
-from lagoon.registry.views import AS_OF_SQL, N, minted_sql
+from lagoon.registry.views import AS_OF_SQL, N, avatar_sql, minted_sql
 from lagoon.sources.domain import AS_OF, instant, uid
 
 
@@ -172,9 +172,7 @@ def identity_log(d):
     )
 
 
-@query(
-    "resolve_identities",
-    f"""WITH RECURSIVE {CLAIMS},
+IDENTITIES = f"""{CLAIMS},
   looked AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) AS i, c.seq, c.sub, lower(trim(c.email)) AS mail,
                     s.id AS by_sub, m.id AS by_mail,
                     CASE WHEN s.id IS NOT NULL THEN 'known' WHEN m.id IS NULL THEN 'created'
@@ -196,13 +194,72 @@ def identity_log(d):
                  CASE WHEN l.path = 'known' OR list_contains(w.subs, l.sub) THEN 'known'
                       WHEN l.path = 'conflict' OR coalesce(list_contains(w.mails, l.mail), false) THEN 'conflict'
                       ELSE l.path END AS outcome
-          FROM walk w JOIN looked l ON l.i = w.i + 1))
-  SELECT seq, sub, outcome, user_id FROM walk WHERE i > 0""",
+          FROM walk w JOIN looked l ON l.i = w.i + 1))"""
+
+
+@query(
+    "resolve_identities",
+    f"WITH RECURSIVE {IDENTITIES} SELECT seq, sub, outcome, user_id FROM walk WHERE i > 0",
 )
 def resolve_identities(d):
     return op.resolve_identities(identity_log(d), d.accounts)
 
 
+# What the accounts are after all claims: names wanted by many, given in order.
+SIGNED_IN = f"""{IDENTITIES},
+  settled AS MATERIALIZED (SELECT seq, sub, outcome, user_id FROM walk WHERE i > 0),
+  made AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY s.seq) AS n, s.seq, s.sub, s.user_id, lower(trim(c.email)) AS email, c.email_verified,
+           list_append(list_prepend('Reef ' || (s.seq % 40), list_transform([2, 3, 4, 5, 6, 7, 8, 9], lambda k: 'Reef ' || (s.seq % 40) || ' ' || k)),
+                       'Diver ' || (s.seq + 1000)) AS wishes
+    FROM settled s JOIN claims c ON c.seq = s.seq WHERE s.outcome = 'created'),
+  naming AS (
+    SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS held, CAST(NULL AS VARCHAR) AS name
+    UNION ALL
+    SELECT n, list_append(held, lower(name)), name
+    FROM (SELECT m.n, g.held, list_filter(m.wishes, lambda c: NOT list_contains(g.held, lower(c)))[1] AS name
+          FROM naming g JOIN made m ON m.n = g.n + 1)),
+  born AS (SELECT m.user_id AS id, g.name, m.sub, m.email, m.email_verified FROM made m JOIN naming g ON g.n = m.n)"""
+
+
+def sign_ins(d):
+    return op.sign_in(identity_log(d).withColumn("name", F.concat(F.lit(" Reef "), (F.col("seq") % 40).cast("string"))), d.accounts, instant(AS_OF))
+
+
+@query(
+    "signed_in_users",
+    f"""WITH RECURSIVE {SIGNED_IN}
+  SELECT a.id, a.name, a.initial, a.avatar_bg, a.email, coalesce(a.apple_sub, s.sub) AS apple_sub, a.email_verified_at
+  FROM accounts a LEFT JOIN settled s ON s.outcome = 'linked' AND s.user_id = a.id
+  UNION ALL
+  SELECT id, name, upper(substring(name, 1, 1)), {avatar_sql('sub')}, email, sub, CASE WHEN email_verified THEN {AS_OF_SQL} END FROM born""",
+)
+def signed_in_users(d):
+    return sign_ins(d).users.select("id", "name", "initial", "avatar_bg", "email", "apple_sub", "email_verified_at")
+
+
+@query(
+    "signed_in_stats",
+    f"""WITH RECURSIVE {SIGNED_IN} SELECT id AS user_id, CAST(0 AS BIGINT) AS total_mins, CAST(0 AS BIGINT) AS dives, CAST(0 AS BIGINT) AS caught FROM born""",
+)
+def signed_in_stats(d):
+    return sign_ins(d).stats
+
+
+@query(
+    "issue_links",
+    """WITH asks AS (SELECT 'u' || user_id AS user_id, arg_max(event_id, event_id) AS seq, arg_max(ts, event_id) AS ts FROM events WHERE event_type = 'click' GROUP BY 1),
+  fresh AS (SELECT sha256('again' || seq) AS token_hash, k.user_id, lower(a.email) AS email, k.ts AS created_at, k.ts + INTERVAL 24 HOUR AS expires_at
+            FROM asks k JOIN accounts a ON a.id = k.user_id WHERE a.email IS NOT NULL)
+  SELECT token_hash, user_id, email, created_at, expires_at FROM email_verifications WHERE user_id NOT IN (SELECT user_id FROM fresh)
+  UNION ALL SELECT * FROM fresh""",
+)
+def issue_links(d):
+    clicks = d.raw("events").filter("event_type = 'click'")
+    asks = clicks.select(F.col("event_id").alias("seq"), "ts", uid("user_id").alias("user_id"), F.concat(F.lit("again"), F.col("event_id").cast("string")).alias("token"))
+    return op.issue_links(d.email_verifications, asks, d.accounts)
+
+
 # Sign-ups: malformed, taken and heavily contested names and addresses.
 PEOPLE = "people AS (SELECT id, replace(name, '#', ' ') AS name, email, initial FROM accounts)"
 SIGNUPS = """

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from lagoon.functions import moderation as mod
 from lagoon.functions import scalars as sc
 from lagoon.functions import text as tx
+from lagoon.operators import accounts
 from lagoon.registry import query
-from lagoon.registry.views import avatar_sql, minted_sql, sql_list
+from lagoon.registry.views import avatar_sql, minted_sql, sql_list, trim_sql
 from lagoon.sources.domain import instant
 
 # Names from every text column, plus names with a term worked into them by rule.
@@ -188,3 +189,21 @@ def shaped_rooms(d):
 @query("shaped_creatures", "SELECT id, species_id AS speciesId, nickname, caught_at AS caughtAt FROM user_creatures")
 def shaped_creatures(d):
     return sc.api_names(d.user_creatures.select("id", "species_id", "nickname", "caught_at"))
+
+
+@query(
+    "name_checks",
+    f"""WITH {NAMES_SQL.replace("names AS (", "untrimmed AS (", 1)},
+  names AS (SELECT DISTINCT {trim_sql('name')} AS name FROM untrimmed), {VERDICT},
+  reasoned AS (SELECT name, {_problem_sql(2, 20)} AS problem FROM judged)
+  SELECT r.name, problem IS NULL AND o.id IS NULL AS available, coalesce(problem, CASE WHEN o.id IS NOT NULL THEN 'name taken' END) AS reason
+  FROM reasoned r LEFT JOIN (SELECT id, replace(c.name, '#', ' ') AS name FROM accounts c) o ON lower(o.name) = lower(r.name) AND o.id <> 'u7'
+  UNION ALL SELECT 'Customer 000000007', true, NULL""",
+)
+def name_checks(d):
+    """Each name asked for by a diver who may keep their own, u7, with blanks around it."""
+    people = d.accounts.withColumn("name", F.replace("name", F.lit("#"), F.lit(" ")))
+    wanted = names(d).select(tx.trim_all(F.col("name")).alias("name")).distinct()
+    wanted = wanted.unionByName(people.filter("id = 'u7'").select(F.lit("Customer 000000007").alias("name")))
+    asked = wanted.select(F.xxhash64("name").alias("request_id"), F.concat(F.lit("  "), "name", F.lit("\t")).alias("name"), F.lit("u7").alias("self_id"))
+    return accounts.name_checks(asked, people).drop("request_id")

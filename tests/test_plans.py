@@ -19,7 +19,7 @@ from lagoon.plans.holdings import grant_in_turn
 from lagoon.plans.matching import grant_in_order
 from lagoon.plans.ranges import range_position
 from lagoon.plans.settlement import settle_trades
-from lagoon.plans.skew import previous_value, running_position
+from lagoon.plans.skew import left_join_known, previous_value, running_position
 from lagoon.session import cut_lineage
 from lagoon.sources.files import conform
 
@@ -345,6 +345,34 @@ def test_range_positions_of_one_key_and_one_instant(spark, monkeypatch):
     assert [whole[v] for v in sorted(whole, reverse=True)] == list(range(1, 60_001))
 
 
+def test_null_keys_stay_out_of_the_shuffle(spark):
+    left = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("k"))
+    right = spark.range(0, 20_000, 4).select(F.col("id").cast("string").alias("k"), (F.col("id") * 2).alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = left_join_known(left, right, ["k"])
+        got = {r.id: (r.k, r.v) for r in joined.collect()}
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: (str(i) if i % 2 == 0 else None, 2 * i if i % 4 == 0 else None) for i in range(20_000)}
+    # one half is joined, the other, with the ten thousand nulls, goes round the join
+    top, joining, beside = plan.partition("Join LeftOuter")[0], plan.partition("Join LeftOuter")[2], plan.rpartition("Project")[2]
+    assert "Union" in top and "% 2) = 0" in joining and "Join" not in beside and "% 2) = 0" in beside
+
+
+def test_links_issued_anew_void_older_ones(spark):
+    links = spark.createDataFrame([("a", "u1", "m"), ("b", "u2", "m"), ("c", "u3", "m")], "token_hash string, user_id string, email string")
+    links = links.withColumns({"created_at": F.lit(AS_OF).cast("timestamp"), "expires_at": F.lit("2024-02-02").cast("timestamp")})
+    users = spark.createDataFrame([("u1", "A@x"), ("u2", None), ("u3", "c@x")], "id string, email string")
+    asks = spark.createDataFrame([(1, "u1", "t1"), (2, "u1", "t2"), (3, "u2", "t3"), (4, "nobody", "t4"), (5, None, "t5")], "seq bigint, user_id string, token string")
+    asks = asks.withColumn("ts", F.lit("2024-02-01 12:00:00").cast("timestamp"))
+    got = {(r.user_id, r.token_hash, r.email, str(r.expires_at)) for r in accounts.issue_links(links, asks, users).collect()}
+    fresh = spark.range(1).select(token_hash(F.lit("t2"))).first()[0]
+    assert got == {("u1", fresh, "a@x", "2024-02-02 12:00:00"), ("u2", "b", "m", "2024-02-02 00:00:00"), ("u3", "c", "m", "2024-02-02 00:00:00")}
+
+
 def test_paged_participants_keep_everybody(spark):
     members = spark.createDataFrame([("hot", f"u{i}") for i in range(500)] + [("r", "u1")], "room_id string, user_id string")
     users = spark.createDataFrame([(f"u{i}",) for i in range(500)], "id string").selectExpr("id", "'U' initial", "'#fff' avatar_bg")

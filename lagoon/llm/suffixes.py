@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import arrow_map, as_batch, bytes_of, slices, stage, text_of
+from lagoon.llm.common import arrow_map, as_batch, bytes_of, fresh, slices, stage, text_of
+from lagoon.plans.ranges import range_position
 
 SPAN = 50
 GRAM = 16
@@ -43,7 +44,7 @@ GRAMS = SIDE + 1  # grams in SPAN bytes, and alignments of SPAN bytes to an anch
 CHUNK = 1 << 20
 #: Contexts of one anchor that are sorted in one task; more are matched by the hash of each string.
 GROUP = 200_000
-TAG = 24  # bits that tell rows of one id apart, by the hash of their text
+TAG = 32  # bits that tell texts of one id apart; above them the position, below 2 ** 31 as in any string
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -293,7 +294,7 @@ def _strings(batch: pa.RecordBatch):
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(doc, tag, starts): for each document with repeats, (position of an anchor, its run, alignments that repeat; -1: all).
 
-    docs: i (id, the greatest long for null), t (text).
+    docs: i (id, the greatest long for null), t (text), tag (of `told_apart`).
     """
 
     def find(batch):
@@ -305,8 +306,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
             text, position, gram, c = text[stay], position[stay], gram[stay], c[stay]
             yield {"h": gram.view(np.int64), "c": c.view(np.int64), "doc": ids[text], "spot": position << TAG | tag[text], "run": run}
 
-    tagged = docs.select("i", "t", F.xxhash64("t").bitwiseAND((1 << TAG) - 1).alias("tag"))
-    marks = arrow_map(tagged, find, "h long, c long, doc long, spot long, run long")
+    marks = arrow_map(docs, find, "h long, c long, doc long, spot long, run long")
     marks = marks.repartition("h").sortWithinPartitions("h", "doc")
     marks = stage(marks.mapInArrow(_settle, SETTLED))
 
@@ -326,7 +326,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
                         out[k].append(v)
             yield out
 
-    joined = tagged.join(wanted.withColumnRenamed("doc", "i"), ["i", "tag"])
+    joined = docs.join(wanted.withColumnRenamed("doc", "i"), ["i", "tag"])
     contexts = arrow_map(joined, cut, "h long, doc long, spot long, run long, lft int, context binary")
     crowded = open_.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("h")
     crowded = stage(crowded)
@@ -346,6 +346,25 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     return every.select("doc", tag.alias("tag"), F.struct(place.alias("place"), "run", "mask").alias("start")).groupBy("doc", "tag").agg(F.collect_list("start").alias("starts"))
 
 
+def told_apart(rows: DataFrame) -> DataFrame:
+    """rows (i, t, ...) with tag: different for different texts of one id, the same for repeated rows.
+
+    A hash of one bit less than TAG, and where texts of one id meet in it, a number
+    with that bit. Meetings are found by a second hash of 64 bits; they are few, so that
+    the join that renames them is as a rule a broadcast Spark chooses by their size.
+    """
+    other, meets = fresh(rows, "__other"), fresh(rows, "__meets")
+    tagged = rows.withColumn("tag", F.xxhash64("t").bitwiseAND((1 << (TAG - 1)) - 1)).withColumn(other, F.xxhash64(F.lit(TAG), "t"))
+    groups = tagged.groupBy("i", "tag").agg(F.min(other).alias("a"), F.max(other).alias("b")).where("a <> b").select("i", "tag")
+    groups = stage(groups)
+    if groups.isEmpty():
+        return tagged.drop(other)
+    texts = tagged.select("i", "tag", other).join(groups, ["i", "tag"]).distinct()
+    number = range_position(texts, ["i"], [F.asc("tag"), F.asc(other)], meets)
+    number = stage(number.withColumn(meets, F.col(meets) + (1 << (TAG - 1))))
+    return tagged.join(number, ["i", "tag", other], "left").withColumn("tag", F.coalesce(meets, "tag")).select(*rows.columns, "tag")
+
+
 def covered(size: int, place: np.ndarray, run: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Which of `size` bytes lie in a repeated string."""
     if run.any():
@@ -377,8 +396,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     each other, so they do not remove one another's bytes. kept: the remaining bytes.
     """
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)).alias("i"), text_of(text_column).cast("string").alias("t"), F.col(id_column).isNull().alias("none"))
-    starts = repeated_starts(rows.select("i", "t")).withColumnRenamed("doc", "i")
-    tagged = rows.withColumn("tag", F.xxhash64("t").bitwiseAND((1 << TAG) - 1))
+    tagged = told_apart(rows)
+    starts = repeated_starts(tagged.select("i", "t", "tag")).withColumnRenamed("doc", "i")
 
     def work(batch):
         for part in slices(batch, "t", 4 << 20):

@@ -260,6 +260,20 @@ def test_op5_edges(frame, monkeypatch):
     assert suffixes.remove_repeats(frame([])).count() == 0
 
 
+def test_op5_many_rows_without_an_id(spark, frame, monkeypatch):
+    rng = random.Random(15)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(1, passage)] + [(None, f"{rng.random()} " * rng.randrange(0, 3) + (passage if k % 7 == 0 else "") + f" {k}") for k in range(20_000)]
+    check_repeats(frame(rows), rows)
+    monkeypatch.setattr(suffixes, "TAG", 12)  # 2,048 hashes for 300 texts: many meet
+    few = rows[:300] + rows[1:40] + [(k % 3, t) for k, (_, t) in enumerate(rows[300:500])]
+    tagged = suffixes.told_apart(frame(few).selectExpr("coalesce(doc_id, 9223372036854775807) as i", "text as t")).collect()
+    assert len(tagged) == len(few) and len({(r["i"], r["tag"]) for r in tagged}) == len({(r["i"], r["t"]) for r in tagged})
+    assert any(r["tag"] >= 1 << 11 for r in tagged)
+    monkeypatch.setattr(suffixes, "TAG", 32)
+    check_repeats(frame(few), few)
+
+
 def test_progressions_hold_all_anchors():
     rng = np.random.default_rng(8)
     for _ in range(200):

@@ -4,12 +4,15 @@ Everything is a function of one row's text: nothing is shuffled, and no Python
 runs in tasks. A cheap test for each kind keeps texts without a chance from the
 pass that finds places.
 
-The entropy method looks at candidate strings, runs of 20 or more characters of
-the base64 and URL alphabets. A window of 20 characters moves along; counts of
-its characters, and the sum of n log n over them, change only by the character
-that enters and the one that leaves. Each character class has its own alphabet
-and its own limit: hex digits cannot reach what base64 reaches. Windows over the
-limit that touch are one span. Candidates that fit the allow-list are left out.
+The entropy method looks at runs of 20 or more characters of one class: hex digits in
+lower case, in upper case, and the base64 and URL alphabets. A window of 20
+characters moves along a run; counts of its characters, five bits each in a few
+numbers, and the sum of n log n over them change only by the character that enters
+and the one that leaves. Each class has its own limit: hex digits cannot reach
+what base64 reaches. Windows over the limit that touch are one span. The
+allow-list is held against the segments between `/`, `_` and `-`: a window that
+touches an allowed segment is no secret, whatever stands beside it is.
+The work is in proportion to the length of a run.
 """
 
 from __future__ import annotations
@@ -29,19 +32,24 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 16, "AKIA"),
     "hex": (r"[0-9a-f]+", 0, 32, "[0-9a-f]{32}"),
 }
-#: Class: characters (in lower case where case does not count), and bits per character from which a window is random.
+_HEX, _BASE64 = "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-"
+#: Kind: the runs of its classes, its characters (hex digits in lower case), and bits per character from which a window is random.
 CLASSES = {
-    "entropy_hex": ("0123456789abcdef", 3.01),
-    "entropy_base64": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-", 3.81),
+    "entropy_hex": (("[0-9a-f]", "[0-9A-F]"), _HEX, 3.01),
+    "entropy_base64": (("[A-Za-z0-9+/_-]",), _BASE64, 3.81),
 }
-#: Candidates that are no secrets: without a digit, digits alone, alphabets in order, one part over and over, placeholders.
+#: Runs that are no secrets: without a digit, or of digits alone.
+ALLOWED_RUNS = (r"^[^0-9]*$", r"^[0-9]*$")
+#: Segments that are no secrets: words, also with a short number behind, digits alone, alphabets in order, one part over and over, placeholders.
 ALLOWED = (
-    r"^[^0-9]*$",
-    r"^[0-9]*$",
-    r"0123456789abcdef|(?i:abcdefghijklmnopqrstuvwxyz)",
+    r"^(?:[A-Z]?[a-z]{3,}|[A-Z]{4,})+[0-9]{0,3}$",
+    r"^[0-9]+$",
+    r"0123456789abcdef|0123456789ABCDEF|(?i:abcdefghijklmnopqrstuvwxyz)",
     r"^(.{1,8}?)\1+.{0,8}$",
     r"(?i:example|placeholder|dummy|changeme|xxxxxx)",
 )
+#: Counts of a window, in numbers of 64 bits: so many of five bits each.
+PACKED, BITS = 12, 5
 
 
 def _places(text: Column, pattern: str, group: int, least: int, hint: str) -> Column:
@@ -77,40 +85,79 @@ def _is(kind: str):
     return lambda x: x["kind"] == kind
 
 
-def _random_parts(candidate: Column, alphabet: str, limit: float, window: int) -> Column:
-    """Array of (start, end) in a candidate: windows whose entropy exceeds the limit, joined where they touch."""
+def _any(text: Column, patterns: Iterable[str]) -> Column:
+    found = F.lit(False)
+    for p in patterns:
+        found = found | text.rlike(p)
+    return found
+
+
+def _random_parts(run: Column, alphabet: str, limit: float, window: int, allowed: Iterable[str]) -> Column:
+    """Array of (start, end) in a run: windows whose entropy exceeds the limit and that touch no allowed segment, joined where they touch."""
     weight = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
-    size = len(alphabet)
     # entropy = log2(window) - sum / window, so the sum decides
     most = window * (math.log2(window) - limit)
-
-    def symbol(i: Column) -> Column:
-        return F.instr(F.lit(alphabet), F.substring(candidate, i, F.lit(1)))
-
-    def step(a: Column, i: Column) -> Column:
-        def moved(enters: Column, leaves: Column) -> Column:
-            joins = F.get(a["counts"], enters - 1)
-            left = F.when(leaves > 0, F.get(a["counts"], leaves - 1) + F.when(leaves == enters, 1).otherwise(0))
-            gain = F.get(weight, joins + 1) - F.get(weight, joins)
-            loss = F.when(leaves > 0, F.get(weight, left) - F.get(weight, left - 1)).otherwise(0.0)
-            total = a["sum"] + gain - loss
-            counts = F.transform(a["counts"], lambda c, j: c + F.when(j == enters - 1, 1).otherwise(0) - F.when(j == leaves - 1, 1).otherwise(0))
-            hot = (i >= window) & (total < most)
-            start = i - window
-            touches = F.coalesce(F.get(a["out"], F.size(a["out"]) - 1)["end"] >= start, F.lit(False))
-            last = F.get(a["out"], F.size(a["out"]) - 1)["start"]
-            longer = F.array_append(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.struct(last.alias("start"), i.alias("end")))
-            new = F.array_append(a["out"], F.struct(start.alias("start"), i.alias("end")))
-            return F.struct(counts.alias("counts"), total.alias("sum"), F.when(hot & touches, longer).when(hot, new).otherwise(a["out"]).alias("out"))
-
-        # bound once: the two symbols are looked up a single time
-        pair = F.array(F.struct(symbol(i).alias("in"), F.when(i > window, symbol(i - window)).otherwise(F.lit(0)).alias("out")))
-        return F.get(F.transform(pair, lambda p: moved(p["in"], p["out"])), F.lit(0))
-
-    zero = F.struct(
-        F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast("array<struct<start:int,end:int>>").alias("out")
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), zero, step, lambda a: a["out"])
+    words = -(-len(alphabet) // PACKED)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    segments = F.split(run, r"(?<=[/_-])|(?=[/_-])")
+    flags = F.flatten(F.transform(segments, lambda g: F.array_repeat(_any(g, allowed), F.length(g))))
+    # a character's number from 0, and whether it is in an allowed segment; -1 before the run
+    symbols = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+
+    def once(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def shifted(n: Column, by: Column) -> Column:
+        return F.call_function("shiftleft", n, by)
+
+    def count(a: Column, s: Column) -> Column:
+        word = a["w0"]
+        for k in range(1, words):
+            word = F.when(s >= k * PACKED, a[f"w{k}"]).otherwise(word)
+        return F.call_function("shiftright", word, s % PACKED * BITS).bitwiseAND(F.lit((1 << BITS) - 1).cast("bigint")).cast("int")
+
+    def scan(run_symbols: Column, run_flags: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            def moved(p: Column, q: Column) -> Column:
+                gain = F.get(weight, q["had"] + 1) - F.get(weight, q["had"])
+                loss = F.when(p["leaves"] >= 0, F.get(weight, q["left"]) - F.get(weight, q["left"] - 1)).otherwise(0.0)
+                total = a["sum"] + gain - loss
+                clear = F.when(F.get(run_flags, i), 0).otherwise(a["clear"] + 1)
+                hot = (clear >= window) & (total < most)
+                joined = hot & (a["end"] >= i + 1 - window)
+                closes = hot & ~joined & (a["end"] > 0)
+                one = F.lit(1).cast("bigint")
+                packed = []
+                for k in range(words):
+                    enters = F.when(F.floor(p["enters"] / PACKED) == k, shifted(one, p["enters"] % PACKED * BITS)).otherwise(0)
+                    leaves = F.when((p["leaves"] >= 0) & (F.floor(p["leaves"] / PACKED) == k), shifted(one, p["leaves"] % PACKED * BITS)).otherwise(0)
+                    packed.append((a[f"w{k}"] + enters - leaves).alias(f"w{k}"))
+                return F.struct(
+                    *packed,
+                    total.alias("sum"),
+                    clear.alias("clear"),
+                    F.when(hot & ~joined, i + 1 - window).otherwise(a["start"]).alias("start"),
+                    F.when(hot, i + 1).otherwise(a["end"]).alias("end"),
+                    F.when(closes, F.array_append(a["out"], F.struct(a["start"].alias("start"), a["end"].alias("end")))).otherwise(a["out"]).alias("out"),
+                )
+
+            leaving = F.when(i >= window, F.get(run_symbols, i - window)).otherwise(-1)
+            pair = F.struct(F.get(run_symbols, i).alias("enters"), leaving.alias("leaves"))
+
+            def with_counts(p: Column) -> Column:
+                left = F.when(p["leaves"] >= 0, count(a, p["leaves"]) + (p["enters"] == p["leaves"]).cast("int"))
+                return once(F.struct(count(a, p["enters"]).alias("had"), left.alias("left")), lambda q: moved(p, q))
+
+            return once(pair, with_counts)
+
+        zero = F.struct(
+            *[F.lit(0).cast("bigint").alias(f"w{k}") for k in range(words)], F.lit(0.0).alias("sum"), F.lit(0).alias("clear"), F.lit(0).alias("start"), F.lit(0).alias("end"), none.alias("out")
+        )
+        last = lambda a: F.when(a["end"] > 0, F.array_append(a["out"], F.struct(a["start"].alias("start"), a["end"].alias("end")))).otherwise(a["out"])
+        return F.aggregate(F.sequence(F.lit(0), F.size(run_symbols) - 1), zero, step, last)
+
+    # looked up once for a run, not once for a character
+    return once(F.struct(symbols.alias("s"), flags.alias("f")), lambda x: scan(x["s"], x["f"]))
 
 
 def spans(text: Column, window: int = WINDOW, allowed: Iterable[str] = ALLOWED) -> Column:
@@ -120,25 +167,24 @@ def spans(text: Column, window: int = WINDOW, allowed: Iterable[str] = ALLOWED)
     parts = []
     for rank, (kind, (pattern, group, least, hint)) in enumerate(BASE.items()):
         parts.append(F.transform(_places(text, pattern, group, least, hint), _named(rank, kind)))
-    run = f"[A-Za-z0-9+/_-]{{{window},}}+"
-    candidates = _places(text, run, 0, window, f"[A-Za-z0-9+/_-]{{{window}}}")
-    known = F.lit(False)
-    rest = {"entropy_hex": "^([0-9a-f]*|[0-9A-F]*)$"}
 
-    def scan(x: Column) -> Column:
-        safe = known
-        for a in allowed:
-            safe = safe | x["hit"].rlike(a)
-        is_hex = x["hit"].rlike(rest["entropy_hex"])
+    def random_spans(rank: int, kind: str):
+        _, alphabet, limit = CLASSES[kind]
 
-        def of(kind: str, hit: Column) -> Column:
-            alphabet, limit = CLASSES[kind]
-            found = _random_parts(hit, alphabet, limit, window)
-            return F.transform(found, lambda y: F.struct((x["start"] + y["start"]).alias("start"), F.lit(len(BASE) + list(CLASSES).index(kind)).alias("rank"), (x["start"] + y["end"]).alias("end"), F.lit(kind).alias("kind"))).cast(shape)
+        def of(x: Column) -> Column:
+            hit = F.lower(x["hit"]) if alphabet == _HEX else x["hit"]
+            named = F.transform(
+                _random_parts(hit, alphabet, limit, window, allowed),
+                lambda y: F.struct((x["start"] + y["start"]).alias("start"), F.lit(rank).alias("rank"), (x["start"] + y["end"]).alias("end"), F.lit(kind).alias("kind")),
+            )
+            return F.when(_any(x["hit"], ALLOWED_RUNS), F.array().cast(shape)).otherwise(named.cast(shape))
 
-        return F.when(safe, F.array().cast(shape)).when(is_hex, of("entropy_hex", F.lower(x["hit"]))).otherwise(of("entropy_base64", x["hit"]))
+        return of
 
-    parts.append(F.flatten(F.transform(candidates, scan)))
+    for rank, (kind, (classes, _, _)) in enumerate(CLASSES.items(), len(BASE)):
+        for characters in classes:
+            runs = _places(text, f"{characters}{{{window},}}+", 0, window, f"{characters}{{{window}}}")
+            parts.append(F.flatten(F.transform(runs, random_spans(rank, kind))))
     return F.array_sort(F.concat(*[p.cast(shape) for p in parts]))
 
 

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -27,21 +28,23 @@ def plain_base(text):
 
 
 def plain_entropy(text, window=secret_scan.WINDOW):
+    """Each window of each run, one after the other."""
     out = []
-    for m in re.finditer(r"[A-Za-z0-9+/_-]{%d,}" % window, text):
-        s = m[0]
-        if any(re.search(a, s) for a in secret_scan.ALLOWED):
-            continue
-        kind = "entropy_hex" if re.fullmatch("[0-9a-f]*|[0-9A-F]*", s) else "entropy_base64"
-        hot = []
-        for k in range(len(s) - window + 1):
-            n = Counter(s[k : k + window])
-            if -sum(c / window * math.log2(c / window) for c in n.values()) > secret_scan.CLASSES[kind][1]:
-                if hot and hot[-1][1] >= k:
-                    hot[-1][1] = k + window
-                else:
-                    hot.append([k, k + window])
-        out += [(m.start() + a, 3 + (kind == "entropy_base64"), m.start() + b, kind) for a, b in hot]
+    for rank, (kind, (classes, _, limit)) in enumerate(secret_scan.CLASSES.items(), 3):
+        for m in (m for c in classes for m in re.finditer(c + "{%d,}" % window, text)):
+            s = m[0].lower() if kind == "entropy_hex" else m[0]
+            if not re.search("[0-9]", s) or not re.search("[^0-9]", s):
+                continue
+            plain = [any(re.search(a, g) for a in secret_scan.ALLOWED) for g in re.split("(?<=[/_-])|(?=[/_-])", s) for _ in g]
+            hot = []
+            for k in range(len(s) - window + 1):
+                n = Counter(s[k : k + window])
+                if not any(plain[k : k + window]) and -sum(c / window * math.log2(c / window) for c in n.values()) > limit:
+                    if hot and hot[-1][1] >= k:
+                        hot[-1][1] = k + window
+                    else:
+                        hot.append([k, k + window])
+            out += [(m.start() + x, rank, m.start() + y, kind) for x, y in hot]
     return out
 
 
@@ -75,6 +78,42 @@ def test_op4_edges(frame):
     assert secret_scan.scan(frame([])).count() == 0
 
 
+def test_planted_keys_are_found(frame):
+    """Keys of a class joined to other things are found as they are alone, and words beside them are left."""
+    rng = random.Random(4)
+    key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    base64 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    forms = {
+        "lower": lambda: ("k_", key(24, "0123456789abcdef"), "", 24), "upper": lambda: ("k_", key(32, "0123456789ABCDEF"), "-end", 32),
+        "path": lambda: ("path/to/", key(40, base64), "/example", 40), "alone": lambda: ("", key(40, base64), "", 40),
+    }
+    rows, spots = [], {}
+    for form, make in forms.items():
+        for k in range(150):
+            before, secret, after, n = make()
+            i = len(rows)
+            rows.append((i, f"see {before}{secret}{after} there"))
+            spots[i] = (form, 4 + len(before), 4 + len(before) + n)
+    hits = Counter()
+    for r in secret_scan.scan(frame(rows)).collect():
+        form, a, b = spots[r["doc_id"]]
+        covered = {c for x in r["found"] for c in range(x["start"], x["end"])}
+        hits[form] += len(covered & set(range(a, b))) >= 0.8 * (b - a)
+        assert not covered - set(range(a - 4, b + 1)), rows[r["doc_id"]]  # words beside it stay
+    assert all(hits[f] >= 0.95 * 150 for f in forms), hits
+    words = ["src/main/java/CustomerAccountServiceFactory2", "linux-headers-generic-x86_64-package-2024", "docs/example_configuration_file_version_12", "AbstractSingletonProxyFactoryBean1"]
+    assert all(not r["found"] for r in secret_scan.scan(frame(list(enumerate(words)))).collect())
+
+
+def test_op4_long_runs_cost_their_length(frame):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    start = time.monotonic()
+    found = secret_scan.scan(frame([(1, "image: " + long)])).collect()[0]["found"]
+    assert time.monotonic() - start < 120
+    assert sum(x["end"] - x["start"] for x in found) > 500_000
+
+
 def test_redact(frame):
     rows = [(1, None), (2, "clean"), (3, "é password=abcdefgh1 end token: 12345678"), (4, "AKIA" + "A" * 16)]
     got = {r["doc_id"]: r["text"] for r in secret_scan.redact(frame(rows)).collect()}

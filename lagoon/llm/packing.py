@@ -10,9 +10,12 @@ lacks is carried to the next, and so across partitions, because a quantum's
 place is a formula of the sources' totals alone and not of what other tasks did.
 A source that has run out earns no more; the others keep their proportions.
 
-Only the totals per source go to the driver, at most QUEUES + 1 rows. The places
-of documents in their source's stream are sums over ranges of ids, so no source
-is ever gathered in one task.
+The QUEUES largest sources are scheduled by the formula, their totals held by the
+driver. All others, however many, share one more queue that has their weights
+together; its stream is their own quanta in the order of their own due times, by
+running sums over ranges of that order, so each of them keeps its share, too. The
+places of documents in their source's stream are sums over ranges of ids, so no
+source is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagoon.llm.common import arrow_map, slices, stage
@@ -33,7 +36,7 @@ from lagoon.llm.common import arrow_map, slices, stage
 WINDOW = 2048
 QUANTUM = 128
 END = 1
-#: Sources with their own queue, by tokens; the rest share one.
+#: Sources that the driver schedules, by tokens; the rest are one queue that Spark schedules.
 QUEUES = 255
 #: Parts in a worker's cache.
 CACHE = 600_000
@@ -199,6 +202,38 @@ class Schedule:
         raise ValueError("position beyond the stream")
 
 
+def _key(source: Column) -> Column:
+    """A source as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
+
+
+def shared_queue(lengths: DataFrame, weights: DataFrame | None, quantum: int = QUANTUM) -> DataFrame:
+    """lengths (rid, doc_id, queue, n), queue the `_key` of a source → (rid, cuts): where the quanta of each row's source lie in the shared stream.
+
+    cuts: start in the document, length, at. weights: queue, w; without them a
+    source weighs what it has, and without one a source weighs 1.
+    """
+    at = stage(placed(lengths).join(lengths.select("rid", "n"), "rid"))
+    totals = lengths.groupBy("queue").agg(F.sum("n").alias("all")).withColumn("many", F.ceil(F.col("all") / quantum))
+    if weights is None:
+        weighed = totals.withColumn("w", F.col("many").cast("double"))
+    else:
+        weighed = totals.join(weights, F.col("queue") == F.col("q"), "left").select("queue", "all", "many", F.coalesce("w", F.lit(1.0)).alias("w"))
+    quanta = weighed.select("queue", "all", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("j"))
+    quanta = quanta.select("queue", "j", F.least(F.lit(quantum).cast("long"), F.col("all") - F.col("j") * quantum).alias("size"), ((2 * F.col("j") + 1) / (2 * F.col("w"))).alias("due"))
+    order = [F.asc("due"), F.asc("queue"), F.asc("j")]
+    ranged = stage(quanta.repartitionByRange(*order).withColumn("slice", F.spark_partition_id()))
+    sums = ranged.groupBy("slice").agg(F.sum("size").alias("sum"))  # a row for each partition
+    before = sums.select("slice", F.coalesce(F.sum("sum").over(Window.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum("size").over(Window.partitionBy("slice").orderBy(*order)) - F.col("size")
+    spots = ranged.withColumn("inside", inside).join(before, "slice").select(F.col("queue").alias("q"), "j", (F.col("inside") + F.col("before")).alias("spot"))
+    pieces = at.select("rid", "queue", "at", "n", F.explode(F.sequence(F.floor(F.col("at") / quantum), F.floor((F.col("at") + F.col("n") - 1) / quantum))).alias("p"))
+    pieces = pieces.join(spots, (F.col("queue") == F.col("q")) & (F.col("p") == F.col("j")))
+    low, high = F.greatest(F.col("p") * quantum, "at"), F.least((F.col("p") + 1) * quantum, F.col("at") + F.col("n"))
+    cut = F.struct((low - F.col("at")).alias("start"), (high - low).alias("length"), (F.col("spot") + low - F.col("p") * quantum).alias("at"))
+    return pieces.groupBy("rid").agg(F.sort_array(F.collect_list(cut)).alias("cuts"))  # a row's tokens by the quantum at most
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -222,28 +257,52 @@ def pack(
     queues = {source: i for i, (source, _) in enumerate(sorted(top, key=lambda x: (x[0] is not None, x[0])))}
     totals = {queues[s]: n for s, n in top}
     rest = (sums.agg(F.sum("n")).first()[0] or 0) - sum(totals.values())
+    named = {queues[s]: (weights.get(s, 1) if weights else 1) for s in queues}
+    given = None
     if rest:
         totals[QUEUES] = rest
-    named = {queues[s]: (weights.get(s, 1) if weights else 1) for s in queues} | ({QUEUES: 1} if rest else {})
+        if weights:
+            spark = docs.sparkSession
+            given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "q string, w double").select(_key(F.col("q")).alias("q"), "w")
+            small = sums.join(spark.createDataFrame([(s,) for s in queues], "s string"), F.col("source").eqNullSafe(F.col("s")), "left_anti")
+            many = small.count()
+            listed = small.join(given, _key(F.col("source")) == F.col("q")).agg(F.sum("w"), F.count("*")).first()
+            named[QUEUES] = (listed[0] or 0) + many - listed[1]
+    if weights:  # whole numbers, as weights may be fractions
+        scale = 1 if all(float(w).is_integer() for w in named.values()) else 1_000_000
+        named = {q: max(1, round(w * scale)) for q, w in named.items()}
     schedule = Schedule(totals, named if weights else None, quantum)
     queue = F.lit(QUEUES)
     for s, i in queues.items():
         queue = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(i)).otherwise(queue)
-    lengths = tokens.select("rid", "doc_id", queue.alias("queue"), "n")
-    rows = tokens.select("rid", "doc_id", "n", "ids").join(placed(lengths), "rid")
+    lengths = tokens.select("rid", "doc_id", queue.alias("queue"), "source", "n")
+    own = placed(lengths.where(F.col("queue") < QUEUES).drop("source")) if rest else placed(lengths.drop("source"))
+    rows = tokens.select("rid", "doc_id", "n", "ids").join(own, "rid").withColumn("cuts", F.lit(None).cast("array<struct<start:long,length:long,at:long>>"))
+    if rest:
+        shared = shared_queue(lengths.where(F.col("queue") == QUEUES).select("rid", "doc_id", _key(F.col("source")).alias("queue"), "n"), given, quantum)
+        others = tokens.select("rid", "doc_id", "n", "ids").join(shared, "rid").select("rid", "doc_id", "n", "ids", F.lit(QUEUES).alias("queue"), F.lit(0).cast("long").alias("at"), "cuts")
+        rows = rows.unionByName(others)
 
     def work(batch):
         for part in slices(batch, "ids"):
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
             doc, n, ids = (part.column(c).to_pylist() for c in ("doc_id", "n", "ids"))
             wide = [np.frombuffer(x, "<u2").astype("<u4") for x in ids]
-            cut = schedule.pieces(*(part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("queue", "at", "n")))
-            for row, start, length, position in zip(*(x.tolist() for x in cut), strict=True):
+            queue, at, size = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("queue", "at", "n"))
+            row, skipped = np.arange(len(size)), np.zeros(len(size), np.int64)
+            if part.column("cuts").null_count < len(size):  # rows of the shared queue, cut by the quanta of their sources
+                cuts = [c or [{"start": 0, "length": m, "at": a}] for c, m, a in zip(part.column("cuts").to_pylist(), size.tolist(), at.tolist(), strict=True)]
+                row = np.repeat(row, [len(c) for c in cuts])
+                skipped, size, at = (np.array([c[k] for x in cuts for c in x], np.int64) for k in ("start", "length", "at"))
+                queue = queue[row]
+            cut = schedule.pieces(queue, at, size)
+            for k, start, length, position in zip(*(x.tolist() for x in cut), strict=True):
+                start, k = start + int(skipped[k]), int(row[k])
                 while length:
                     sequence, offset, room = schedule.sequences(position, window)
                     take = min(room, length)
-                    for k, v in zip(out, (doc[row], start, take, zlib.crc32(wide[row][start : start + take].tobytes()), n[row], sequence, offset), strict=True):
-                        out[k].append(v)
+                    for c, v in zip(out, (doc[k], start, take, zlib.crc32(wide[k][start : start + take].tobytes()), n[k], sequence, offset), strict=True):
+                        out[c].append(v)
                     start, length, position = start + take, length - take, position + take
             yield out
 

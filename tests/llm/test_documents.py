@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -74,6 +75,33 @@ def test_proportions_in_every_window(frame, ids_of):
     assert all(abs(sum(r["length"] for r in first if source[r["doc_id"]] == s) - 512 / 3) <= 2 * 32 for s in total)
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_a_thousand_sources_in_every_window(frame, ids_of, monkeypatch, weighted):
+    """Most sources are beyond those the driver schedules; each window still holds each at its share, to within a quantum or two."""
+    monkeypatch.setattr(packing, "QUEUES", 10)
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(20, 60))), f"s{k % 1000}" if k % 1000 else None) for k in range(3000)]
+    rows += [(5000 + k, "a b c " * 200, f"big{k % 10}") for k in range(40)]
+    weights = {f"s{k}": 3 for k in range(500)} | {f"big{k}": 50.5 for k in range(10)} if weighted else None
+    quantum, window = 8, 4096
+    got = packing.pack(frame(rows), PATH, weights=weights, window=window, quantum=quantum).collect()
+    by_sequence = check_pieces(got, [(r[0], r[1]) for r in rows], ids_of, window)
+    source = {r[0]: r[2] for r in rows}
+    total = Counter()
+    for r in rows:
+        total[r[2]] += len(ids_of(r[1]))
+    share = {s: (weights.get(s, 1) if weighted else n) for s, n in total.items()}
+    everything, done = sum(share.values()), Counter()
+    for k in sorted(by_sequence):
+        for r in by_sequence[k]:
+            done[source[r["doc_id"]]] += r["length"]
+        here = sum(done.values())
+        if weighted and any(done[s] == total[s] for s in total):
+            break  # a source has run out, the others share its part
+        assert all(abs(done[s] - here * share[s] / everything) <= 3 * quantum for s in total)
+    assert k >= 3
+
+
 def test_schedule_is_the_round_robin():
     """Places by formula against quanta sorted by their times."""
     rng = random.Random(2)

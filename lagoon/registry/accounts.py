@@ -11,7 +11,9 @@ from lagoon.operators import activity, limits, purchases
 from lagoon.registry import query
 from lagoon.registry.purchases import EFFECTS
 from lagoon.registry.views import AS_OF_SQL, N, avatar_sql, minted_sql
+from lagoon.session import scratch_path
 from lagoon.sources.domain import AS_OF, instant, uid
+from lagoon.sources.files import write_json_documents
 
 
 def number(c):
@@ -504,9 +506,7 @@ def erase_accounts_rooms_left(d):
     return op.erase_accounts(some, d.accounts.filter(number("id") % 25 == 7))["room_members"]
 
 
-@query(
-    "account_documents",
-    f"""WITH {EFFECTS},
+DOCUMENTS = f"""WITH {EFFECTS},
   logged AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY caught_at, id) AS pos FROM user_creatures),
   paged AS (SELECT user_id, (pos - 1) // 4 AS page, count(*) AS n_creatures,
                    string_agg(id || ':' || species_id || ':' || coalesce(nickname, ''), ',' ORDER BY pos) AS creatures
@@ -522,10 +522,23 @@ def erase_accounts_rooms_left(d):
          CASE WHEN page = 0 THEN total_mins END AS total_mins, CASE WHEN page = 0 THEN dives END AS dives,
          CASE WHEN page = 0 THEN caught END AS caught, CASE WHEN page = 0 THEN pro END AS pro,
          CASE WHEN page = 0 THEN pro_until END AS pro_until
-  FROM docs""",
-)
+  FROM docs"""
+
+
+@query("account_documents", DOCUMENTS)
 def account_documents(d):
-    docs = documents(d, page_size=4)
+    return shown(documents(d, page_size=4))
+
+
+@query("account_documents_written", DOCUMENTS)
+def account_documents_written(d):
+    """Written as JSON lines, the sink's form, and read back."""
+    docs, place = documents(d, page_size=4), scratch_path(d.spark, "documents")
+    write_json_documents(docs, place)
+    return shown(d.spark.read.schema(docs.schema).json(place))
+
+
+def shown(docs):
     each = F.transform("creatures", lambda c: F.concat_ws(":", c.id, c.species_id, F.coalesce(c.nickname, F.lit(""))))
     pairs = F.transform(F.map_entries("collection"), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string")))
     return docs.select(

@@ -29,10 +29,7 @@ HEADLINE = [
 ]
 
 #: Round loops and streams: timed once, beside the total, which stays comparable from round to round.
-HEAVY = [
-    "settle_trades", "replay_room_events", "rename_diver_outcomes", "resolve_identities", "signed_in_users", "signup_outcomes",
-    "assign_names", "erase_accounts", "audit_unique", "stream_ledger", "stream_activity_spells",
-]
+HEAVY = ["settle_trades", "rename_diver_outcomes", "erase_accounts", "stream_ledger", "stream_activity_spells"]
 
 
 def naive_visible(spark, folder):

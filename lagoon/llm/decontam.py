@@ -1,14 +1,15 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-For each benchmark item, windows of as many words as the item has slide over a
-document word by word. A window's fingerprint comes from running sums of its
-shingles' hash bits. An index of the items' fingerprints in RADIUS + 1 blocks
-guarantees that every item within RADIUS bits of a window shares a whole block
-with it; what the blocks give, and is within the radius, is verified by the exact
-weighted Jaccard similarity of the shingles.
+For each length that benchmark items have, windows of that length slide over a
+document shingle by shingle. A window's fingerprint comes from running sums of its
+shingles' hash bits, each shingle with its weight. The items of that length lie in an
+index by blocks of bits, which guarantees that every item within RADIUS bits of a
+window is found; what it gives is verified by the exact weighted Jaccard
+similarity of the shingles.
 
-Windows without enough of an item's shingles to reach the similarity are not
-fingerprinted: that test only leaves out what verification would.
+A window can reach the similarity only with enough weight in shingles of the
+benchmark, of whichever items; others are not fingerprinted. That test only leaves out
+what verification would, and which items a window is held against is up to the index.
 
 The benchmark is a stated set of queries, taken in blocks of bounded size; each
 block goes to all tasks, and all documents pass by it once. Shingles are weighed
@@ -21,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import xxhash
@@ -34,6 +36,11 @@ SIMILARITY = 0.8
 #: Differing bits of 64 up to which a window is a candidate. At a similarity of 0.8 some 10 bits differ.
 RADIUS = 20
 BITS = 64
+#: Keys of all indexes of a block of items, at most unless each item has one key a block; more keys make fewer, wider blocks.
+ENTRIES = 1 << 20
+#: Windows fingerprinted, and pairs compared, at a time.
+ROWS = 1 << 13
+PAIRS = 1 << 20
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 4 << 20
 _WORD = re.compile(r"\w+")
@@ -50,11 +57,11 @@ def shingles_of(words: list[str]) -> list[tuple[str, ...]]:
     return list(zip(*(words[i:] for i in range(SHINGLE)), strict=False))
 
 
-def votes(shingles: list[tuple[str, ...]]) -> np.ndarray:
-    """+1 or -1 for each bit of each shingle's hash."""
+def votes(shingles: list[tuple[str, ...]], weights: np.ndarray) -> np.ndarray:
+    """The weight, in thousandths, or less that for each bit of each shingle's hash."""
     h = np.array([xxhash.xxh64_intdigest(" ".join(s), 42) for s in shingles], np.uint64)
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return bits.astype(np.int32) * 2 - 1
+    return (bits.astype(np.int32) * 2 - 1) * np.rint(1000 * weights).astype(np.int32)[:, None]
 
 
 def print_of(total: np.ndarray) -> np.ndarray:
@@ -63,25 +70,60 @@ def print_of(total: np.ndarray) -> np.ndarray:
 
 
 class BlockIndex:
-    """Items' fingerprints by RADIUS + 1 blocks of bits: two that differ in at most RADIUS bits agree in a block."""
+    """Fingerprints by blocks of bits, each block with a threshold.
 
-    def __init__(self, prints: np.ndarray, radius: int = RADIUS):
+    The thresholds, plus one each, add up to radius + 1: a pair over the threshold in
+    every block differs in more than radius bits. All values within the threshold of
+    a fingerprint's are its keys in the block's table. Of the numbers of blocks whose
+    keys are within `entries`, the one with the fewest expected candidates is taken.
+    """
+
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS, entries: int = ENTRIES):
         self.prints, self.radius = prints, radius
-        edges = np.linspace(0, BITS, radius + 2).round().astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        self.tables: list[dict[int, np.ndarray]] = []
-        for shift, mask in self.blocks:
-            values = (prints >> shift) & mask
-            self.tables.append({int(v): np.flatnonzero(values == v) for v in np.unique(values)})
-
-    def near(self, fingerprint: np.uint64) -> dict[int, int]:
-        """Item -> differing bits, for all items within the radius."""
-        found = [t[v] for t, (shift, mask) in zip(self.tables, self.blocks, strict=True) if (v := int((fingerprint >> shift) & mask)) in t]
-        if not found:
-            return {}
-        items = np.unique(np.concatenate(found))
-        apart = np.bitwise_count(self.prints[items] ^ fingerprint)
-        return {int(i): int(d) for i, d in zip(items, apart, strict=True) if d <= self.radius}
+        plans = [self._plan(m) for m in range(4, max(4, radius + 1) + 1)]
+        fits = [p for p in plans if len(prints) * sum(len(flips) for *_, flips in p) <= entries]
+        plan = min(fits or plans[-1:], key=self._share)
+        self.step = max(1, int(PAIRS / (1 + len(prints) * self._share(plan))))
+        self.tables: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        for shift, width, flips in plan:
+            keys = (self._value(prints, shift, width)[:, None] ^ flips).ravel()
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((shift, width, keys[order], order // max(1, len(flips))))
+
+    def _plan(self, blocks: int) -> list[tuple[int, int, np.ndarray]]:
+        """(first bit, width, flips within the threshold) of each block."""
+        edges = np.linspace(0, BITS, blocks + 1).round().astype(int).tolist()
+        each, more = divmod(self.radius + 1, blocks)
+        out = []
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            values = np.arange(1 << (b - a), dtype=np.uint16)
+            out.append((a, b - a, values[np.bitwise_count(values) < each + (k < more)]))
+        return out
+
+    @staticmethod
+    def _share(plan: list[tuple[int, int, np.ndarray]]) -> float:
+        """Expected candidates among unlike fingerprints, as a share of all."""
+        return sum(len(flips) / (1 << width) for _, width, flips in plan)
+
+    @staticmethod
+    def _value(prints: np.ndarray, shift: int, width: int) -> np.ndarray:
+        return ((prints >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.uint16)
+
+    def near(self, asked: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(place in asked, place in prints, differing bits) of all pairs within the radius."""
+        for at in range(0, len(asked), self.step):
+            some = asked[at : at + self.step]
+            found = []
+            for shift, width, keys, items in self.tables:
+                value = self._value(some, shift, width)
+                first = np.searchsorted(keys, value, "left")
+                n = np.searchsorted(keys, value, "right") - first
+                place = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+                found.append(np.repeat(np.arange(len(some)), n) * len(self.prints) + items[place])
+            here, item = np.divmod(np.unique(np.concatenate(found)), max(1, len(self.prints)))
+            apart = np.bitwise_count(some[here] ^ self.prints[item])
+            good = apart <= self.radius
+            yield from zip((at + here[good]).tolist(), item[good].tolist(), apart[good].tolist(), strict=True)
 
 
 def weight_of(items: int) -> float:
@@ -106,14 +148,22 @@ class Benchmark:
         df = Counter(s for bag in self.bags for s in bag)
         self.weight = {s: weight_of(n if shared is None else shared.get(hash_of(s), 1)) for s, n in df.items()}
         self.totals = [sum(self.weight[s] * n for s, n in bag.items()) for bag in self.bags]
-        self.where: dict[tuple[str, ...], list[int]] = {}
-        for i, bag in enumerate(self.bags):
-            for s in bag:
-                self.where.setdefault(s, []).append(i)
-        self.lengths = sorted({self.window(i) for i in range(len(self.ids))})
-        prints = print_of(np.stack([votes([*b.elements()]).sum(axis=0) for b in self.bags])) if self.bags else np.zeros(0, np.uint64)
-        self.index = BlockIndex(prints, radius)
-        self.short = any(n < SHINGLE for n in self.sizes)
+        self.radius = radius
+        #: Words of a shingle -> length of a window in shingles -> items.
+        self.lengths: dict[int, dict[int, list[int]]] = {}
+        for i, n in enumerate(self.sizes):
+            self.lengths.setdefault(min(n, SHINGLE), {}).setdefault(self.window(i), []).append(i)
+
+    @cached_property
+    def indexes(self) -> dict[tuple[int, int], BlockIndex]:
+        """The items of each length, made where it is first asked for: in a task, not on the driver."""
+        out = {}
+        for k, lengths in self.lengths.items():
+            for length, items in lengths.items():
+                bags = [[*self.bags[i].elements()] for i in items]
+                prints = [votes(bag, np.array([self.weight[s] for s in bag])).sum(axis=0) for bag in bags]
+                out[k, length] = BlockIndex(print_of(np.stack(prints)), self.radius, ENTRIES * len(items) // len(self.ids))
+        return out
 
     def window(self, item: int) -> int:
         """Shingles of an item-sized window."""
@@ -135,46 +185,46 @@ class Benchmark:
         """(item id, first word, differing bits, similarity) of the best window of each item that is in the text."""
         words = words_of(text)
         out = []
-        groups = [(SHINGLE, [i for i, n in enumerate(self.sizes) if n >= SHINGLE])]
-        if self.short:
-            groups += [(k, [i for i, n in enumerate(self.sizes) if n == k]) for k in range(1, SHINGLE)]
-        for k, items in groups:
-            if len(words) < min(k, len(words) or 1):
-                continue
-            grams = list(zip(*(words[i:] for i in range(k)), strict=False)) if words else []
-            hits = [p for p, s in enumerate(grams) if s in self.where]
-            if not hits:
-                continue
-            for item in sorted({i for p in hits for i in self.where[grams[p]]}.intersection(items)):
-                best = self._best(item, grams, hits)
-                if best:
-                    out.append((self.ids[item], *best))
+        for k, lengths in self.lengths.items():
+            grams = list(zip(*(words[i:] for i in range(k)), strict=False))
+            hits = [p for p, s in enumerate(grams) if s in self.weight]
+            if hits:
+                out += [(self.ids[item], *best) for item, best in self._best(k, lengths, grams, hits).items()]
         return sorted(out)
 
-    def _best(self, item: int, grams: list[tuple[str, ...]], hits: list[int]) -> tuple[int, int, float] | None:
-        size, bag = min(self.window(item), len(grams)), self.bags[item]
-        own = np.array([p for p in hits if grams[p] in bag])
-        weight = np.array([self.weight[grams[p]] for p in own])
-        running = np.concatenate([[0.0], np.cumsum(weight)])
-        starts = np.unique((own[:, None] - np.arange(size)[None, :]).ravel()) if len(own) * size < 1 << 20 else np.arange(len(grams) - size + 1)
-        starts = starts[(starts >= 0) & (starts <= len(grams) - size)]
-        have = running[np.searchsorted(own, starts + size)] - running[np.searchsorted(own, starts)]
-        need = self.similarity / (1 + self.similarity) * self.totals[item]
-        starts = starts[have >= need - 1e-9]
-        best = None
-        for part in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1) if len(starts) else []:
-            for a in range(0, len(part), 4096):
-                some = part[a : a + 4096]
-                first = int(some[0])
-                sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(votes(grams[first : int(some[-1]) + size]), axis=0, dtype=np.int32)])
-                prints = print_of(sums[some - first + size] - sums[some - first])
-                for start, fingerprint in zip(some.tolist(), prints, strict=True):
-                    apart = self.index.near(fingerprint).get(item)
-                    if apart is None:
-                        continue
-                    like = self.likeness(item, Counter(grams[start : start + size]))
-                    if like >= self.similarity - 1e-9 and (best is None or (like, -apart, -start) > (best[2], -best[1], -best[0])):
-                        best = (start, apart, like)
+    def _best(self, k: int, lengths: dict[int, list[int]], grams: list[tuple[str, ...]], hits: list[int]) -> dict[int, tuple[int, int, float]]:
+        """Item -> (first word, differing bits, similarity) of its best window."""
+        weight = np.array([self._weight(s) for s in grams]) if self.shared else np.ones(len(grams))
+        known = np.zeros(len(grams))
+        weight[hits] = known[hits] = [self.weight[grams[p]] for p in hits]
+        have, total = (np.concatenate([[0.0], np.cumsum(x)]) for x in (known, weight))
+        starts, sizes, classes = [], [], []
+        for length, items in lengths.items():
+            size = min(length, len(grams))
+            at = np.arange(max(0, hits[0] - size + 1), min(hits[-1], len(grams) - size) + 1)
+            mine, least = have[at + size] - have[at], min(self.totals[i] for i in items)
+            at = at[mine >= self.similarity * (least + total[at + size] - total[at] - mine) - 1e-6]
+            starts.append(at)
+            sizes.append(np.full(len(at), size))
+            classes.append(np.full(len(at), length))
+        start, size, of = (np.concatenate(x) for x in (starts, sizes, classes))
+        order = np.argsort(start, kind="stable")
+        start, size, of = start[order], size[order], of[order]
+        best: dict[int, tuple[int, int, float]] = {}
+        for run in np.split(np.arange(len(start)), np.flatnonzero(np.diff(start) > max(lengths)) + 1):
+            for a in range(0, len(run), ROWS):
+                rows = run[a : a + ROWS]
+                first, end = int(start[rows[0]]), int((start[rows] + size[rows]).max())
+                sums = np.concatenate([np.zeros((1, BITS), np.int64), np.cumsum(votes(grams[first:end], weight[first:end]), axis=0, dtype=np.int64)])
+                prints = print_of(sums[start[rows] + size[rows] - first] - sums[start[rows] - first])
+                for length in np.unique(of[rows]).tolist():
+                    mine = np.flatnonzero(of[rows] == length)
+                    for w, n, apart in self.indexes[k, length].near(prints[mine]):
+                        item, at, wide = lengths[length][n], int(start[rows[mine[w]]]), int(size[rows[mine[w]]])
+                        like = self.likeness(item, Counter(grams[at : at + wide]))
+                        old = best.get(item)
+                        if like >= self.similarity - 1e-9 and (old is None or (like, -apart, -at) > (old[2], -old[1], -old[0])):
+                            best[item] = (at, apart, like)
         return best
 
 

@@ -333,16 +333,32 @@ def test_op8_blocks_do_not_matter(spark, frame, monkeypatch):
     assert got[0] == got[1] and {i for i, *_ in got[0][0]} >= {i for i, _ in items}
 
 
-def test_blocks_find_all_within_the_radius():
-    import numpy as np
-
+@pytest.mark.parametrize(("radius", "entries"), [(20, 1 << 20), (20, 50_000), (20, 0), (2, 1 << 20), (7, 20_000)])
+def test_blocks_find_all_within_the_radius(radius, entries):
     rng = np.random.default_rng(0)
     prints = rng.integers(0, 2**64, 300, dtype=np.uint64)
-    index = decontam.BlockIndex(prints, 20)
-    for k in range(200):
-        f = prints[k] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 26), replace=False)))
-        apart = np.bitwise_count(prints ^ f)
-        assert index.near(f) == {int(i): int(apart[i]) for i in np.flatnonzero(apart <= 20)}
+    index = decontam.BlockIndex(prints, radius, entries)
+    asked = np.array([prints[k] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, radius + 6), replace=False))) for k in range(200)])
+    apart = np.bitwise_count(prints[None, :] ^ asked[:, None])
+    assert sorted(index.near(asked)) == [(int(a), int(b), int(apart[a, b])) for a, b in np.argwhere(apart <= radius)]
+    assert not [*index.near(asked[:0])] and not [*decontam.BlockIndex(prints[:0], radius, entries).near(asked)]
+
+
+def test_op8_common_phrases_do_not_hide_an_edit():
+    """Items that share most of their words, edited only there: weights count in fingerprints, too."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    phrase = [word() for _ in range(30)]
+    items = [(k, " ".join([word() for _ in range(40)] + phrase)) for k in range(30)]
+    texts = []
+    for k, t in items:
+        w = t.split()
+        w[45 + k % 20] = "other"
+        texts.append((k, " ".join([word() for _ in range(9)] + w + [word() for _ in range(9)])))
+    known = decontam.Benchmark(items)
+    want = plain_leaks(known, texts)
+    assert {(i, i) for i, _ in items} <= set(want)
+    assert {(i, item): round(like, 9) for i, t in texts for item, _, _, like in known.find(t)} == want
 
 
 # --- URLs ------------------------------------------------------------------------------------------

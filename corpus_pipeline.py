@@ -17,8 +17,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are linked by a similarity of 0.8 or more."""
-    return neardup.one_of_each(docs)
+    """One document of each group that SimHash fingerprints within 2 bits, or five-word shingles of similarity 0.8, link."""
+    return neardup.one_of_each(docs, radius=2)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

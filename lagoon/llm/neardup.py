@@ -1,4 +1,11 @@
-"""Groups of near-duplicates: candidates that hold every pair, then the exact similarity of shingles.
+"""Groups of near-duplicates: SimHash by the generalised pigeonhole, and the exact similarity of shingles.
+
+Two kinds of links make the groups, and both are closed over together. Texts whose
+fingerprints lie within a radius are linked by `simhash.components`, where one is
+given. Fingerprints weigh shingles by how often they come, so they bring together
+what is mostly one passage over and over, and they miss similar texts a few bits
+farther apart. Texts whose sets of shingles are similar are linked by candidates
+that hold every such pair and a check of each.
 
 If the Jaccard similarity of two sets is at least t, at most d = (1 - t) * n
 members of a set of n are not in the other one. So whatever the order of all
@@ -34,10 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.llm.common import arrow_map, bytes_of, connected, fresh, slices, stage, text_of
-from lagoon.llm.simhash import hashes, shingles
+from lagoon.llm.simhash import components, fingerprint, hashes, shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Words in a shingle of the fingerprints.
+PRINT_SHINGLE = 3
 #: Thousands of links that a task holds before repeats among them are dropped.
 BUCKET = 64
 BLOCK = 1024
@@ -336,11 +345,24 @@ def links(rows: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, similarity:
     return dealt.mapInArrow(_verified(similarity), "a long, b long")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def fingerprinted(rows: DataFrame) -> DataFrame:
+    """(sig, s, i, fp) of rows (sig, s, i, t): the SimHash in place of the text."""
+
+    def work(batch):
+        for part in slices(batch, "t"):
+            yield {c: part.column(c) for c in ("sig", "s", "i")} | {"fp": [fingerprint(t, PRINT_SHINGLE) for t in bytes_of(part.column("t"))]}
+
+    return arrow_map(rows, work, "sig binary, s long, i long, fp long")
+
+
+def one_of_each(
+    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text", radius: int | None = None
+) -> DataFrame:
     """The rows that stay when one of each group of near-duplicates does: the least id's, with all columns.
 
-    A group is what links of Jaccard similarity of at least `similarity` connect.
-    Equal texts are one text from the start; null counts as empty, and all texts
+    A group is what links connect: of Jaccard similarity of at least `similarity`
+    and, with a radius (1 or 2), of SimHash fingerprints that differ in so many bits
+    at most. Equal texts are one text from the start; null counts as empty, and all texts
     without words are one group. Of rows that are the same in id and text one
     stays; a null id stays only where its group has no other.
     """
@@ -348,10 +370,15 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     text = text_of(text_column).cast("string")
     rows = docs.select(F.col(id_column).cast("long").alias("i"), sig.alias("sig"), F.xxhash64(text).alias("s"), text.alias("t"))
     # one node per text: the row with the least id stands for it
-    each = rows.groupBy("sig", "s", "i").agg(F.count("*").alias("copies"))
-    nodes = each.groupBy("sig", "s").agg(F.min(F.struct(F.col("i").isNull().alias("none"), F.col("i").alias("least"), "copies")).alias("best"))
-    nodes = stage(nodes.select("sig", "s", "best.least", "best.copies").withColumn("nid", F.monotonically_increasing_id()))
-    roots = connected(links(rows, nodes, shingle, similarity)).withColumnRenamed("node", "nid")
+    prints = rows.withColumn("fp", F.lit(0).cast("long")) if radius is None else fingerprinted(rows)
+    each = prints.groupBy("sig", "s", "i").agg(F.count("*").alias("copies"), F.min("fp").alias("fp"))
+    nodes = each.groupBy("sig", "s").agg(F.min(F.struct(F.col("i").isNull().alias("none"), F.col("i").alias("least"), "copies")).alias("best"), F.min("fp").alias("fp"))
+    nodes = stage(nodes.select("sig", "s", "fp", "best.least", "best.copies").withColumn("nid", F.monotonically_increasing_id()))
+    found = links(rows, nodes, shingle, similarity)
+    if radius is not None:
+        near = components(nodes.select(F.col("nid").alias("doc_id"), "fp"), radius)
+        found = found.union(near.where("doc_id <> component_id").select("doc_id", "component_id"))
+    roots = connected(found).withColumnRenamed("node", "nid")
     named = nodes.select("nid", "sig", "least", "copies").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "nid", "sig", "copies")).alias("best")
     stay = stage(named.groupBy("root").agg(best).select("best.sig", "best.least", "best.copies"))

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+import corpus_pipeline
 from lagoon.llm import neardup, simhash, suffixes
 from lagoon.llm.queries import queries
 
@@ -147,6 +148,32 @@ def test_isolated_pairs_are_all_found(frame):
     assert sorted(r["doc_id"] for r in neardup.one_of_each(frame(rows)).collect()) == sorted(want)
 
 
+def test_near_duplicates_out_links_by_simhash(spark, frame):
+    """Fingerprints within 2 bits link whatever the shingles' similarity: directly, and in chains with links of the other kind."""
+    rng = random.Random(16)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(40):
+        often, tail, other = line(7), line(30), line(30)
+        rows += [(10 * k, " ".join([often] * 400) + f" {tail}"), (10 * k + 1, " ".join([often] * 400) + f" {line(k)}")]  # near in bits
+        rows += [(10 * k + 2, f"{often} {often} {tail}")]  # near the first in shingles
+        rows += [(10 * k + 3, other), (10 * k + 4, f"{other} {line(3)}"), (10 * k + 5, line(30))]
+    prints = [plain_print(t) for _, t in rows]
+    link = lambda x, y: bin(prints[x] ^ prints[y]).count("1") <= 2
+    sets = [set(simhash.shingles(t.encode(), 5)) for _, t in rows]
+    similar = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) - 1e-9
+    root, kinds = list(range(len(rows))), Counter()
+    for _ in range(3):
+        for x in range(len(rows)):
+            for y in range(x):
+                if link(x, y) or similar(x, y):
+                    kinds[link(x, y), similar(x, y)] += 1
+                    root[x] = root[y] = min(root[x], root[y])
+    assert kinds[True, False] > 30 and kinds[False, True] > 30
+    got = corpus_pipeline.near_duplicates_out(spark, frame(rows), "").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted({rows[r][0] for r in root})
+
+
 def batched(rows, names, n):
     return [pa.RecordBatch.from_arrays([pa.array(c[k : k + n]) for c in rows], names) for k in range(0, len(rows[0]), n)]
 

@@ -16,7 +16,7 @@ distributed is that only factors of SPAN bytes and more matter:
    settled: all strings through them are repeats. Only the rest, where texts
    begin to differ, need bytes.
 3. For those, the suffixes of the contexts are sorted, for each alignment to the
-   anchor. Suffixes with SPAN common bytes form a run; a previous or next smaller
+   anchor, each order induced from the one before. Suffixes with SPAN common bytes form a run; a previous or next smaller
    document exists in the run unless the document is the run's least, so the
    longest previous factor reaches SPAN for all but that one.
 4. Each document's repeated starts are gathered and its bytes removed.
@@ -41,6 +41,7 @@ SPAN = 50
 GRAM = 16
 SIDE = SPAN - GRAM  # bytes of context on either side of an anchor
 GRAMS = SIDE + 1  # grams in SPAN bytes, and alignments of SPAN bytes to an anchor
+ROW = 96  # bytes that hold an anchor with its context, and nulls
 CHUNK = 1 << 20
 #: Contexts of one anchor that are sorted in one task; more are matched by the hash of each string.
 GROUP = 200_000
@@ -142,7 +143,13 @@ def progressions(text: np.ndarray, position: np.ndarray, gram: np.ndarray, c: np
     run: distance << 32 | further anchors; 0 for one alone. Text that repeats itself
     for long has as many anchors of one key as periods, and now one row for all.
     """
-    order = np.lexsort((position, c, gram, text))
+    key = _fold(_fold(gram, c, _A), text.astype(np.uint64), _C)  # most stand alone in it and need no sorting
+    by = np.argsort(key)
+    twin = key[by[1:]] == key[by[:-1]]
+    several = np.zeros(len(key), bool)
+    several[by[1:][twin]] = several[by[:-1][twin]] = True
+    alone, several = np.flatnonzero(~several), np.flatnonzero(several)
+    order = several[np.lexsort((position[several], c[several], gram[several], text[several]))]
     same = np.zeros(len(order), bool)
     same[1:] = np.all([x[order][1:] == x[order][:-1] for x in (text, gram, c)], axis=0)
     keep, run = np.ones(len(order), bool), np.zeros(len(order), np.int64)
@@ -159,7 +166,7 @@ def progressions(text: np.ndarray, position: np.ndarray, gram: np.ndarray, c: np
             run[head] = step << 32 | ((run[head] & 0xFFFFFFFF) + 1)
         else:
             head = k
-    return order[keep], run[keep]
+    return np.concatenate([alone, order[keep]]), np.concatenate([np.zeros(len(alone), np.int64), run[keep]])
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -246,28 +253,35 @@ def solve(gram: np.ndarray, doc: np.ndarray, left: np.ndarray, contexts: list[by
     """For each context, the alignments (bits) whose SPAN bytes have a longest previous factor of SPAN.
 
     gram tells groups apart. left: bytes before the anchor. Alignment j starts
-    j - SIDE bytes from the anchor.
+    j - SIDE bytes from the anchor. Only the suffixes from the anchor on are sorted
+    in full; the order of those a byte longer is induced from them, as in the
+    construction of a suffix array, for one alignment after the other.
     """
     n, width = len(doc), GRAM + 2 * SIDE
-    padded = np.zeros((n, width + 8), np.uint8)
-    right = np.array([len(c) for c in contexts]) - left
-    for i, c in enumerate(contexts):
+    padded = np.zeros((n, ROW), np.uint8)
+    size = np.array([len(c) for c in contexts], np.int64)
+    right = size - left
+    inner = size == width
+    padded[inner, :width] = np.frombuffer(b"".join(c for c in contexts if len(c) == width), np.uint8).reshape(-1, width)
+    for i in np.flatnonzero(~inner).tolist():
         begin = SIDE - left[i]
-        padded[i, begin : begin + len(c)] = np.frombuffer(c, np.uint8)
+        padded[i, begin : begin + size[i]] = np.frombuffer(contexts[i], np.uint8)
+    group = np.unique(gram, return_inverse=True)[1] << 8
     mask = np.zeros(n, np.int64)
-    for j in range(GRAMS):
-        has = np.flatnonzero((left >= SIDE - j) & (right >= SPAN - SIDE + j))
-        if len(has) < 2:
+    words = np.ascontiguousarray(padded[:, SIDE : SIDE + 56]).view(">u8").astype(np.uint64)
+    order = np.lexsort((*words.T[::-1], group))
+    for j in reversed(range(GRAMS)):
+        if j < SIDE:  # the suffixes one byte longer: by that byte, and in equal ones as they were
+            order = order[np.argsort(group[order] | padded[order, j], kind="stable")]
+        at = order[(left[order] >= SIDE - j) & (right[order] >= SPAN - SIDE + j)]
+        if len(at) < 2:
             continue
-        suffix = np.zeros((len(has), 56), np.uint8)
-        suffix[:, :SPAN] = padded[has, j : j + SPAN]
-        words = suffix.view(">u8").astype(np.uint64)
-        order = np.lexsort((*words.T[::-1], gram[has]))
-        run = _runs(gram[has][order], *words[order].T)
-        docs = doc[has][order]
+        rows = padded[at]
+        words = [np.ndarray(len(at), np.uint64, rows, o, (ROW,)) for o in (*range(j, j + SPAN - 8, 8), j + SPAN - 8)]
+        run = _runs(group[at], *words)
+        docs = doc[at]
         least = np.minimum.reduceat(docs, np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])))
-        earlier = docs > least[run]
-        mask[has[order[earlier]]] |= np.int64(1 << j)
+        mask[at[docs > least[run]]] |= np.int64(1 << j)
     return mask
 
 
@@ -316,15 +330,22 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
 
     def cut(batch):
         for part in slices(batch, "t", 4 << 20):
-            out: dict[str, list] = {c: [] for c in ("h", "doc", "spot", "run", "lft", "context")}
             texts = bytes_of(part.column("t"))
-            for doc, tag, t, want in zip(part.column("i").to_pylist(), part.column("tag").to_pylist(), texts, part.column("wanted").to_pylist(), strict=True):
-                for w in want:
-                    p = w["place"]
-                    begin = max(0, p - SIDE)
-                    for k, v in zip(out, (w["h"], doc, p << TAG | tag, w["run"], p - begin, t[begin : p + SPAN]), strict=True):
-                        out[k].append(v)
-            yield out
+            wanted = part.column("wanted")
+            text = np.repeat(np.arange(len(texts)), wanted.value_lengths().to_numpy())
+            h, place, run = (c.to_numpy() for c in wanted.flatten().flatten())
+            size = np.array([len(t) for t in texts], np.int64)
+            joined, base = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size
+            doc, tag = (part.column(c).to_numpy() for c in ("i", "tag"))
+            for s in range(0, len(h), 1 << 20):
+                k, p = text[s : s + (1 << 20)], place[s : s + (1 << 20)]
+                begin = np.maximum(p - SIDE, 0)
+                length = np.minimum(p + SPAN, size[k]) - begin
+                ends = np.cumsum(length)
+                offsets = np.append(0, ends).astype(np.int32)
+                data = joined[np.arange(ends[-1]) + np.repeat(base[k] + begin - (ends - length), length)]
+                context = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield {"h": h[s : s + len(k)], "doc": doc[k], "spot": p << TAG | tag[k], "run": run[s : s + len(k)], "lft": p - begin, "context": context}
 
     joined = docs.join(wanted.withColumnRenamed("doc", "i"), ["i", "tag"])
     contexts = arrow_map(joined, cut, "h long, doc long, spot long, run long, lft int, context binary")
@@ -378,14 +399,12 @@ def covered(size: int, place: np.ndarray, run: np.ndarray, mask: np.ndarray) ->
     np.add.at(edge, np.maximum(whole - SIDE, 0), 1)
     np.add.at(edge, np.maximum(np.minimum(whole, size - SPAN) + 1, np.maximum(whole - SIDE, 0)), -1)
     first[:size] = np.cumsum(edge)[:size] > 0
-    for j in range(GRAMS):
-        some = (mask != -1) & ((mask >> j) & 1 == 1)
-        first[place[some] - SIDE + j] = True
-    starts = np.flatnonzero(first[:size])
-    edge = np.zeros(size + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + SPAN, size), -1)
-    return np.cumsum(edge)[:size] > 0
+    some = mask != -1
+    which, bit = np.nonzero((mask[some, None] >> np.arange(GRAMS)) & 1)
+    first[place[some][which] - SIDE + bit] = True
+    starts = np.cumsum(first[:size])  # so many up to each byte; then those that reach it
+    starts[SPAN:] -= starts[:-SPAN].copy()
+    return starts > 0
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:

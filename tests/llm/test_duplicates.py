@@ -301,6 +301,33 @@ def test_op5_many_rows_without_an_id(spark, frame, monkeypatch):
     check_repeats(frame(few), few)
 
 
+def test_op5_orders_are_induced_from_one_sort(monkeypatch):
+    """Contexts of many anchors against every earlier string, with one full sort for all alignments."""
+    rng, side, span = random.Random(17), suffixes.SIDE, suffixes.SPAN
+    grams = [bytes(rng.choices(b"ab", k=suffixes.GRAM)) for _ in range(6)]
+    gram, doc, left, contexts = [], [], [], []
+    for _ in range(400):
+        g = rng.randrange(6)
+        before, after = (bytes(rng.choices(b"a\0", (30, 1), k=side))[: rng.choice((side, side, rng.randrange(side + 1)))] for _ in range(2))
+        gram.append(g)
+        doc.append(rng.randrange(150))
+        left.append(len(before))
+        contexts.append(before + grams[g] + after)
+    string = lambda k, j: contexts[k][left[k] - side + j :][:span] if left[k] >= side - j else b""
+    want = np.zeros(400, np.int64)
+    for j in range(suffixes.GRAMS):
+        least = {}
+        for k in range(400):
+            least[gram[k], string(k, j)] = min(doc[k], least.get((gram[k], string(k, j)), doc[k]))
+        for k in range(400):
+            want[k] |= (len(string(k, j)) == span and doc[k] > least[gram[k], string(k, j)]) << j
+    sorts, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda *a, **k: sorts.append(1) or lexsort(*a, **k))
+    got = suffixes.solve(np.array(gram), np.array(doc), np.array(left), contexts)
+    assert (want != 0).sum() > 100 and got.tolist() == want.tolist()
+    assert len(sorts) == 1
+
+
 def test_progressions_hold_all_anchors():
     rng = np.random.default_rng(8)
     for _ in range(200):
